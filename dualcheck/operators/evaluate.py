@@ -12,14 +12,18 @@ from ..spec import Schema
 def evaluate(df: DataFrame, schema: Schema, value: str = "kept") -> DataFrame:
     """Adds ``con_ok``, ``unc_ok``, ``final_ok`` (on ``value``), ``corrupted``
     (constrained wrong and free-form right) and ``changed`` (canonical final
-    differs from canonical constrained)."""
-    if value == "kept" and "final_key0" in df.columns:
-        # the kept value is the resolved one or, after repair, absence
-        out = df.withColumn("final_key", F.when(F.col("repaired"), F.array(F.lit(""))
-                                                ).otherwise(F.col("final_key0")))
-        out = out.withColumn("final_key", by_field(schema, lambda s: F.when(
-            F.col("repaired"), F.array().cast("array<string>")).otherwise(F.col("final_key0"))
-            if s.multi else F.col("final_key")))
+    differs from canonical constrained).
+
+    ``value`` is "kept" (after the optional absence repair) or "final" (as
+    resolved); both reuse the key computed during resolution.
+    """
+    if "final_key0" in df.columns and value in ("kept", "final"):
+        key = F.col("final_key0")
+        if value == "kept" and "repaired" in df.columns:
+            empty = by_field(schema, lambda s: F.array().cast("array<string>") if s.multi
+                             else F.array(F.lit("")))
+            key = F.when(F.col("repaired"), empty).otherwise(key)
+        out = df.withColumn("final_key", key)
     else:
         out = df.withColumn("final_key", by_field(schema, lambda s: N.canon_key(s, F.col(value))))
     return (out
