@@ -104,7 +104,7 @@ def _fields() -> str:
     cdec = f"CASE WHEN trunc THEN NULL ELSE {udec} END"
     conx = f"CAST({cdec} AS DOUBLE)"
     ux = f"CAST({udec} AS DOUBLE)"
-    ur = f"coalesce(CAST(CAST({udec} AS DOUBLE) AS VARCHAR), '')"
+    ur = f"coalesce(CAST({udec} AS VARCHAR), '')"  # answer book renders the decimal text
     # Python's json reads numbers as floats and prints them with str()
     conr = f"coalesce(CAST(CAST({cdec} AS DOUBLE) AS VARCHAR), '')"
     arbx = f"CASE {_arbk(2)} WHEN 't' THEN 1.0 WHEN 'c' THEN {ux} ELSE gx END"
