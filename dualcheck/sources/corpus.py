@@ -28,11 +28,10 @@ def read_jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).rdd.zipWithIndex().map(lambda t: (t[1], t[0][0])).toDF(
         "line_no long, value string")
     lines = lines.filter(F.trim("value") != "")
-    rec = lines.select("line_no", F.from_json("value", "document string, gold map<string,string>").alias("r"),
-                       F.from_json("value", "struct<gold: map<string,array<string>>>").alias("a"))
+    rec = lines.select("line_no", F.from_json("value", "document string, gold map<string,string>").alias("r"))
     gold = F.map_from_entries(F.transform(F.map_entries("r.gold"), lambda e: F.struct(
         e["key"], F.when(e["value"].startswith("["),
-                         F.array_join(F.element_at("a.gold", e["key"]), "; ")).otherwise(e["value"]))))
+                         F.array_join(F.from_json(e["value"], "array<string>"), "; ")).otherwise(e["value"]))))
     out = rec.select(F.row_number().over(Window.orderBy("line_no")).alias("doc_idx"),
                      F.col("r.document").alias("document"), gold.alias("gold"))
     if out.isEmpty():
@@ -51,13 +50,13 @@ def infer_schema(spark: SparkSession, path: str, name: str = "external") -> Sche
     """Field spec from the first record's gold (types from raw values;
     lists -> multi with the first element's type). A few rows to the driver."""
     first = spark.read.text(path).filter(F.trim("value") != "").limit(1)
-    raw = first.select(F.from_json("value", "struct<gold: map<string,string>>").alias("r"),
-                       F.from_json("value", "struct<gold: map<string,array<string>>>").alias("a"))
-    ent = raw.select(F.posexplode(F.map_entries("r.gold")).alias("ord", "e"), "a")
+    raw = first.select(F.from_json("value", "struct<gold: map<string,string>>").alias("r"))
+    ent = raw.select(F.posexplode(F.map_entries("r.gold")).alias("ord", "e"))
+    lst = F.from_json(F.col("e.value"), "array<string>")
     rows = ent.select("ord", F.col("e.key").alias("k"),
                       F.col("e.value").startswith("[").alias("multi"),
                       infer_type(F.when(F.col("e.value").startswith("["),
-                                        F.element_at(F.element_at("a.gold", F.col("e.key")), 1))
+                                        F.coalesce(F.try_element_at(lst, F.lit(1)), F.lit("")))
                                  .otherwise(F.col("e.value"))).alias("t")).orderBy("ord").collect()
     return Schema(name, tuple(FieldSpec(r["k"], r["t"], multi=bool(r["multi"])) for r in rows))
 
@@ -67,12 +66,10 @@ def box_to_text(spark: SparkSession, box_dir: str) -> DataFrame:
 
     Each row is split on the first 8 commas; rows with 9 parts keep the text.
     """
-    raw = (spark.read.option("wholetext", "true").text(box_dir)
+    raw = (spark.read.text(box_dir, wholetext=True)
            .select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("stem"), "value"))
-    lines = F.split(F.col("value"), r"\r\n|\n|\r")
-    kept = F.filter(F.transform(lines, lambda ln: F.split(ln, ",", 9)),
-                    lambda parts: F.size(parts) == 9)
-    return raw.select("stem", F.array_join(F.transform(kept, lambda p: p[8]), "\n").alias("document"))
+    texts = F.regexp_extract_all(F.col("value"), F.lit(r"(?m)^(?:[^,\r\n]*,){8}([^\r\n]*)$"), 1)
+    return raw.select("stem", F.array_join(texts, "\n").alias("document"))
 
 
 def receipts(boxes: DataFrame, keys: DataFrame, required=("company", "date", "address", "total")) -> DataFrame:
