@@ -4,13 +4,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii_patterns, secret_scan
+from .fertility import quality
 from .simhash import near_duplicates
+from .spans import digest
+
+#: Names of public vocabulary files; where they lie is asked when a query runs.
+PIECE, MULTI, WORD_BPE, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser fertility and the verdict of the language's bands for every document."""
+    return quality(_table(spark, sf_dir, "documents"), vocabulary(PIECE), vocabulary(MULTI))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, judged by how many owners in the corpus have the value.
+
+    A source is an owner; its documents of one language are a repository.
+    """
+    docs = _table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
+    out = secret_scan.find_secrets(docs, repo_col="repo")
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return out.select("doc_id", *digest(F.col("spans"), secret_scan.KINDS), live)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document by fixed patterns and by patterns learned from their contexts."""
+    out = pii_patterns.find_personal_data(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *digest(F.col("spans"), pii_patterns.KINDS))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and components of links of three bits at most."""
     out = near_duplicates(_table(spark, sf_dir, "documents"))
