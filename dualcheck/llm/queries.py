@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack_bpe, bit_sliced, chat_format, pii_patterns, secret_scan, vector_packing
+from . import backtrack_bpe, bit_sliced, chat_format, pii_patterns, secret_scan, url_filter, vector_packing
 from .fertility import quality
 from .simhash import near_duplicates
 from .spans import digest
@@ -51,6 +51,15 @@ def op5_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: The rules that the task states.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or by trees trained on what the rules decide."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for each vector whose id is divisible by 20, against all vectors."""
     vectors = _table(spark, sf_dir, "embeddings")
