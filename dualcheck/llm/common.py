@@ -26,7 +26,7 @@ def with_id(docs: DataFrame, id_col: str, *fields: tuple[str, DataType]) -> Stru
                       + [StructField(name, kind) for name, kind in fields])
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with one function call per batch; empty batches are skipped."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

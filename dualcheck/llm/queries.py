@@ -8,6 +8,7 @@ from . import backtrack_bpe, bit_sliced, chat_format, pii_patterns, secret_scan,
 from .fertility import quality
 from .simhash import near_duplicates
 from .spans import digest
+from .suffix_dedup import removed
 
 #: Names of public vocabulary files; where they lie is asked when a query runs.
 PIECE, MULTI, WORD_BPE, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -27,6 +28,11 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), vocabulary(PIECE), vocabulary(MULTI))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the strings of 200 bytes that also start elsewhere."""
+    return removed(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, judged by how many owners in the corpus have the value.
 
