@@ -8,7 +8,11 @@ from dualcheck.session import materialize
 
 #: (name, function) in order; each function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
-    ("near_duplicates", stages.drop_near_duplicates),
+    ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_strings", stages.repeated_strings),
+    ("live_secrets", stages.live_secrets),
+    ("packing", stages.packing),
 ]
 
 #: SQL can't express tokenisation, so the stages are tested against brute-force versions.

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -14,10 +14,21 @@ from ..session import scratch_path
 SLICE_BYTES = 1 << 20
 
 
+#: A column that no input has.
+MARK = "__row_identity"
+
+
+def identity(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A struct of a row's id and two hashes of id and text, which tells rows with one id apart."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    key = F.col(f"`{id_col}`")
+    return F.struct(key.alias("id"), F.xxhash64(key, text).alias("key"), F.xxhash64(text, F.lit("text"), key).alias("more"))
+
+
 def texts_and_ids(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The id, the text (null: empty) and further columns, under fixed names."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       *(F.col(c).alias(f"c{i}") for i, c in enumerate(more)))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+                       *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(more)))
 
 
 def with_id(docs: DataFrame, id_col: str, *fields: tuple[str, DataType]) -> StructType:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import map_batches, texts_and_ids, written
+from .common import MARK, identity, map_batches, texts_and_ids, written
 
 KINDS = ("assign", "access", "hex")
 LIVE = "live"
@@ -123,3 +123,35 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty = F.array().cast(spans.schema["spans"].dataType)
     return (found.select("row", "id").join(spans, "row", "left")
             .select(F.col("id").alias(id_col), F.coalesce("spans", empty).alias("spans")))
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source",
+             shared_owners: int = SHARED_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+    """``docs``, all rows and columns, with the live spans of ``find_secrets`` replaced by ``mask`` in ``text_col``.
+
+    Widely copied examples stay. Overlapping spans are replaced once. Rows
+    without live spans keep their text, null included.
+    """
+    marked = docs.withColumn(MARK, identity(docs, id_col, text_col))
+    found = find_secrets(marked, MARK, text_col, repo_col, owner_col, shared_owners)
+    live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    spans = found.select(MARK, live.alias("live")).filter(F.size("live") > 0).dropDuplicates([MARK])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = marked.select(MARK, row).join(spans, MARK, "left")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text, live in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if text is not None and live:
+                parts, at = [], 0
+                for s in sorted(live, key=lambda s: (s["start"], s["end"])):
+                    if s["start"] >= at:
+                        parts += [text[at:s["start"]], mask]
+                    at = max(at, s["end"])
+                text = "".join(parts) + text[at:]
+            out.append(text)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
+    text = F.col("row").getField(text_col).cast("string").alias("text")
+    schema = StructType([StructField("row", docs.select(row).schema["row"].dataType), StructField("text", StringType())])
+    done = map_batches(rows.select("row", text, "live"), run, schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

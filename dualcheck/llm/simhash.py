@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import map_batches, raw_texts, texts_and_ids, with_id, written
+from .common import MARK, identity, map_batches, raw_texts, texts_and_ids, with_id, written
 
 SEED = 42
 TILE = 2048
@@ -166,6 +166,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(fingerprint, root): the smallest fingerprint of the component of each one in ``prints``."""
+    distinct = prints.select("fingerprint").distinct()
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, fingerprint as long, component_id) of every row of ``docs``.
@@ -179,8 +186,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     """
     prints = written(fingerprints(docs, words, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
     least = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    roots = components(links(prints.select("fingerprint").distinct(), radius)).withColumnRenamed("node", "fingerprint")
-    rooted = least.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = least.join(classes(prints, radius), "fingerprint")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    found = rooted.join(smallest, "root").select("fingerprint", "component_id")
+    return prints.join(found, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, all columns: that with the smallest id (null ids last, then by hash).
+
+    Rows that repeat id and text are one row of the result.
+    """
+    # a row is known by its id and a hash of its text; both go through as the id of its fingerprint
+    marked = docs.withColumn(MARK, identity(docs, id_col, text_col))
+    prints = written(fingerprints(marked, words, MARK, text_col), "fingerprints")
+    rank = F.struct(F.col(MARK)["id"].isNull().alias("last"), F.col(MARK).alias("row"))
+    least = prints.groupBy("fingerprint").agg(F.min(rank).alias("least")).join(classes(prints, radius), "fingerprint")
+    keep = least.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["row"].alias(MARK))
+    return marked.join(keep, MARK, "left_semi").dropDuplicates([MARK]).select(*(F.col(f"`{c}`") for c in docs.columns))
