@@ -36,10 +36,9 @@ from .common import map_batches, raw_texts, texts_and_ids, with_id, written
 LENGTH, GRAM = 200, 64
 #: Windows of a document that are anchored at a time; bounds memory for long texts.
 CHUNK = 1 << 19
-#: Bytes of strings that one construction sorts, and distinct strings of an anchor beyond which longer anchors cut it.
+#: Bytes of strings that one construction sorts, and distinct strings of an anchor beyond which longer anchors,
+#: of four fifths of the length, cut it.
 BATCH_BYTES, HOT_STRINGS = 1 << 20, 4096
-#: Bytes of an anchor for those.
-LONG_GRAM = 160
 
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
@@ -137,7 +136,7 @@ def _recut(strings: DataFrame, length: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(6)]
         for anchor, content, count, string in zip(*(c.to_pylist() for c in b.columns)):
-            for groups, first, n in anchored(string, length, LONG_GRAM):
+            for groups, first, n in anchored(string, length, length * 4 // 5):
                 for g, s, k in zip(groups.tolist(), first.tolist(), n.tolist()):
                     for col, v in zip(cols, (g, anchor, content, count, s, _content(string, s, k, length))):
                         col.append(v)
@@ -183,7 +182,8 @@ def _sorted_windows(strings: DataFrame, length: int) -> DataFrame:
     return dealt.select("group", "anchor", "content", "count", "offset", "string").mapInArrow(run, "anchor long, content long, first long, n long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+            hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(id, key, n_removed, n_spans, kept_sha256, kept) of each distinct document that loses bytes.
 
     ``key`` is a hash of id and text; ``kept`` holds the remaining bytes, compressed.
@@ -206,7 +206,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     held = written(texts.join(holders, _same(texts, holders)).select(texts["id"], texts["key"], "packed", "wanted")
                    .dropDuplicates(["id", "key"]), "dedup-texts")
     strings = written(_strings(held, length), "dedup-strings")
-    hot = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > HOT_STRINGS).select("anchor", F.lit(True).alias("hot"))
+    hot = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > hot_strings).select("anchor", F.lit(True).alias("hot"))
     marked = strings.join(hot, "anchor", "left")
     plain = marked.filter("hot is null").select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "string")
     again = _sorted_windows(plain.unionByName(_recut(marked.filter("hot"), length)), length)
@@ -245,7 +245,8 @@ def _cut(held: DataFrame, length: int) -> DataFrame:
     return map_batches(held, run, schema)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+            hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``.
 
     A null text counts as empty; texts shorter than ``length`` lose nothing.
@@ -254,7 +255,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     """
     rows = texts_and_ids(docs, id_col, text_col)
     base = rows.select("id", _key().alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    cut = repeats(docs, length, gram, id_col, text_col).drop("kept")
+    cut = repeats(docs, length, gram, id_col, text_col, hot_strings).drop("kept")
     return (base.join(cut, _same(base, cut), "left")
             .select(base["id"].alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")))

@@ -132,14 +132,14 @@ class Packer:
         while left > leave:
             rest, chosen = limit.copy(), []
             while left:
-                # a piece that is packed has infinite size
+                # a piece that is packed has a size that never fits
                 score = np.where((size <= rest).all(1), (size / limit) @ (rest / limit), -1.0)
                 best = int(score.argmax())
                 if score[best] < 0:
                     break
                 chosen.append(pool[best])
                 rest -= size[best]
-                size[best], open_[best] = np.inf, False
+                size[best], open_[best] = 1e18, False
                 left -= 1
                 if rest[0] < 1 or rest[1] < 1:
                     break

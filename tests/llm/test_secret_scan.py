@@ -1,0 +1,47 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from dualcheck.llm import secret_scan
+from dualcheck.llm.spans import digest
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def slow_base(text: str) -> list[tuple]:
+    """The base kinds by the stated patterns, without shortcuts."""
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Token", "API_KEY", "ſecret", "password", "=", ":", " ", "'", '"', "abc123", HEX, "AKIA", "ABCDEFGH12345678", "é", "\n", "f00d"]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert sorted((s, r, e) for s, r, e, k, _ in secret_scan.scan(text) if r < 3) == slow_base(text)
+
+
+def test_ownership_separates_examples_from_live(spark):
+    own, copied = "Zq8vK1mPx7Rt4Wy2Lb9Nc", "Hd5sJ3gFw8Qz1Xv6Tb0Mk"
+    rows = [(i, f"see {copied} here", "en", f"s{i}") for i in range(8)]
+    rows += [(50, f"mine {own} and token = {HEX}", "en", "s1"), (50, f"mine {own} and token = {HEX}", "en", "s1"), (51, None, None, None), (52, "", "en", "s9"), (53, f"key {own}", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("value", F.lit("clash"))
+    got = secret_scan.find_secrets(docs).collect()
+    assert len(got) == len(rows)
+    spans = {r["doc_id"]: [(s["kind"], s["owners"], s["live"]) for s in r["spans"]] for r in got}
+    assert all(not spans[i] for i in [*range(8), 51, 52])
+    assert spans[50] == [("live", 1, True), ("assign", 1, True), ("hex", 1, True)] and spans[53] == [("live", 1, True)]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert masked[50] == "mine [SECRET] and [SECRET]" and masked[0] == f"see {copied} here" and masked[51] is None
+    assert secret_scan.redacted(docs).columns == docs.columns and secret_scan.redacted(docs).count() == len(rows)
+
+
+def test_digest_and_awkward_rows(clashing, rows, no_docs):
+    found = secret_scan.find_secrets(clashing).select("doc_id", *digest(F.col("spans"), secret_scan.KINDS))
+    assert found.count() == len(rows) and found.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert secret_scan.find_secrets(no_docs).count() == 0
+    assert secret_scan.redacted(no_docs).count() == 0
