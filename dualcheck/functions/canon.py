@@ -278,10 +278,3 @@ def canon_key(spec: FieldSpec, v: Column) -> Column:
     if spec.multi:
         return canon_set(spec, v)
     return F.array(canon_text(spec, v))
-
-
-def canon_display(spec: FieldSpec, v: Column) -> Column:
-    """N7 printable canonical form (sets sorted and joined by '; ')."""
-    if spec.multi:
-        return F.array_join(canon_set(spec, v), "; ")
-    return canon_text(spec, v)

@@ -54,13 +54,6 @@ def graded(spec: FieldSpec, a: Column, b: Column, ka: Column, kb: Column) -> Col
     return F.when(a["text"] == b["text"], F.lit(0.0)).otherwise(body)
 
 
-def disagreement(spec: FieldSpec, a: Column, b: Column) -> Column:
-    """C5 on two raw values (canonicalises both)."""
-    return N.let(F.struct(N.canon_struct(spec, a).alias("a"), N.canon_struct(spec, b).alias("b"),
-                          N.canon_key(spec, a).alias("ka"), N.canon_key(spec, b).alias("kb")),
-                 lambda x: graded(spec, x["a"], x["b"], x["ka"], x["kb"]))
-
-
 def flag_score(spec: FieldSpec, a: Column, b: Column, ka: Column, kb: Column) -> Column:
     """C6 score: 1.0 for a suspicious empty side, else the graded disagreement.
 

@@ -38,12 +38,13 @@ def doc_tokens(document: Column) -> Column:
 def doc_numbers(document: Column) -> Column:
     """Every number written in the document, as DOUBLE.
 
-    Commas that continue a digit run are dropped first (the reference reads
-    "1,234" as 1234 and "55,57" as 5557); the remaining matches cast directly.
+    The pattern is matched on the text as it stands, so "10.50,20" holds 10.5
+    and 20; commas are dropped inside each match ("1,234" is 1234). The matches
+    are joined for one replacement, as none holds a space.
     """
-    joined = F.regexp_replace(document, r"(?<=[\d,]),", "")
-    raw = F.regexp_extract_all(joined, F.lit(r"[-+]?\d+\.?\d*"), 0)
-    return F.array_distinct(F.array_compact(raw.try_cast("array<double>")))
+    raw = F.array_join(F.regexp_extract_all(document, F.lit(NUMBER_PATTERN), 0), " ")
+    plain = F.split(F.replace(raw, F.lit(","), F.lit("")), " ")
+    return F.array_distinct(F.array_compact(plain.try_cast("array<double>")))
 
 
 def doc_dates(document: Column) -> Column:

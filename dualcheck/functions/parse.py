@@ -11,46 +11,35 @@ from .canon import casefold, strip_ws
 # free-form keys; the number pattern for arbiter answers and document numbers.
 LINE_CRUFT = r"(?U)^[\s\-*•>]+|[*`]"
 NUMBER_PATTERN = r"[-+]?\d[\d,]*\.?\d*"
-# Python str.splitlines() boundaries.
-LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
-def json_object(raw: Column) -> Column:
-    """R1 parse: JSON object, else one repair (first '{' .. last '}'), else empty.
-
-    Returns MAP<STRING,STRING> (used for key presence and for ad-hoc lookups).
-    """
-    first = F.from_json(raw, "map<string,string>", _JSON_OPTS)
-    repaired = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "map<string,string>",
-                           _JSON_OPTS)
-    return F.coalesce(first, repaired, F.create_map().cast("map<string,string>"))
+def one_object(text: Column) -> Column:
+    """Whether a text is exactly one JSON object. Inside brackets, a second
+    value or anything else behind the first makes the list invalid or longer."""
+    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _JSON_OPTS)
+    return F.coalesce((F.size(found) == 1) & F.get(found, F.lit(0)).isNotNull(), F.lit(False))
 
 
 def _struct_ddl(names: list[str]) -> str:
     return "struct<" + ",".join(f"`{n}`:string" for n in names) + ">"
 
 
-def json_record(raw: Column, names: list[str]) -> Column:
-    """R1 parse into a struct of the schema's field names (string-typed).
-
-    A struct parse keeps the last value of a duplicated key, as Python's json
-    does, and returns nested arrays as their JSON text.
-    """
-    ddl = _struct_ddl(names)
-    first = F.from_json(raw, ddl, _JSON_OPTS)
-    repaired = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), ddl, _JSON_OPTS)
-    ok = F.from_json(raw, "map<string,string>", _JSON_OPTS).isNotNull()
-    return F.when(ok, first).otherwise(repaired)
+def _plain_number(v: Column) -> Column:
+    """1.23456785E7 -> 12345678.5, up to the size at which Python changes its form too."""
+    plain = F.regexp_replace(v.try_cast("double").cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(v.rlike(r"^-?\d\.\d+E(?:[7-9]|1[0-5])$"), plain).otherwise(v)
 
 
 def json_value(record: Column, keys: Column, name: str) -> Column:
     """Value of key ``name`` as the reference prints it: missing -> "",
     JSON null -> "None", arrays -> elements joined by "; ".
 
-    ``record`` is the struct from ``json_record``; ``keys`` the object's keys.
+    ``record`` is the object read into a struct of strings, which keeps the last
+    value of a repeated key; ``keys`` are its keys. Numbers of seven digits or
+    more come back in Java's scientific form and are written out again.
     """
-    v = record[name]
+    v = _plain_number(record[name])
     present = F.coalesce(F.array_contains(keys, F.lit(name)), F.lit(False))
     arr = F.when(v.startswith("["), F.from_json(v, "array<string>", _JSON_OPTS))
     return (F.when(~present, F.lit(""))
@@ -59,23 +48,6 @@ def json_value(record: Column, keys: Column, name: str) -> Column:
             .otherwise(v))
 
 
-def json_keys(raw: Column) -> Column:
-    """Keys of the parsed (or repaired) object."""
-    return F.map_keys(json_object(raw))
-
-
-def json_field(m: Column, name: str) -> Column:
-    """Value of key ``name`` in a parsed map (last duplicate wins)."""
-    hits = F.filter(F.map_entries(m), lambda e: e["key"] == F.lit(name))
-    present = F.size(hits) > 0
-    v = F.element_at(hits, -1)["value"]
-    arr = F.when(v.startswith("["), F.from_json(v, "array<string>", _JSON_OPTS))
-    return (F.when(~present, F.lit(""))
-            .when(v.isNull(), F.lit("None"))
-            .when(arr.isNotNull(), F.array_join(arr, "; ", "None"))
-            .otherwise(v))
-
-
 _EXTRA_BREAKS = "[\u000b\u000c\u001c\u001d\u001e]"
 _LINE = r"(?mU)^[\s\-*•>]*([^:\r\n\u0085  ]*):(.*)$"
 _SEP = "\u0001"
@@ -107,32 +79,6 @@ def freeform_lookup(lines: Column, name: str) -> Column:
     return F.when(back > 0, strip_ws(F.element_at(vals, idx.cast("int")))).otherwise(F.lit(""))
 
 
-def freeform_value(raw: Column, name: str) -> Column:
-    """R2 for one field directly from the raw text."""
-    return freeform_lookup(freeform_lines(raw), name)
-
-
-def freeform_pairs(raw: Column) -> Column:
-    """R2 parse: ARRAY<STRUCT<key,value>> from 'name: value' lines, in order.
-
-    The key loses bullets, bold and backticks and is case-folded; the value is
-    everything after the first ':' with surrounding whitespace removed.
-    """
-    lines = F.split(F.coalesce(raw, F.lit("")), LINE_BREAKS)
-    with_colon = F.filter(lines, lambda ln: F.instr(ln, ":") > 0)
-    return F.transform(with_colon, lambda ln: F.struct(
-        casefold(strip_ws(F.regexp_replace(
-            F.regexp_extract(ln, r"(?s)^([^:]*):", 1), LINE_CRUFT, ""))).alias("key"),
-        strip_ws(F.regexp_extract(ln, r"(?s)^[^:]*:(.*)$", 1)).alias("value")))
-
-
-def freeform_field(pairs: Column, name: str) -> Column:
-    """Last line whose key matches the field name wins (may overwrite with '')."""
-    key = name.casefold()
-    hit = F.element_at(F.filter(pairs, lambda p: p["key"] == F.lit(key)), -1)
-    return F.coalesce(hit["value"], F.lit(""))
-
-
 def clean_answer(spec: FieldSpec, raw: Column) -> Column:
     """Strip padding from an arbiter answer, type-aware."""
     t = F.regexp_replace(strip_ws(F.coalesce(raw, F.lit(""))), r"^[\"'. ]+|[\"'. ]+$", "")

@@ -1,24 +1,23 @@
 """Model requests and answer acquisition.
 
-Requests are string concatenations of a per-schema prefix (built once on the
-driver from the few-row spec) with the document. Answers come either from a
-recorded answer table (an equi-join) or from a user client called inside
-``mapInPandas``; client answers are written to shared storage before use so a
-retried or recomputed task never asks the model twice.
+What a request says before the document depends on the schema alone: a frame of
+one row per kind of request, made by column expressions over the spec frame.
+Answers come from a recorded table (an equi-join) or from a client called in
+``mapInPandas``. A client's answers go to a store on shared storage before they
+are used, and what the store holds is not asked again.
 """
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import by_field
-from ..session import materialize
-from ..spec import FieldSpec, Schema
+from ..session import scratch_path
+from ..spec import Schema, spec_frame
 
 # Request wording (the same text the reference sends).
 CONSTRAINED_HEAD = ("Extract the fields below from the document. "
@@ -31,85 +30,112 @@ ARBITER_OPTIONAL = "If the document does not state it, answer NONE.\n"
 MULTI_HINT = " [list ALL values, separated by '; ']"
 
 
-def field_lines(schema: Schema) -> str:
-    """Field block; carries no absence instruction (absence is structural)."""
-    def line(f: FieldSpec) -> str:
-        s = f"- {f.name} ({f.type})"
-        if f.enum:
-            s += " one of [" + ", ".join(repr(v) for v in f.enum) + "]"
-        if f.multi:
-            s += MULTI_HINT
-        if f.description:
-            s += f" — {f.description}"
-        return s
-    return "\n".join(line(f) for f in schema.fields)
+def _listed(text: Column, separator: str) -> Column:
+    """An aggregate: the texts of all fields in schema order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("text")))), lambda x: x["text"]), separator)
 
 
-def constrained_prefix(schema: Schema) -> str:
-    return (CONSTRAINED_HEAD + f"JSON SCHEMA:\n{json.dumps(schema.to_json_schema())}\n"
-            + f"FIELDS:\n{field_lines(schema)}\nDOCUMENT:\n")
+def _property() -> Column:
+    """A field's entry in the JSON Schema: a scalar, inside an array for lists, then the description."""
+    scalar = F.concat(F.lit('{"type": "'), F.when(F.col("type").isin("number", "integer"), F.col("type")).otherwise("string"),
+                      F.when(F.col("type") == "date", '", "format": "date"').otherwise('"'),
+                      F.when(F.size("enum") > 0, F.concat(F.lit(', "enum": '), "enum_json")).otherwise(""))
+    whole = F.when(F.col("multi"), F.concat(F.lit('{"type": "array", "items": '), scalar, F.lit("}"))).otherwise(scalar)
+    told = F.when(F.col("description") != "", F.concat(F.lit(', "description": '), "description_json")).otherwise("")
+    return F.concat("field_json", F.lit(": "), whole, told, F.lit("}"))
 
 
-def freeform_prefix(schema: Schema) -> str:
-    return (FREEFORM_HEAD.format(example=schema.fields[0].name)
-            + f"FIELDS:\n{field_lines(schema)}\nDOCUMENT:\n")
+def _line() -> Column:
+    """A field's line in the block of fields; it says nothing of absence."""
+    options = F.array_join(F.transform("enum", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", ")
+    return F.concat(F.lit("- "), "field", F.lit(" ("), "type", F.lit(")"), F.when(F.size("enum") > 0, F.concat(F.lit(" one of ["), options, F.lit("]"))).otherwise(""),
+                    F.when(F.col("multi"), MULTI_HINT).otherwise(""), F.when(F.col("description") != "", F.concat(F.lit(" — "), "description")).otherwise(""))
 
 
-def arbiter_prefix(spec: FieldSpec) -> str:
-    desc = f"DESCRIPTION: {spec.description}\n" if spec.description else ""
-    opt = "" if spec.required else ARBITER_OPTIONAL
-    return ARBITER_HEAD + f"FIELD: {spec.name}\nTYPE: {spec.type}\n{desc}{opt}DOCUMENT:\n"
+def request_heads(spark: SparkSession, schema: Schema) -> DataFrame:
+    """(path, field, force_json, head): what each kind of request says before the
+    document. Two rows for the extractions and one per field for the arbiter."""
+    spec = spec_frame(spark, schema)
+    parts = spec.agg(_listed(_property(), ", ").alias("properties"), _listed(_line(), "\n").alias("lines"), F.min_by("field", "ord").alias("first"),
+                     F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("required"), F.struct("ord", "field_json")))), lambda x: x["field_json"]), ", ").alias("needed"))
+    tail = F.concat(F.lit("FIELDS:\n"), "lines", F.lit("\nDOCUMENT:\n"))
+    form = F.concat(F.lit('JSON SCHEMA:\n{"type": "object", "properties": {'), "properties", F.lit('}, "required": ['), "needed", F.lit('], "additionalProperties": false}\n'))
+    before, after = FREEFORM_HEAD.split("{example}")
+    kind = lambda path, forced, head: F.struct(F.lit(path).alias("path"), F.lit("").alias("field"), F.lit(forced).alias("force_json"), head.alias("head"))
+    extraction = parts.select(F.inline(F.array(kind("constrained", True, F.concat(F.lit(CONSTRAINED_HEAD), form, tail)),
+                                               kind("unconstrained", False, F.concat(F.lit(before), "first", F.lit(after), tail)))))
+    asked = F.concat(F.lit(ARBITER_HEAD + "FIELD: "), "field", F.lit("\nTYPE: "), "type", F.lit("\n"),
+                     F.when(F.col("description") != "", F.concat(F.lit("DESCRIPTION: "), "description", F.lit("\n"))).otherwise(""),
+                     F.when(F.col("required"), "").otherwise(ARBITER_OPTIONAL), F.lit("DOCUMENT:\n"))
+    arbiter = spec.select(F.lit("arbiter").alias("path"), "field", F.lit(False).alias("force_json"), asked.alias("head"))
+    return extraction.unionByName(arbiter)
+
+
+def _prompt() -> Column:
+    return F.concat("head", "document", F.lit("\n")).alias("prompt")
 
 
 def extraction_requests(documents: DataFrame, schema: Schema, run_id: str) -> DataFrame:
     """Two requests per document: (run_id, doc_id, path, field, force_json, prompt)."""
-    doc = F.col("document")
-    return documents.select(
-        F.lit(run_id).alias("run_id"), "doc_id",
-        F.inline(F.array(
-            F.struct(F.lit("constrained").alias("path"), F.lit("").alias("field"),
-                     F.lit(True).alias("force_json"),
-                     F.concat(F.lit(constrained_prefix(schema)), doc, F.lit("\n")).alias("prompt")),
-            F.struct(F.lit("unconstrained").alias("path"), F.lit("").alias("field"),
-                     F.lit(False).alias("force_json"),
-                     F.concat(F.lit(freeform_prefix(schema)), doc, F.lit("\n")).alias("prompt")))))
+    heads = request_heads(documents.sparkSession, schema).filter("path <> 'arbiter'").collect()
+    both = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("path", "field", "force_json", "head"))) for r in heads))
+    return (documents.select("doc_id", "document", F.inline(both))
+            .select(F.lit(run_id).alias("run_id"), "doc_id", "path", "field", "force_json", _prompt()))
 
 
 def arbiter_requests(worklist: DataFrame, documents: DataFrame, schema: Schema) -> DataFrame:
     """One blind request per flagged field (the candidates are not shown)."""
-    prefix = by_field(schema, lambda s: F.lit(arbiter_prefix(s)))
-    return (worklist.join(documents.select("doc_id", "document"), "doc_id")
-            .select("run_id", "doc_id", F.lit("arbiter").alias("path"), "field",
-                    F.lit(False).alias("force_json"),
-                    F.concat(prefix, F.col("document"), F.lit("\n")).alias("prompt")))
+    heads = F.broadcast(request_heads(documents.sparkSession, schema).filter("path = 'arbiter'"))  # one row per field
+    return (worklist.join(heads, "field").join(documents.select("doc_id", "document"), "doc_id")
+            .select("run_id", "doc_id", "path", "field", "force_json", _prompt()))
 
 
-RESPONSE_SCHEMA = ("run_id string, doc_id long, path string, field string, "
+KEY = ["run_id", "doc_id", "path", "field"]
+RESPONSE_SCHEMA = ("run_id string, doc_id long, path string, field string, force_json boolean, prompt string, "
                    "raw string, elapsed_ms long")
 
 
-def acquire(requests: DataFrame, client_factory: Callable[[], object],
-            name: str = "responses") -> DataFrame:
-    """Ask the client for every request; persist before use (T3 log).
+def acquire(requests: DataFrame, client_factory: Callable[[], object], store: str | None = None, attempts: int = 2) -> DataFrame:
+    """An answer for every request, with its prompt (T3 log).
 
-    ``client_factory()`` is called once per Arrow batch iterator (per task), so
-    client state is never shared across partitions. ``generate(prompt,
-    force_json)`` returns the answer text; one row per request is one call.
+    ``store`` is a folder on shared storage (default: a new one). What it holds
+    is not asked again, so a later call only asks for what is missing. A client
+    made by ``client_factory`` serves one task; ``generate(prompt, force_json)``
+    returns the text, and a ``TimeoutError`` is tried again up to ``attempts``
+    times in all. A task that is lost asks for its own requests again.
     """
+    spark = requests.sparkSession
+    store = store or scratch_path(spark, "responses")
+
+    def stored() -> DataFrame | None:
+        try:
+            return spark.read.schema(RESPONSE_SCHEMA).parquet(store)
+        except AnalysisException:  # nothing is stored yet
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
+
+        def ask(prompt: str, forced: bool) -> str:
+            for left in reversed(range(attempts)):
+                try:
+                    return client.generate(prompt, force_json=forced)
+                except TimeoutError:
+                    if not left:
+                        raise
+            raise ValueError("attempts must be positive")
         for pdf in batches:
-            raws, ms = [], []
-            for prompt, fj in zip(pdf["prompt"], pdf["force_json"]):
-                t0 = time.perf_counter()
-                raws.append(client.generate(prompt, force_json=bool(fj)))
-                ms.append(int((time.perf_counter() - t0) * 1000))
-            yield pd.DataFrame({"run_id": pdf["run_id"], "doc_id": pdf["doc_id"],
-                                "path": pdf["path"], "field": pdf["field"],
-                                "raw": raws, "elapsed_ms": ms})
-    answered = requests.select("run_id", "doc_id", "path", "field", "force_json", "prompt") \
-        .mapInPandas(run, RESPONSE_SCHEMA)
-    return materialize(answered, name)
+            raws, times = [], []
+            for prompt, forced in zip(pdf["prompt"], pdf["force_json"]):
+                began = time.perf_counter()
+                raws.append(ask(prompt, bool(forced)))
+                times.append(int((time.perf_counter() - began) * 1000))
+            yield pdf.assign(raw=raws, elapsed_ms=times)
+    wanted = requests.select(*KEY, "force_json", "prompt")
+    before = stored()
+    missing = wanted if before is None else wanted.join(before, KEY, "left_anti")
+    missing.mapInPandas(run, RESPONSE_SCHEMA).write.mode("append").parquet(store)
+    return stored().join(wanted.select(*KEY), KEY, "left_semi")
 
 
 def acquire_recorded(worklist: DataFrame, answer_book: DataFrame) -> DataFrame:

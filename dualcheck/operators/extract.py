@@ -16,19 +16,14 @@ from ..spec import Schema
 
 
 def _parsed(extractions: DataFrame, schema: Schema) -> DataFrame:
-    """One pass over each response pair: JSON object (map for key presence,
-    struct for last-wins values) and the free-form lines."""
-    x = extractions.select(
-        "*", F.from_json(F.col("constrained_raw"), "map<string,string>", P._JSON_OPTS).alias("_m1"),
-        P.freeform_lines(F.col("unconstrained_raw")).alias("_l"))
-    repaired_text = F.regexp_extract(F.col("constrained_raw"), r"(?s)\{.*\}", 0)
-    ddl = P._struct_ddl(schema.names)
-    x = x.select(
-        "*",
-        F.map_keys(F.coalesce(F.col("_m1"), F.from_json(repaired_text, "map<string,string>", P._JSON_OPTS),
-                              F.create_map().cast("map<string,string>"))).alias("_k"),
-        F.when(F.col("_m1").isNotNull(), F.from_json(F.col("constrained_raw"), ddl, P._JSON_OPTS))
-        .otherwise(F.from_json(repaired_text, ddl, P._JSON_OPTS)).alias("_r"))
+    """Both responses parsed: the text that is one JSON object (the answer, else
+    what stands from its first brace to its last) and the free-form lines."""
+    raw = F.col("constrained_raw")
+    inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    x = extractions.select("*", F.when(P.one_object(raw), raw).when(P.one_object(inner), inner).alias("_t"),
+                           P.freeform_lines(F.col("unconstrained_raw")).alias("_l"))
+    x = x.select("*", F.coalesce(F.map_keys(F.from_json("_t", "map<string,string>", P._JSON_OPTS)), F.array().cast("array<string>")).alias("_k"),
+                 F.from_json("_t", P._struct_ddl(schema.names), P._JSON_OPTS).alias("_r"))
     return x.select("*", *[x for i, f in enumerate(schema.fields) for x in (
         P.json_value(F.col("_r"), F.col("_k"), f.name).alias(f"_c{i}"),
         P.freeform_lookup(F.col("_l"), f.name).alias(f"_u{i}"))])
@@ -62,22 +57,27 @@ def arbiter_wide(arbiter: DataFrame, schema: Schema) -> DataFrame:
 def field_rows(extractions: DataFrame, schema: Schema,
                arbiter: DataFrame | None = None,
                documents: DataFrame | None = None,
-               doc_columns: tuple[str, ...] = ()) -> DataFrame:
+               doc_columns: tuple[str, ...] = (), run_ids: tuple[str, ...] | None = None) -> DataFrame:
     """Both paths side by side for every schema field, plus gold and the
     arbiter's raw answer when given.
 
     Join order keeps the wide document rows to a single exchange: the small
     per-run tables (extractions, arbiter) are joined first on (run_id, doc_id),
-    then the result meets ``documents`` once on doc_id.
+    then the result meets ``documents`` once. All documents stay, once for each of
+    ``run_ids`` (default: the runs in ``extractions``, a few).
     """
-    base = _parsed(extractions, schema).drop("constrained_raw", "unconstrained_raw", "_m1", "_l",
+    base = _parsed(extractions, schema).drop("constrained_raw", "unconstrained_raw", "_t", "_l",
                                              "_k", "_r")
     if arbiter is not None:
         base = base.join(arbiter_wide(arbiter, schema), ["run_id", "doc_id"], "left")
     keep = ["run_id", "doc_id"]
     if documents is not None:
         docs = documents.select("doc_id", "doc_idx", "gold", *doc_columns)
-        base = base.join(docs, "doc_id", "inner")
+        if run_ids is None:
+            run_ids = tuple(r["run_id"] for r in extractions.select("run_id").distinct().collect())
+        # every document belongs to every run; one without a response has two empty paths
+        docs = docs.withColumn("run_id", F.explode(F.array(*map(F.lit, run_ids))) if len(run_ids) != 1 else F.lit(run_ids[0]))
+        base = docs.join(base, ["run_id", "doc_id"], "left").fillna("", [f"_{p}{i}" for p in "cu" for i in range(len(schema.fields))])
         base = base.select("*", *[F.coalesce(F.element_at("gold", F.lit(f.name)), F.lit("")).alias(f"_g{i}")
                                   for i, f in enumerate(schema.fields)])
         keep += ["doc_idx", *doc_columns]

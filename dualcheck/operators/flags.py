@@ -24,10 +24,14 @@ def disagreement(df: DataFrame, schema: Schema) -> DataFrame:
         s, F.col("con_c"), F.col("unc_c"), F.col("con_key"), F.col("unc_key"))))
 
 
+def flag_column(schema: Schema, threshold: float | Column) -> Column:
+    """C6 as a column over canonical texts and ``score``."""
+    return by_field(schema, lambda s: C.is_flagged(s, F.col("con_n"), F.col("unc_n"), F.col("score"), threshold))
+
+
 def flag(df: DataFrame, schema: Schema, threshold: float | Column = 0.5) -> DataFrame:
     """Adds ``flagged``; threshold may be a column (threshold sweeps)."""
-    return fence(df.withColumn("flagged", by_field(schema, lambda s: C.is_flagged(
-        s, F.col("con_n"), F.col("unc_n"), F.col("score"), threshold))))
+    return fence(df.withColumn("flagged", flag_column(schema, threshold)))
 
 
 def worklist(flagged: DataFrame) -> DataFrame:

@@ -21,6 +21,15 @@ def _ratio(num: Column, den: Column, empty: float) -> Column:
     return F.when(den == 0, F.lit(empty)).otherwise(num / den)
 
 
+def flag_rates(flagged: Column, corrupted: Column, hits: Column) -> tuple[Column, Column]:
+    """M3 precision and recall of flags. Vacuous rules: no flags -> 1/1 when
+    nothing was corrupted, else 0/0; flags but nothing corrupted -> recall 1."""
+    vacuous = F.when(corrupted == 0, 1.0).otherwise(0.0)
+    precision = F.when(flagged == 0, vacuous).otherwise(hits / flagged)
+    recall = F.when(flagged == 0, vacuous).when(corrupted == 0, F.lit(1.0)).otherwise(hits / corrupted)
+    return precision, recall
+
+
 def per_document(audited: DataFrame, keys: tuple[str, ...] = ("run_id", "doc_id")) -> DataFrame:
     """M1-M3 per document: correct counts, corrupted and flagged sets, P/R."""
     d = audited.groupBy(*keys).agg(
@@ -33,14 +42,7 @@ def per_document(audited: DataFrame, keys: tuple[str, ...] = ("run_id", "doc_id"
         F.count_if(~F.col("confident")).alias("low_confidence"),
         F.count_if("ungrounded").alias("ungrounded") if "ungrounded" in audited.columns
         else F.lit(0).alias("ungrounded"))
-    none_corrupt = F.col("n_corrupted") == 0
-    # vacuous rules: no flags -> 1/1 when nothing was corrupted, else 0/0;
-    # flags but nothing corrupted -> recall 1
-    precision = F.when(F.col("n_flagged") == 0, F.when(none_corrupt, 1.0).otherwise(0.0)) \
-        .otherwise(F.col("flag_tp") / F.col("n_flagged"))
-    recall = (F.when(F.col("n_flagged") == 0, F.when(none_corrupt, 1.0).otherwise(0.0))
-              .when(none_corrupt, F.lit(1.0))
-              .otherwise(F.col("flag_tp") / F.col("n_corrupted")))
+    precision, recall = flag_rates(F.col("n_flagged"), F.col("n_corrupted"), F.col("flag_tp"))
     return d.select("*", (F.col("con_correct") / F.col("n_fields")).alias("con_acc"),
                     (F.col("final_correct") / F.col("n_fields")).alias("final_acc"),
                     precision.alias("flag_precision"), recall.alias("flag_recall"))
@@ -92,9 +94,10 @@ def breakdown_cube(audited: DataFrame) -> DataFrame:
 
 
 def tripwire(audited: DataFrame) -> DataFrame:
-    """Warn when more than half of the final answers are absent."""
+    """Warn when more than half of the final answers are absent, by the
+    scalar form of the whole answer (also of a list)."""
     r = audited.groupBy("run_id").agg(
-        F.count_if(F.size(F.array_remove("final_key", "")) == 0).alias("absent"),
+        F.count_if(F.col("repaired") | (F.col("final_c.text") == "")).alias("absent"),
         F.count("*").alias("fields"))
     return r.withColumn("warn", F.col("absent") > F.floor(F.col("fields") / 2))
 

@@ -12,8 +12,21 @@ from ..spec import Schema
 
 
 def clean_arbiter(df: DataFrame, schema: Schema) -> DataFrame:
-    """R3 on ``arb_raw`` -> ``arb`` (missing answers read as '')."""
-    return fence(df.withColumn("arb", by_field(schema, lambda s: P.clean_answer(s, F.col("arb_raw")))))
+    """R3 on ``arb_raw`` -> ``arb``; an answer that was never obtained stays null."""
+    clean = by_field(schema, lambda s: P.clean_answer(s, F.col("arb_raw")))
+    return fence(df.withColumn("arb", F.when(F.col("arb_raw").isNotNull(), clean)))
+
+
+def arbitrated(df: DataFrame, schema: Schema) -> DataFrame:
+    """The arbiter's side of V2, the same for every threshold: ``arb``, ``arb_c``,
+    ``arb_key``, and whether it agrees with the free-form and the constrained path."""
+    out = clean_arbiter(df, schema)
+    out = CN.staged_canon(out, schema, "arb", "arb_c")
+    out = out.withColumn("arb_key", by_field(schema, lambda s: N.canon_set(s, F.col("arb"))
+                                             if s.multi else F.array(F.col("arb_c.text"))))
+    asked = F.col("arb").isNotNull()
+    return (out.withColumn("with_unc", asked & (F.col("arb_key") == F.col("unc_key")))
+            .withColumn("with_con", asked & (F.col("arb_key") == F.col("con_key"))).transform(fence))
 
 
 def resolve(df: DataFrame, schema: Schema) -> DataFrame:
@@ -22,16 +35,11 @@ def resolve(df: DataFrame, schema: Schema) -> DataFrame:
     Unflagged -> constrained ("agreement"). Flagged: arbiter agrees with the
     free-form path -> the arbiter's cleaned text ("majority"); agrees with the
     constrained path -> constrained ("majority"); else constrained kept,
-    "split-kept", not confident. Equality is the shared canonical key.
+    "split-kept", not confident. Equality is the shared canonical key. A flagged
+    field whose answer was never obtained agrees with no path: split-kept.
     """
-    out = clean_arbiter(df, schema)
-    out = CN.staged_canon(out, schema, "arb", "arb_c")
-    out = out.withColumn("arb_key", by_field(schema, lambda s: N.canon_set(s, F.col("arb"))
-                                             if s.multi else F.array(F.col("arb_c.text"))))
-    flagged = F.col("flagged")
-    with_unc = F.col("arb_key") == F.col("unc_key")
-    with_con = F.col("arb_key") == F.col("con_key")
-    return (out
+    flagged, with_unc, with_con = F.col("flagged"), F.col("with_unc"), F.col("with_con")
+    return (arbitrated(df, schema)
             .withColumn("resolution", F.when(~flagged, F.lit("agreement"))
                         .when(with_unc | with_con, F.lit("majority"))
                         .otherwise(F.lit("split-kept")))

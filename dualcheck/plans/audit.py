@@ -22,7 +22,6 @@ from ..operators import flags as FL
 from ..operators import ground as G
 from ..operators import resolve as R
 from ..sources.fixtures import AuditInputs
-from ..spec import Schema
 
 
 @dataclass(frozen=True)
@@ -32,21 +31,21 @@ class AuditConfig:
     ground_repair: bool = False
 
 
-def scored_fields(extractions: DataFrame, schema: Schema) -> DataFrame:
-    """Both paths per field with canonical forms and the disagreement score
-    (no documents needed)."""
-    rows = X.field_rows(extractions, schema)
-    rows = CN.canonicalise(rows, schema, ("con", "unc"))
-    return FL.score(rows, schema)
+def scored_fields(inputs: AuditInputs) -> DataFrame:
+    """Both paths per field of every document with canonical forms and the
+    disagreement score; no document's text is read."""
+    rows = X.field_rows(inputs.extractions, inputs.schema, documents=inputs.documents, run_ids=inputs.run_ids)
+    rows = CN.canonicalise(rows, inputs.schema, ("con", "unc"))
+    return FL.score(rows, inputs.schema)
 
 
-def flagged_fields(extractions: DataFrame, schema: Schema, threshold: float = 0.5) -> DataFrame:
-    return FL.flag(scored_fields(extractions, schema), schema, threshold)
+def flagged_fields(inputs: AuditInputs, threshold: float = 0.5) -> DataFrame:
+    return FL.flag(scored_fields(inputs), inputs.schema, threshold)
 
 
 def arbiter_answers(inputs: AuditInputs, threshold: float = 0.5) -> DataFrame:
     """Recorded arbiter answers for the flagged work list at ``threshold``."""
-    work = FL.worklist(flagged_fields(inputs.extractions, inputs.schema, threshold))
+    work = FL.worklist(flagged_fields(inputs, threshold))
     return A.acquire_recorded(work, inputs.answer_book)
 
 
@@ -66,7 +65,7 @@ def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
         arbiter = inputs.answer_book
     docs = G.document_features(inputs.documents)
     doc_cols = G.FEATURES + (("document",) if with_text else ())
-    rows = X.field_rows(inputs.extractions, schema, arbiter, docs, doc_cols)
+    rows = X.field_rows(inputs.extractions, schema, arbiter, docs, doc_cols, inputs.run_ids)
     rows = CN.canonicalise(rows, schema, ("con", "unc", "gold"))
     rows = FL.flag(FL.score(rows, schema), schema, config.threshold)
     rows = R.resolve(rows, schema)
@@ -76,7 +75,7 @@ def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
 
 
 def calls_per_run(inputs: AuditInputs, arbiter: DataFrame) -> DataFrame:
-    """M7 from acquired response tables: 2 extraction calls per document plus
+    """M7 from acquired response tables: 2 extraction calls per response row plus
     one per arbiter answer row (use with answers acquired for the work list)."""
     from pyspark.sql import functions as F
     ext = inputs.extractions.groupBy("run_id").agg((F.count("*") * 2).alias("extraction_calls"))

@@ -33,7 +33,7 @@ BASE = rf"""
 sp AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 sr AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS rn FROM sp),
 s3 AS (SELECT sr.l_orderkey, list(s.s_name ORDER BY sr.rn) AS names
-       FROM sr JOIN supplier s ON s.s_suppkey = sr.l_suppkey WHERE sr.rn <= 3 GROUP BY sr.l_orderkey),
+       FROM sr JOIN supplier s ON s.s_suppkey = sr.l_suppkey GROUP BY sr.l_orderkey),
 b0 AS (
   SELECT o.o_orderkey AS k, o.o_totalprice AS tp, CAST(o.o_orderdate AS DATE) AS od, o.o_orderpriority AS pr,
          c.c_name, n.n_name, coalesce(s3.names, []::VARCHAR[]) AS names
@@ -42,7 +42,7 @@ b0 AS (
   LEFT JOIN s3 ON s3.l_orderkey = o.o_orderkey),
 b1 AS (
   SELECT *, CASE WHEN k % 10 < 7 THEN n_name ELSE '' END AS g_nation,
-         (k % 10 >= 7 AND k % 3 = 0) AS fab, k % 97 = 0 AS trunc,
+         (k % 10 >= 7 AND k % 3 = 0) AS fab, k % 97 = 0 OR k % 101 = 17 AS trunc, k % 101 = 17 AS noresp, k % 103 = 29 AS noarb,
          list_position({PRIOS}, pr) AS pidx,
          strftime(od, '%-d %B %Y') AS date_words,
          strftime(CAST(od + 30 AS DATE), '%-d %B %Y') AS due_words,
@@ -80,19 +80,19 @@ def _fields() -> str:
     u0 = "CASE WHEN k % 19 = 6 THEN 'ORD' ELSE 'ORD-' || k END"
     con0 = f"CASE WHEN trunc THEN '' ELSE {u0} END"
     rows.append(f"""SELECT k, 0 AS ord, 'order_id' AS field, 'string' AS typ, true AS req, false AS multi,
-      {con0} AS con_raw, 'ORD-' || k AS unc_raw,
+      {con0} AS con_raw, CASE WHEN noresp THEN '' ELSE 'ORD-' || k END AS unc_raw,
       CASE {_arbk(0)} WHEN 't' THEN 'ORD-X' || k WHEN 'c' THEN {u0} ELSE 'ORD-' || k END AS arb_clean,
-      lower({con0}) AS con_t, 'ord-' || k AS unc_t, 'ord-' || k AS gold_t,
+      lower({con0}) AS con_t, CASE WHEN noresp THEN '' ELSE 'ord-' || k END AS unc_t, 'ord-' || k AS gold_t,
       lower(CASE {_arbk(0)} WHEN 't' THEN 'ORD-X' || k WHEN 'c' THEN {u0} ELSE 'ORD-' || k END) AS arb_t,
       {nul_x} AS con_x, {nul_x} AS unc_x, {nul_x} AS gold_x, {nul_x} AS arb_x,
       {nul_d} AS con_d, {nul_d} AS unc_d, {nul_d} AS gold_d, {nul_d} AS arb_d,
       {nul_s} AS con_s, {nul_s} AS unc_s, {nul_s} AS gold_s, {nul_s} AS arb_s FROM bt""")
     # 1 customer
     cn = _cn("c_name")
-    unc1 = f"CASE WHEN k % 37 = 11 THEN 'customer 999999999' ELSE {cn} END"
+    unc1 = f"CASE WHEN noresp THEN '' WHEN k % 37 = 11 THEN 'customer 999999999' ELSE {cn} END"
     rows.append(f"""SELECT k, 1, 'customer', 'string', true, false,
       CASE WHEN trunc THEN '' ELSE c_name END,
-      CASE WHEN k % 37 = 11 THEN 'customer#999999999' ELSE lower(c_name) END || ' .',
+      CASE WHEN noresp THEN '' ELSE CASE WHEN k % 37 = 11 THEN 'customer#999999999' ELSE lower(c_name) END || ' .' END,
       CASE {_arbk(1)} WHEN 't' THEN 'Unlisted Customer' ELSE c_name END,
       CASE WHEN trunc THEN '' ELSE {cn} END, {unc1}, {cn},
       CASE {_arbk(1)} WHEN 't' THEN 'unlisted customer' ELSE {cn} END,
@@ -107,36 +107,39 @@ def _fields() -> str:
     ur = f"coalesce(CAST({udec} AS VARCHAR), '')"  # answer book renders the decimal text
     # Python's json reads numbers as floats and prints them with str()
     conr = f"coalesce(CAST(CAST({cdec} AS DOUBLE) AS VARCHAR), '')"
+    uncx = "CASE WHEN noresp THEN NULL ELSE gx END"
     arbx = f"CASE {_arbk(2)} WHEN 't' THEN 1.0 WHEN 'c' THEN {ux} ELSE gx END"
     rows.append(f"""SELECT k, 2, 'total', 'number', true, false,
-      {conr}, 'USD ' || total_words,
+      {conr}, CASE WHEN noresp THEN '' ELSE 'USD ' || total_words END,
       CASE {_arbk(2)} WHEN 't' THEN '1.00' WHEN 'c' THEN {ur} ELSE total_words END,
-      {_num_text(conx)}, {_num_text('gx')}, {_num_text('gx')}, {_num_text(arbx)},
-      {conx}, gx, gx, {arbx}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
+      {_num_text(conx)}, {_num_text(uncx)}, {_num_text('gx')}, {_num_text(arbx)},
+      {conx}, {uncx}, gx, {arbx}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
       {nul_s}, {nul_s}, {nul_s}, {nul_s} FROM bt""")
     # 3 order_date (optional)
     ud = "CASE WHEN k % 13 = 4 THEN CAST(od + 1 AS DATE) ELSE od END"
     cond = f"CASE WHEN trunc THEN NULL ELSE {ud} END"
     arbd = f"CASE {_arbk(3)} WHEN 't' THEN CAST(od + 200 AS DATE) WHEN 'c' THEN {ud} ELSE od END"
+    uncd = "CASE WHEN noresp THEN NULL ELSE od END"
     dt = lambda d: f"coalesce(strftime({d}, '%Y-%m-%d'), '')"
     rows.append(f"""SELECT k, 3, 'order_date', 'date', false, false,
-      {dt(cond)}, date_words,
+      {dt(cond)}, CASE WHEN noresp THEN '' ELSE date_words END,
       CASE {_arbk(3)} WHEN 't' THEN strftime(CAST(od + 200 AS DATE), '%-d %B %Y') WHEN 'c' THEN {dt(ud)} ELSE date_words END,
-      {dt(cond)}, {dt('od')}, {dt('od')}, {dt(arbd)},
-      {nul_x}, {nul_x}, {nul_x}, {nul_x}, {cond}, od, od, {arbd},
+      {dt(cond)}, {dt(uncd)}, {dt('od')}, {dt(arbd)},
+      {nul_x}, {nul_x}, {nul_x}, {nul_x}, {cond}, {uncd}, od, {arbd},
       {nul_s}, {nul_s}, {nul_s}, {nul_s} FROM bt""")
     # 4 priority (enum)
     u4 = "CASE WHEN k % 17 = 5 THEN next_prio ELSE pr END"
     con4 = f"CASE WHEN trunc THEN '' ELSE {u4} END"
+    unc4 = "CASE WHEN noresp THEN '' ELSE pr END"
     arb4 = f"CASE {_arbk(4)} WHEN 't' THEN third_prio WHEN 'c' THEN {u4} ELSE pr END"
     rows.append(f"""SELECT k, 4, 'priority', 'enum', true, false,
-      {con4}, pr, {arb4}, lower({con4}), lower(pr), lower(pr), lower({arb4}),
+      {con4}, {unc4}, {arb4}, lower({con4}), lower({unc4}), lower(pr), lower({arb4}),
       {nul_x}, {nul_x}, {nul_x}, {nul_x}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
       {nul_s}, {nul_s}, {nul_s}, {nul_s} FROM bt""")
     # 5 nation (optional)
     u5 = "CASE WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE '' END"
     con5 = f"CASE WHEN trunc THEN '' ELSE {u5} END"
-    unc5 = "CASE WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE 'not stated' END"
+    unc5 = "CASE WHEN noresp THEN '' WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE 'not stated' END"
     arb5 = f"CASE {_arbk(5)} WHEN 't' THEN 'Atlantis' WHEN 'c' THEN {u5} ELSE CASE WHEN g_nation <> '' THEN g_nation ELSE 'NONE' END END"
     rows.append(f"""SELECT k, 5, 'nation', 'string', false, false,
       {con5}, {unc5}, {arb5}, lower({con5}),
@@ -147,14 +150,15 @@ def _fields() -> str:
     # 6 suppliers (multi)
     ul = "CASE WHEN k % 23 = 8 THEN names[2:] ELSE names END"
     conl = f"CASE WHEN trunc THEN []::VARCHAR[] ELSE {ul} END"
+    uncl = "CASE WHEN noresp THEN []::VARCHAR[] ELSE names END"
     arbs = f"CASE {_arbk(6)} WHEN 't' THEN ['unlisted supplier'] WHEN 'c' THEN {_set(ul)} ELSE {_set('names')} END"
     rows.append(f"""SELECT k, 6, 'suppliers', 'string', true, true,
-      array_to_string({conl}, '; '), array_to_string(list_reverse(names), '; '),
+      array_to_string({conl}, '; '), array_to_string(list_reverse({uncl}), '; '),
       CASE {_arbk(6)} WHEN 't' THEN 'Unlisted Supplier' WHEN 'c' THEN array_to_string({ul}, '; ') ELSE array_to_string(names, '; ') END,
-      array_to_string({_set(conl)}, '; '), array_to_string({_set('names')}, '; '),
+      array_to_string({_set(conl)}, '; '), array_to_string({_set(uncl)}, '; '),
       array_to_string({_set('names')}, '; '), array_to_string({arbs}, '; '),
       {nul_x}, {nul_x}, {nul_x}, {nul_x}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
-      {_set(conl)}, {_set('names')}, {_set('names')}, {arbs} FROM bt""")
+      {_set(conl)}, {_set(uncl)}, {_set('names')}, {arbs} FROM bt""")
     return "\nUNION ALL\n".join(rows)
 
 
@@ -186,8 +190,9 @@ def truth(repair: bool = False) -> str:
     return BASE + f"""
 f0 AS ({_fields()}),
 f1 AS (
-  SELECT f0.*, bt.doc, bt.doc_nums, bt.dtok, bt.od,
-    {key('con')} AS con_key, {key('unc')} AS unc_key, {key('gold')} AS gold_key, {key('arb')} AS arb_key,
+  SELECT f0.*, bt.doc, bt.doc_nums, bt.dtok, bt.od, bt.noresp, bt.noarb,
+    {key('con')} AS con_key, {key('unc')} AS unc_key, {key('gold')} AS gold_key,
+    CASE WHEN noarb THEN NULL ELSE {key('arb')} END AS arb_key,
     con_t = '' AS con_e, unc_t = '' AS unc_e
   FROM f0 JOIN bt USING (k)),
 f2 AS (
@@ -206,7 +211,7 @@ f4 AS (
   SELECT *,
     CASE WHEN NOT flagged THEN 'agreement' WHEN arb_key = unc_key OR arb_key = con_key THEN 'majority'
          ELSE 'split-kept' END AS resolution,
-    flagged AND arb_key = unc_key AS from_arb
+    flagged AND coalesce(arb_key = unc_key, false) AS from_arb
   FROM f3),
 f5 AS (
   SELECT *,
@@ -269,7 +274,7 @@ sw AS (
     con_key, unc_key, gold_key, arb_key
   FROM f2 CROSS JOIN th),
 sw2 AS (
-  SELECT *, CASE WHEN fl AND arb_key = unc_key THEN arb_key ELSE con_key END = gold_key AS ok,
+  SELECT *, CASE WHEN fl AND coalesce(arb_key = unc_key, false) THEN arb_key ELSE con_key END = gold_key AS ok,
          NOT (con_key = gold_key) AND unc_key = gold_key AS cor FROM sw),
 swd AS (
   SELECT doc_id, threshold, count(*) AS n, count(*) FILTER (WHERE ok) AS fc, count(*) FILTER (WHERE fl) AS nf,
@@ -308,32 +313,68 @@ sp AS (SELECT l.doc_id, greatest(instr(lower(l.mid), kw.kw) - 1 - 350, 0) AS a,
 o AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM sp),
 g AS (SELECT *, sum(CASE WHEN pm IS NULL OR a > pm THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS gi FROM o),
 m AS (SELECT doc_id, gi, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, gi),
-w AS (SELECT l.doc_id, string_agg(substring(l.mid, m.a + 1, m.b - m.a), chr(10) || '[...]' || chr(10) ORDER BY m.a) AS win
+w AS (SELECT l.doc_id, sum(length(substring(l.mid, m.a + 1, m.b - m.a))) AS kept, string_agg(substring(l.mid, m.a + 1, m.b - m.a), chr(10) || '[...]' || chr(10) ORDER BY m.a) AS win
       FROM l JOIN m USING (doc_id) GROUP BY l.doc_id),
 r AS (
   SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.t ELSE
     array_to_string(list_filter([substring(d.t, 1, 3000), coalesce(w.win, ''), substring(d.t, length(d.t) - 1499, 1500)], lambda p: p <> ''),
-                    chr(10) || '[...]' || chr(10)) END AS reduced
+                    chr(10) || '[...]' || chr(10)) END AS reduced,
+    CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE l.L - 4500 - coalesce(w.kept, 0) END AS INTEGER) AS dropped
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN w USING (doc_id))
-SELECT doc_id, length(reduced) AS reduced_len, sha256(reduced) AS reduced_sha FROM r
+SELECT doc_id, length(reduced) AS reduced_len, sha256(reduced) AS reduced_sha, dropped FROM r
 """
 
 
+def _requests() -> str:
+    """The prompts as text: every line that stands before a document, written out."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    prio = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    told = {"order_id": "order number, ORD-<n>", "customer": "customer name", "total": "total amount due", "order_date": "date the order was placed",
+            "nation": "destination nation", "suppliers": "supplier names"}
+    form = ('{"type": "object", "properties": {"order_id": {"type": "string", "description": "order number, ORD-<n>"}, '
+            '"customer": {"type": "string", "description": "customer name"}, "total": {"type": "number", "description": "total amount due"}, '
+            '"order_date": {"type": "string", "format": "date", "description": "date the order was placed"}, '
+            '"priority": {"type": "string", "enum": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}, '
+            '"nation": {"type": "string", "description": "destination nation"}, '
+            '"suppliers": {"type": "array", "items": {"type": "string"}, "description": "supplier names"}}, '
+            '"required": ["order_id", "customer", "total", "priority", "suppliers"], "additionalProperties": false}')
+    lines = ["- order_id (string) — order number, ORD-<n>", "- customer (string) — customer name", "- total (number) — total amount due",
+             "- order_date (date) — date the order was placed", f"- priority (enum) one of {prio}", "- nation (string) — destination nation",
+             "- suppliers (string) [list ALL values, separated by '; '] — supplier names"]
+    block = "FIELDS:\n" + "\n".join(lines) + "\nDOCUMENT:\n"
+    con = ("Extract the fields below from the document. Respond with a single JSON object matching this schema, nothing else.\n"
+           f"JSON SCHEMA:\n{form}\n{block}")
+    unc = ("Read the document and report every field listed below, one per line, using the exact field name, "
+           f"e.g. 'order_id: <value>'. Plain text only.\n{block}")
+    types = {"order_id": "string", "customer": "string", "total": "number", "order_date": "date", "priority": "enum", "nation": "string", "suppliers": "string"}
+    heads = " ".join(f"WHEN '{f}' THEN " + q(
+        "From the document, what is the value of this field? Answer with the value only, nothing else.\n"
+        f"FIELD: {f}\nTYPE: {t}\n" + (f"DESCRIPTION: {told[f]}\n" if f in told else "")
+        + ("If the document does not state it, answer NONE.\n" if f in ("order_date", "nation") else "") + "DOCUMENT:\n") for f, t in types.items())
+    return f"""SELECT 'tpch' AS run_id, doc_id, path, field, path = 'constrained' AS force_json, sha256(head || doc || chr(10)) AS prompt_sha FROM (
+        SELECT k AS doc_id, 'constrained' AS path, '' AS field, {q(con)} AS head, doc FROM bt
+        UNION ALL SELECT k, 'unconstrained', '', {q(unc)}, doc FROM bt
+        UNION ALL SELECT k, 'arbiter', field, CASE field {heads} END, doc FROM tt WHERE flagged)"""
+
+
+REQUESTS = _requests()
+
+
 def oracle_sql() -> dict[str, str]:
     T = with_truth
     fld = "SELECT doc_id, field, "
     q = {
-        "parse_json_path": T(fld + "con_raw AS value FROM tt"),
-        "parse_freeform_path": T(fld + "unc_raw AS value FROM tt"),
+        "parse_json_path": T(fld + "con_raw AS value FROM tt WHERE NOT noresp"),
+        "parse_freeform_path": T(fld + "unc_raw AS value FROM tt WHERE NOT noresp"),
         "canon_number": T("SELECT doc_id, con_x AS con_num, unc_x AS unc_num, gold_x AS gold_num FROM tt WHERE ord = 2"),
         "canon_date": T("SELECT doc_id, con_d AS con_dt, unc_d AS unc_dt, gold_d AS gold_dt FROM tt WHERE ord = 3"),
         "canon_string": T(fld + "con_t AS con_n, unc_t AS unc_n, gold_t AS gold_n FROM tt WHERE ord IN (0, 1, 4, 5)"),
         "canon_set": T("SELECT doc_id, con_t AS con_disp, unc_t AS unc_disp, gold_t AS gold_disp FROM tt WHERE ord = 6"),
-        "absence": T("SELECT doc_id, unc_raw = 'not stated' AS absent FROM tt WHERE ord = 5"),
+        "absence": T(fld + "unc_raw IN ('', 'not stated') AS absent FROM tt WHERE NOT req AND NOT noresp"),
         "disagreement": T(fld + "round(score, 6) AS score FROM tt"),
         "flags": T(fld + "flagged FROM tt"),
         "flag_worklist": T("SELECT run_id, doc_id, field FROM tt WHERE flagged"),
-        "clean_answer": T(fld + "arb_clean AS cleaned FROM tt"),
+        "clean_answer": T(fld + "arb_clean AS cleaned FROM tt WHERE NOT noarb"),
         "resolve": T(fld + "resolution, resolution <> 'split-kept' AS confident, "
                      "array_to_string(final_key, '; ') AS final_canon FROM tt"),
         "final_record": T("SELECT doc_id, " + ", ".join(
@@ -351,7 +392,8 @@ def oracle_sql() -> dict[str, str]:
                            "instr(lower(doc), lower(trim(final_raw))) > 0 THEN instr(lower(doc), lower(trim(final_raw)))"
                            " + length(trim(final_raw)) - 1 ELSE 0 END AS span_end FROM tt"),
         "confidence": T(fld + "round(confidence, 6) AS confidence FROM tt"),
-        "review_topk": T(fld + "round(confidence, 6) AS confidence FROM tt ORDER BY confidence, doc_idx, ord LIMIT 50"),
+        "review_topk": T(fld + "round(confidence, 6) AS confidence FROM tt QUALIFY row_number() OVER (ORDER BY tt.confidence, doc_idx, ord) "
+                         "<= ceil(0.05 * count(*) OVER ())"),
         "accuracy_by_doc": T(PER_DOC + "SELECT doc_id, round(con_acc, 6) AS con_acc, round(final_acc, 6) AS final_acc FROM pdr"),
         "accuracy_by_field": T("SELECT field, count(*) AS n, round(avg(CASE WHEN con_ok THEN 1.0 ELSE 0.0 END), 6) AS constrained_acc, "
                                "round(avg(CASE WHEN final_ok THEN 1.0 ELSE 0.0 END), 6) AS final_acc, "
@@ -362,8 +404,8 @@ def oracle_sql() -> dict[str, str]:
         "run_report": T(PER_DOC + REPORT),
         "run_report_repair": T(PER_DOC + REPORT, repair=True),
         "sweep": T(SWEEP),
-        "tripwire": T("SELECT run_id, count(*) FILTER (WHERE len(list_filter(kept_key, lambda x: x <> '')) = 0) AS absent, "
-                      "count(*) AS fields, count(*) FILTER (WHERE len(list_filter(kept_key, lambda x: x <> '')) = 0) "
+        "tripwire": T("SELECT run_id, count(*) FILTER (WHERE fin_t = '') AS absent, "
+                      "count(*) AS fields, count(*) FILTER (WHERE fin_t = '') "
                       "> floor(count(*) / 2) AS warn FROM tt GROUP BY run_id"),
         "ground_confusion": T("""SELECT run_id, caught, missed, false_alarm, clean,
             round(CASE WHEN caught + missed > 0 THEN caught / (caught + missed) ELSE 0.0 END, 6) AS recall,
@@ -396,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
                         "count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, "
                         "min(length(text)) AS min_chars, max(length(text)) AS max_chars FROM documents",
         "escape_residue": "SELECT CAST(sum((length(text) - length(replace(text, '\\n', ''))) / 2) AS BIGINT) AS literal_newlines, "
+                          "CAST(sum((length(text) - length(replace(text, '\\t', ''))) / 2) AS BIGINT) AS literal_tabs, "
                           "count(*) FILTER (WHERE instr(text, chr(10)) > 0) AS docs_with_newline FROM documents",
         "fingerprint": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "corpus_sample": "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank "
@@ -409,15 +452,30 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'nation', CASE WHEN g_nation = '' THEN 1 ELSE 0 END FROM b
             UNION ALL SELECT 'suppliers', CASE WHEN len(names) = 0 THEN 1 ELSE 0 END FROM b) GROUP BY field""",
         "label_parse": "WITH " + BASE.rstrip().rstrip(",") + """
-          SELECT k AS doc_id, strftime(od, '%Y-%m-%d') AS order_date, replace(g_nation, '_', ' ') AS nation,
-                 printf('%.2f', tp) AS total, array_to_string(names, '; ') AS suppliers FROM b""",
-        "provenance_diff": "SELECT count(*) AS total, count(*) AS order_date_match, count(*) AS nation_match, "
-                           "count(*) AS total_match, count(*) AS suppliers_match FROM orders",
+          SELECT k AS doc_id, 'ORD-' || k AS order_id, c_name AS customer, CASE WHEN k % 41 = 7 THEN '0.00' ELSE printf('%.2f', tp) END AS total,
+                 CASE WHEN k % 41 <> 7 AND k % 43 = 5 THEN '' ELSE strftime(od, '%Y-%m-%d') END AS order_date, pr AS priority,
+                 replace(g_nation, '_', ' ') AS nation, array_to_string(names, '; ') AS suppliers FROM b""",
+        "provenance_diff": "SELECT count(*) AS total, count(*) AS order_id_match, count(*) AS customer_match, count(*) AS priority_match, "
+                           "count(*) FILTER (WHERE o_orderkey % 41 = 7 OR o_orderkey % 43 <> 5) AS order_date_match, count(*) AS nation_match, "
+                           "count(*) FILTER (WHERE o_orderkey % 41 <> 7 OR round(o_totalprice, 2) = 0) AS total_match, count(*) AS suppliers_match FROM orders",
+        "corpus_digest": "SELECT count(*) AS records, " + " || '-' || ".join(
+            f"CAST(sum(CAST(('0x' || substr(h, {at}, 16)) AS UBIGINT)) AS VARCHAR)" for at in (1, 17, 33, 49))
+            + " AS digest FROM (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents)",
+        "corpus_identical": "SELECT count(*) AS left_records, count(*) AS right_records, count(*) FILTER (WHERE text = t) AS equal, "
+                            "count(*) FILTER (WHERE text <> t) AS different, count(*) FILTER (WHERE text = t) = count(*) AS identical "
+                            "FROM (SELECT text, rtrim(text, ' ' || chr(10)) AS t FROM documents)",
+        "bootstrap_mean": T(PER_DOC + "SELECT round(avg(final_acc), 6) AS mean, count(*) AS docs, 10000 AS n_boot, true AS bracketed FROM pdr"),
+        "requests": T(REQUESTS),
+        "acquired_cost": T(PER_DOC + """SELECT run_id, 2 * (SELECT count(*) FILTER (WHERE NOT noresp) FROM bt) + (SELECT count(*) FROM tt WHERE flagged AND NOT noarb) AS llm_calls,
+            final_acc, low_confidence FROM (""" + REPORT + ")"),
+        "stage_payloads": T("""SELECT doc_id, stage, sha256(payload) AS payload_sha FROM (
+            SELECT doc_id, 'constrained' AS stage, '{' || string_agg('"' || field || '":"' || con_raw || '"', ',' ORDER BY ord) || '}' AS payload FROM tt GROUP BY doc_id
+            UNION ALL SELECT doc_id, 'unconstrained', '{' || string_agg('"' || field || '":"' || unc_raw || '"', ',' ORDER BY ord) || '}' FROM tt GROUP BY doc_id)"""),
         "events_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS con_num FROM events",
-        "stage_events": T("""SELECT stage, n FROM (
+        "stage_events": T("""SELECT stage, n, first_seq, last_seq FROM (
             SELECT unnest(['source','constrained','unconstrained','normalize','disagree','arbiter_done','ground','kept']) AS stage,
-                   (SELECT count(DISTINCT doc_id) FROM tt) AS n
-            UNION ALL SELECT 'arbiter_field', (SELECT count(*) FROM tt WHERE flagged))"""),
+                   (SELECT count(DISTINCT doc_id) FROM tt) AS n, unnest([0, 1, 2, 3, 4, 12, 13, 14]) AS first_seq, unnest([0, 1, 2, 3, 4, 12, 13, 14]) AS last_seq
+            UNION ALL SELECT 'arbiter_field', count(*), 5 + min(ord), 5 + max(ord) FROM tt WHERE flagged)"""),
         "ungrounded_monitor": T("""SELECT CAST(time_bucket(INTERVAL 30 DAY, CAST(od AS TIMESTAMP), TIMESTAMP '1970-01-01') AS DATE) AS window_start,
             count(*) AS fields, count(*) FILTER (WHERE ungrounded) AS ungrounded,
             round(count(*) FILTER (WHERE ungrounded) / count(*), 6) AS rate FROM tt GROUP BY 1"""),

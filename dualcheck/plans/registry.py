@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import fenced_filter
+from ..operators import acquire as A
 from ..operators import canonicalise as CN
 from ..operators import confidence as K
 from ..operators import extract as X
@@ -17,11 +18,15 @@ from ..operators import ground as G
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators import studies as ST
+from ..session import materialize
 from ..sources import corpus as C
 from ..sources.fixtures import AuditInputs, read_table, tpch_audit_inputs
-from .audit import AuditConfig, audit, scored_fields
+from .audit import AuditConfig, arbiter_answers, audit, calls_per_run, flagged_fields, scored_fields
 
-REVIEW_K = 50
+#: The share of all fields that goes to review.
+REVIEW_SHARE = 0.05
+N_BOOT = 10_000
+LABELS = ("order_id", "customer", "total", "order_date", "priority", "nation")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
@@ -44,7 +49,7 @@ def q_parse_freeform_path(spark, sf_dir):
 
 def _canon(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    rows = X.field_rows(inp.extractions, inp.schema, documents=inp.documents)
+    rows = X.field_rows(inp.extractions, inp.schema, documents=inp.documents, run_ids=inp.run_ids)
     return CN.canonicalise(rows, inp.schema, ("con", "unc", "gold"), typed=True)
 
 
@@ -71,26 +76,26 @@ def q_canon_set(spark, sf_dir):
 
 def q_absence(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    rows = X.parse_freeform(inp.extractions, inp.schema).filter(F.col("field") == "nation")
-    return CN.absent(rows.withColumn("ord", F.lit(5)), inp.schema, "value").select(
-        "doc_id", F.col("value_absent").alias("absent"))
+    optional = [f.name for f in inp.schema.fields if not f.required]
+    rows = X.parse_freeform(inp.extractions, inp.schema).filter(F.col("field").isin(optional))
+    return CN.absent(rows, inp.schema, "value").select("doc_id", "field", F.col("value_absent").alias("absent"))
 
 
 def q_disagreement(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    s = scored_fields(inp.extractions, inp.schema)
+    s = scored_fields(inp)
     return s.select("doc_id", "field", M.r6(F.col("score")).alias("score"))
 
 
 def q_flags(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    s = FL.flag(scored_fields(inp.extractions, inp.schema), inp.schema, 0.5)
+    s = flagged_fields(inp)
     return s.select("doc_id", "field", "flagged")
 
 
 def q_flag_worklist(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    s = FL.flag(scored_fields(inp.extractions, inp.schema), inp.schema, 0.5)
+    s = flagged_fields(inp)
     return FL.worklist(s).select("run_id", "doc_id", "field")
 
 
@@ -140,8 +145,9 @@ def q_confidence(spark, sf_dir):
 
 
 def q_review_topk(spark, sf_dir):
-    a = _audit(spark, sf_dir)
-    return K.review_queue(a, REVIEW_K).select("doc_id", "field", M.r6(F.col("confidence")).alias("confidence"))
+    """K2: the share of all fields with the least confidence."""
+    a = materialize(_audit(spark, sf_dir).select("run_id", "doc_id", "doc_idx", "ord", "field", "confidence"), "confidences")
+    return K.review_share(a, REVIEW_SHARE).filter("route = 'review'").select("doc_id", "field", M.r6(F.col("confidence")).alias("confidence"))
 
 
 def q_accuracy_by_doc(spark, sf_dir):
@@ -177,7 +183,7 @@ def q_run_report_repair(spark, sf_dir):
 
 def q_sweep(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    rows = X.field_rows(inp.extractions, inp.schema, inp.answer_book, inp.documents)
+    rows = X.field_rows(inp.extractions, inp.schema, inp.answer_book, inp.documents, run_ids=inp.run_ids)
     rows = CN.canonicalise(rows, inp.schema, ("con", "unc", "gold"))
     return ST.sweep(FL.score(rows, inp.schema), inp.schema).drop("run_id")
 
@@ -203,7 +209,29 @@ def q_risk_coverage(spark, sf_dir):
 
 def q_bootstrap_ci(spark, sf_dir):
     d = M.per_document(_audit(spark, sf_dir))
-    return ST.bootstrap_ci(d, n_boot=2000, seed=0)
+    return ST.bootstrap_ci(d, n_boot=N_BOOT, seed=0)
+
+
+def q_bootstrap_mean(spark, sf_dir):
+    """M10 as far as it doesn't depend on the draws: the interval brackets the mean."""
+    ci = q_bootstrap_ci(spark, sf_dir)
+    return ci.select("mean", "docs", "n_boot", ((F.col("lo95") <= F.col("mean")) & (F.col("mean") <= F.col("hi95"))).alias("bracketed"))
+
+
+def q_requests(spark, sf_dir):
+    """A hash of every prompt: both extractions of all documents and one for each flagged field."""
+    inp = _inputs(spark, sf_dir)
+    both = A.extraction_requests(inp.documents, inp.schema, inp.run_ids[0])
+    asked = A.arbiter_requests(FL.worklist(flagged_fields(inp)), inp.documents, inp.schema)
+    return both.unionByName(asked).select("run_id", "doc_id", "path", "field", "force_json", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+def q_acquired_cost(spark, sf_dir):
+    """V1 -> P5 -> V2 -> M7: only flagged fields get a recorded answer; calls are counted rows."""
+    inp = _inputs(spark, sf_dir)
+    answers = materialize(arbiter_answers(inp), "answers")
+    report = M.run_report(audit(inp, arbiter=answers), inp.schema).select("run_id", "final_acc", "low_confidence")
+    return calls_per_run(inp, answers).join(report, "run_id")
 
 
 def q_counterfactual(spark, sf_dir):
@@ -239,6 +267,12 @@ def q_corpus_digest(spark, sf_dir):
     return C.corpus_digest(C.fingerprints(read_table(spark, sf_dir, "documents")))
 
 
+def q_corpus_identical(spark, sf_dir):
+    """Q5: the corpus against itself without trailing blanks and line ends."""
+    d = read_table(spark, sf_dir, "documents")
+    return C.same_corpus(C.fingerprints(d), C.fingerprints(d.withColumn("text", F.regexp_replace("text", r"[ \n]+$", ""))))
+
+
 def q_corpus_sample(spark, sf_dir):
     return C.corpus_sample(read_table(spark, sf_dir, "documents"), "lang", 6).select(
         "lang", "doc_id", "rank")
@@ -248,7 +282,7 @@ def q_clause_reduce(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     r = C.clause_reduce(d.select("doc_id", F.col("text")))
     return r.select("doc_id", F.length("reduced").alias("reduced_len"),
-                    F.sha2("reduced", 256).alias("reduced_sha"))
+                    F.sha2("reduced", 256).alias("reduced_sha"), "dropped")
 
 
 def q_gold_absence(spark, sf_dir):
@@ -257,16 +291,22 @@ def q_gold_absence(spark, sf_dir):
     return g.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("absent"))
 
 
+def _label_lines(inp):
+    """Stand-in label lines, with another total where k % 41 = 7 and else no date where k % 43 = 5."""
+    k, line = F.col("doc_id"), F.col("line")
+    return C.label_lines(inp.documents, LABELS, "suppliers").withColumn(
+        "line", F.when(F.pmod(k, F.lit(41)) == 7, F.regexp_replace(line, r"total=\S*", "total=0.00"))
+        .when(F.pmod(k, F.lit(43)) == 5, F.regexp_replace(line, r"order_date=\S*", "")).otherwise(line))
+
+
 def q_label_parse(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    lines = C.label_lines(inp.documents)
-    return C.parse_label_lines(lines, ("order_date", "nation", "total"), "suppliers")
+    return C.parse_label_lines(_label_lines(inp), LABELS, "suppliers")
 
 
 def q_provenance_diff(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
-    parsed = C.parse_label_lines(C.label_lines(inp.documents), ("order_date", "nation", "total"), "suppliers")
-    return C.provenance_diff(parsed, inp.documents)
+    return C.provenance_diff(C.parse_label_lines(_label_lines(inp), LABELS, "suppliers"), inp.documents)
 
 
 def q_events_json(spark, sf_dir):
@@ -284,7 +324,15 @@ def q_stage_events(spark, sf_dir):
     from ..streaming.feed import stage_rows
     inp = _inputs(spark, sf_dir)
     ev = stage_rows(audit(inp), inp.schema)
-    return ev.groupBy("stage").agg(F.count("*").alias("n"))
+    return ev.groupBy("stage").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def q_stage_payloads(spark, sf_dir):
+    """Hashes of what both paths' stages say of every document."""
+    from ..streaming.feed import stage_rows
+    inp = _inputs(spark, sf_dir)
+    ev = stage_rows(audit(inp), inp.schema).filter(F.col("stage").isin("constrained", "unconstrained"))
+    return ev.select("doc_id", "stage", F.sha2("payload", 256).alias("payload_sha"))
 
 
 def q_ungrounded_monitor(spark, sf_dir):

@@ -7,6 +7,7 @@ under the cluster's shared ``spark.checkpoint.dir`` for materialised tables.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,16 +39,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only when unset.
+    """Return the shared checkpoint folder; set a private one only in local mode.
 
     On a cluster the operator configures ``spark.checkpoint.dir`` to shared
-    storage and this function only reads it. The temporary folder is the
-    fallback for local tests, where the driver is the only machine.
+    storage and this function only reads it; without it the call fails. Only
+    where driver and executors are one machine (``local[...]``) a temporary
+    folder stands in.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="dualcheck-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, current)
     if not spark.sparkContext.getCheckpointDir():

@@ -13,30 +13,53 @@ HEAD, TAIL, WINDOW = 3000, 1500, 700
 CLAUSE_KEYWORDS = ("governed by", "governing law", "laws of the", "term of this agreement",
                    "shall remain in effect", "shall terminate", "period of")
 PART_SEP = "\n[...]\n"
+# The patterns that decide a gold value's type.
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 DMY_DATE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$"
 NUMBERISH = r"^[-+]?[\d,]*\.?\d+$"
 
 
+def numbered(rows: DataFrame, name: str = "doc_idx") -> DataFrame:
+    """Rows with their place in the input's order, from 0.
+
+    Spark's row ids count up within a partition; adding what earlier partitions
+    hold makes them consecutive. Only one count per partition is gathered.
+    """
+    ids = rows.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ids.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (ids.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before"))
+
+
+def _gold_text(value) -> F.Column:
+    """A gold value as text: a list's elements joined by "; ", true and false as
+    True and False, null as None, anything else as it is written."""
+    kind = F.schema_of_variant(value)
+    items = F.array_join(F.try_variant_get(value, "$", "array<string>"), "; ", "None")
+    return (F.when(kind.startswith("ARRAY"), items).when(kind == "VOID", F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(value.cast("string"))).otherwise(value.cast("string")))
+
+
+def _jsonl_records(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_idx, document, gold MAP<STRING,VARIANT>) of the lines that aren't blank; a line that is no JSON raises."""
+    lines = numbered(spark.read.text(path).filter(F.trim("value") != ""))
+    rec = F.from_json("value", "document string, gold map<string,variant>", {"mode": "FAILFAST"})
+    return lines.select("doc_idx", rec.alias("r")).select("doc_idx", "r.document", "r.gold")
+
+
 def read_jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
     """{"document", "gold"} lines -> (doc_idx, document, gold MAP<STRING,STRING>).
 
-    Blank lines are skipped; list gold values are joined with "; ". The line
-    index comes from ``zipWithIndex`` on the text, so order is the file order.
-    An empty corpus raises.
+    Blank lines are skipped, bad lines raise, and so does an empty corpus. The
+    line index follows file order.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda t: (t[1], t[0][0])).toDF(
-        "line_no long, value string")
-    lines = lines.filter(F.trim("value") != "")
-    rec = lines.select("line_no", F.from_json("value", "document string, gold map<string,string>").alias("r"))
-    gold = F.map_from_entries(F.transform(F.map_entries("r.gold"), lambda e: F.struct(
-        e["key"], F.when(e["value"].startswith("["),
-                         F.array_join(F.from_json(e["value"], "array<string>"), "; ")).otherwise(e["value"]))))
-    out = rec.select(F.row_number().over(Window.orderBy("line_no")).alias("doc_idx"),
-                     F.col("r.document").alias("document"), gold.alias("gold"))
-    if out.isEmpty():
+    rec = _jsonl_records(spark, path)
+    if rec.isEmpty():
         raise ValueError(f"no records in {path}")
-    return out.withColumn("doc_idx", F.col("doc_idx") - 1)
+    return rec.select("doc_idx", "document", F.transform_values("gold", lambda k, v: _gold_text(v)).alias("gold"))
 
 
 def infer_type(value) -> F.Column:
@@ -49,15 +72,11 @@ def infer_type(value) -> F.Column:
 def infer_schema(spark: SparkSession, path: str, name: str = "external") -> Schema:
     """Field spec from the first record's gold (types from raw values;
     lists -> multi with the first element's type). A few rows to the driver."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1)
-    raw = first.select(F.from_json("value", "struct<gold: map<string,string>>").alias("r"))
-    ent = raw.select(F.posexplode(F.map_entries("r.gold")).alias("ord", "e"))
-    lst = F.from_json(F.col("e.value"), "array<string>")
-    rows = ent.select("ord", F.col("e.key").alias("k"),
-                      F.col("e.value").startswith("[").alias("multi"),
-                      infer_type(F.when(F.col("e.value").startswith("["),
-                                        F.coalesce(F.try_element_at(lst, F.lit(1)), F.lit("")))
-                                 .otherwise(F.col("e.value"))).alias("t")).orderBy("ord").collect()
+    first = _jsonl_records(spark, path).filter("doc_idx = 0")
+    ent = first.select(F.posexplode(F.map_entries("gold")).alias("ord", "e")).select("ord", F.col("e.key").alias("k"), F.col("e.value").alias("v"))
+    multi = F.schema_of_variant("v").startswith("ARRAY")
+    element = F.coalesce(F.try_element_at(F.try_variant_get("v", "$", "array<string>"), F.lit(1)), F.lit(""))
+    rows = ent.select("k", multi.alias("multi"), infer_type(F.when(multi, element).otherwise(_gold_text(F.col("v")))).alias("t"), "ord").orderBy("ord").collect()
     return Schema(name, tuple(FieldSpec(r["k"], r["t"], multi=bool(r["multi"])) for r in rows))
 
 
@@ -88,16 +107,22 @@ def unescape(text) -> F.Column:
     return F.replace(t, F.lit("\\r"), F.lit(""))
 
 
-def clause_reduce(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Long documents keep head, tail and merged keyword windows of the middle."""
+def clause_reduce(docs: DataFrame, text: str = "text", head_chars: int = HEAD, tail_chars: int = TAIL, window: int = WINDOW) -> DataFrame:
+    """Long documents keep head, tail and merged keyword windows of the middle.
+
+    The three sizes decide what of a long document is kept; ``dropped`` counts
+    the characters that ``reduced`` doesn't hold, and ``kept_spans`` says where
+    (from, to, from 0) its parts stand in the unescaped text. Only ``reduced``
+    is shortened: the text itself stays for grounding.
+    """
     t = unescape(F.col(text))
     x = docs.withColumn("_t", t).withColumn("_L", F.length("_t"))
-    mid = F.substring(F.col("_t"), F.lit(HEAD + 1), F.col("_L") - HEAD - TAIL)
+    mid = F.substring(F.col("_t"), F.lit(head_chars + 1), F.col("_L") - head_chars - tail_chars)
     x = x.withColumn("_mid", mid).withColumn("_low", F.lower("_mid"))
     spans = F.array_compact(F.array(*[
         F.when(F.instr("_low", kw) > 0, F.struct(
-            F.greatest(F.instr("_low", kw) - 1 - WINDOW // 2, F.lit(0)).alias("a"),
-            (F.instr("_low", kw) - 1 + WINDOW).alias("b"))) for kw in CLAUSE_KEYWORDS]))
+            F.greatest(F.instr("_low", kw) - 1 - window // 2, F.lit(0)).alias("a"),
+            (F.instr("_low", kw) - 1 + window).alias("b"))) for kw in CLAUSE_KEYWORDS]))
     merged = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<a:int,b:int>>"),
                          lambda acc, s: F.when(
                              (F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)["b"]),
@@ -107,11 +132,17 @@ def clause_reduce(docs: DataFrame, text: str = "text") -> DataFrame:
                          .otherwise(F.concat(acc, F.array(s))))
     windows = F.array_join(F.transform(merged, lambda s: F.substring(F.col("_mid"), s["a"] + 1, s["b"] - s["a"])),
                            PART_SEP)
-    head = F.substring("_t", 1, HEAD)
-    tail = F.substring("_t", -TAIL, TAIL)
+    head = F.substring("_t", 1, head_chars)
+    tail = F.substring("_t", -tail_chars, tail_chars)
     reduced = F.array_join(F.filter(F.array(head, windows, tail), lambda p: p != ""), PART_SEP)
-    return x.select("*", F.when(F.col("_L") > HEAD + TAIL, reduced).otherwise(F.col("_t")).alias("reduced")) \
-        .drop("_t", "_L", "_mid", "_low")
+    long = F.col("_L") > head_chars + tail_chars
+    span = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to"))
+    middle = F.transform(merged, lambda s: span(s["a"] + head_chars, F.least(s["b"] + head_chars, F.col("_L") - tail_chars)))
+    parts = F.when(long, F.concat(F.array(span(F.lit(0), F.lit(head_chars))), middle, F.array(span(F.col("_L") - tail_chars, F.col("_L"))))) \
+        .otherwise(F.array(span(F.lit(0), F.col("_L"))))
+    x = x.withColumn("reduced", F.when(long, reduced).otherwise(F.col("_t"))).withColumn("kept_spans", parts)
+    kept = F.aggregate("kept_spans", F.lit(0), lambda acc, s: acc + s["to"] - s["from"])
+    return x.withColumn("dropped", F.col("_L") - kept).drop("_t", "_L", "_mid", "_low")
 
 
 def corpus_shape(docs: DataFrame) -> DataFrame:
@@ -123,8 +154,9 @@ def corpus_shape(docs: DataFrame) -> DataFrame:
 
 
 def escape_residue(docs: DataFrame) -> DataFrame:
-    """Q2: literal backslash escapes left in text, and documents with real newlines."""
+    """Q2: literal backslash escapes (newline and tab) left in text, and documents with real newlines."""
     return docs.agg(F.sum(F.regexp_count("text", F.lit(r"\\n"))).alias("literal_newlines"),
+                    F.sum(F.regexp_count("text", F.lit(r"\\t"))).alias("literal_tabs"),
                     F.count_if(F.instr("text", "\n") > 0).alias("docs_with_newline"))
 
 
@@ -134,11 +166,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def corpus_digest(fp: DataFrame) -> DataFrame:
-    """Q5 corpus digest, order-aware through the id, combined by a sum (no
-    single-task collection): sum of the first 48 bits of sha256(id ':' sha)."""
-    part = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "sha256"), 256), 1, 12),
-                  16, 10).cast("decimal(38,0)")
-    return fp.agg(F.count("*").alias("records"), F.sum(part).cast("string").alias("digest"))
+    """Q5 corpus digest, tied to the ids, combined by sums (no single-task
+    collection): sha256(id ':' sha) as four numbers of 64 bits, each summed
+    over the corpus, so that all 256 bits of every hash count."""
+    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "sha256"), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+            for at in (1, 17, 33, 49)]
+    return fp.agg(F.count("*").alias("records"), F.concat_ws("-", *sums).alias("digest"))
+
+
+def same_corpus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Q5: whether two fingerprint tables hold the same documents: counts on each
+    side and of ids with equal and with different content."""
+    both = a.select("doc_id", F.col("sha256").alias("a")).join(b.select("doc_id", F.col("sha256").alias("b")), "doc_id", "full_outer")
+    return both.agg(F.count("a").alias("left_records"), F.count("b").alias("right_records"), F.count_if(F.col("a") == F.col("b")).alias("equal"),
+                    F.count_if(F.col("a") != F.col("b")).alias("different")).withColumn(
+        "identical", (F.col("left_records") == F.col("equal")) & (F.col("right_records") == F.col("equal")))
 
 
 def corpus_sample(docs: DataFrame, by: str = "corpus", n: int = 6, order: str = "doc_id") -> DataFrame:
@@ -148,20 +191,15 @@ def corpus_sample(docs: DataFrame, by: str = "corpus", n: int = 6, order: str =
     return docs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def label_lines(documents: DataFrame) -> DataFrame:
-    """Render gold maps as 'key=value' label lines (spaces as '_'; the multi
-    field repeated per element), the shape S9 parses."""
+def label_lines(documents: DataFrame, scalars: tuple[str, ...], list_key: str) -> DataFrame:
+    """Render gold maps as 'key=value' label lines (spaces as '_'; the list key
+    repeated per element; empty values left out), the shape S9 parses."""
     g = F.col("gold")
     enc = lambda c: F.regexp_replace(c, " ", "_")
-    supp = F.transform(F.filter(F.split(F.element_at(g, F.lit("suppliers")), "; "), lambda x: x != ""),
-                       lambda x: F.concat(F.lit("suppliers="), enc(x)))
-    return documents.select("doc_id", F.concat_ws(
-        " ",
-        F.concat(F.lit("order_date="), enc(F.element_at(g, F.lit("order_date")))),
-        F.when(F.element_at(g, F.lit("nation")) != "",
-               F.concat(F.lit("nation="), enc(F.element_at(g, F.lit("nation"))))),
-        F.concat(F.lit("total="), enc(F.element_at(g, F.lit("total")))),
-        F.array_join(supp, " ")).alias("line"))
+    each = F.transform(F.filter(F.split(F.element_at(g, F.lit(list_key)), "; "), lambda x: x != ""),
+                       lambda x: F.concat(F.lit(f"{list_key}="), enc(x)))
+    one = [F.when(F.element_at(g, F.lit(k)) != "", F.concat(F.lit(f"{k}="), enc(F.element_at(g, F.lit(k))))) for k in scalars]
+    return documents.select("doc_id", F.concat_ws(" ", *one, F.array_join(each, " ")).alias("line"))
 
 
 def parse_label_lines(lines: DataFrame, scalars: tuple[str, ...], list_key: str) -> DataFrame:

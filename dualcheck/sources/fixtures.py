@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..session import materialize
 from ..spec import FieldSpec, Schema
 
 # TPC-H order priorities in declared order (the enum domain),
@@ -45,6 +45,7 @@ class AuditInputs:
     extractions: DataFrame  # run_id, doc_id, constrained_raw, unconstrained_raw
     answer_book: DataFrame  # run_id, doc_id, field, raw   (arbiter answers, every field)
     schema: Schema
+    run_ids: tuple[str, ...] | None = None  # runs that every document belongs to; None: those of extractions
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,20 +56,17 @@ def _pm(k: Column, m: int) -> Column:
     return F.pmod(k, F.lit(m))
 
 
-def first_suppliers(lineitem: DataFrame, supplier: DataFrame, n: int = 3) -> DataFrame:
-    """(l_orderkey, names ARRAY<STRING>): names of the n smallest distinct
-    supplier keys of each order, in key order.
+def order_suppliers(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
+    """(l_orderkey, names ARRAY<STRING>): names of all distinct suppliers of
+    each order, in key order.
 
-    Distinct (order, supplier) pairs first (partial aggregation map-side), so a
-    window partition holds at most one row per supplier even for a hot order.
+    Distinct (order, supplier) pairs first (partial aggregation map-side), so
+    the collected list is what one document of the order states.
     """
     pairs = lineitem.select("l_orderkey", "l_suppkey").distinct()
-    ranked = pairs.withColumn("rn", F.row_number().over(
-        Window.partitionBy("l_orderkey").orderBy("l_suppkey")))
-    top = ranked.filter(F.col("rn") <= n).join(
-        supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    return top.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "s_name"))),
+    named = pairs.join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    return named.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", "s_name"))),
                     lambda x: x["s_name"]).alias("names"))
 
 
@@ -82,7 +80,7 @@ def tpch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # 25 rows by the TPC-H definition: a bounded broadcast.
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), "n_name"))
-    supp = first_suppliers(read_table(spark, sf_dir, "lineitem"),
+    supp = order_suppliers(read_table(spark, sf_dir, "lineitem"),
                            read_table(spark, sf_dir, "supplier"))
     return (orders.join(customer, "o_custkey", "left")
             .join(nation, "c_nationkey", "left")
@@ -130,7 +128,7 @@ def _constrained(r: DataFrame) -> dict[str, Column]:
         "priority": F.when(_pm(k, 17) == 5, F.col("next_prio")).otherwise(F.col("o_orderpriority")),
         "nation": F.when(F.col("g_nation") != "", F.col("g_nation"))
                    .when(F.col("fabricated"), F.lit(FABRICATED_NATION)),
-        "suppliers": F.when(_pm(k, 23) == 8, F.slice("names", 2, 3)).otherwise(F.col("names")),
+        "suppliers": F.when(_pm(k, 23) == 8, F.slice("names", F.lit(2), F.size("names"))).otherwise(F.col("names")),
     }
 
 
@@ -214,22 +212,27 @@ def _answers(con: dict[str, Column]) -> list[tuple[str, Column]]:
 
 
 def tpch_audit_inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
-    """Render the F-TPCH audit inputs from ``sf_dir``."""
+    """Render the F-TPCH audit inputs from ``sf_dir``.
+
+    Every 101st order has no response (k % 101 = 17) and every 103rd no recorded
+    arbiter answer (k % 103 = 29). The rendered rows are written once to the
+    shared folder; the three tables are projections of what was written.
+    """
     r = _renderings(tpch_orders(spark, sf_dir))
     con = _constrained(r)
+    k = F.col("k")
     gold = F.create_map(
         F.lit("order_id"), F.col("g_order_id"), F.lit("customer"), F.col("c_name"),
         F.lit("total"), F.col("g_total"), F.lit("order_date"), F.col("g_date"),
         F.lit("priority"), F.col("o_orderpriority"), F.lit("nation"), F.col("g_nation"),
         F.lit("suppliers"), F.col("g_suppliers"))
-    documents = r.select(F.col("k").alias("doc_id"), F.col("k").alias("doc_idx"),
-                         _document().alias("document"), gold.alias("gold"))
-    extractions = r.select(F.lit(RUN_ID).alias("run_id"), F.col("k").alias("doc_id"),
-                           _constrained_raw(con).alias("constrained_raw"),
-                           _unconstrained_raw().alias("unconstrained_raw"))
-    answers = _answers(con)
-    answer_book = r.select(
-        F.lit(RUN_ID).alias("run_id"), F.col("k").alias("doc_id"),
-        F.inline(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("raw"))
-                           for n, c in answers])))
-    return AuditInputs(documents, extractions, answer_book, ORDERS_SCHEMA)
+    answers = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("raw")) for n, c in _answers(con)])
+    rendered = materialize(r.select(
+        k.alias("doc_id"), _document().alias("document"), gold.alias("gold"), _constrained_raw(con).alias("constrained_raw"),
+        _unconstrained_raw().alias("unconstrained_raw"), answers.alias("answers"),
+        (_pm(k, 101) != 17).alias("responded"), (_pm(k, 103) != 29).alias("answered")), "rendered")
+    run = F.lit(RUN_ID).alias("run_id")
+    documents = rendered.select("doc_id", F.col("doc_id").alias("doc_idx"), "document", "gold")
+    extractions = rendered.filter("responded").select(run, "doc_id", "constrained_raw", "unconstrained_raw")
+    answer_book = rendered.filter("answered").select(run, "doc_id", F.inline("answers"))
+    return AuditInputs(documents, extractions, answer_book, ORDERS_SCHEMA, (RUN_ID,))

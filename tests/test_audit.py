@@ -1,10 +1,20 @@
 """Flags, resolution, grounding and confidence on hand-built response tables."""
 import json
+import os
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from dualcheck.plans.audit import AuditConfig, audit
+from dualcheck.functions import ground as G
+from dualcheck.operators import acquire as A
+from dualcheck.operators import canonicalise as CN
+from dualcheck.operators import extract as X
+from dualcheck.operators import flags as FL
+from dualcheck.operators import metrics as M
+from dualcheck.operators import studies as ST
+from dualcheck.plans.audit import AuditConfig, audit, scored_fields
 from dualcheck.sources.fixtures import AuditInputs
 from dualcheck.spec import FieldSpec, Schema
 
@@ -86,3 +96,63 @@ def test_filter_on_audit_column_stays_small(spark):
     a = audit(_inputs(spark, con=GOLD, unc=GOLD, arb={}, gold=GOLD))
     plan = a.filter("flagged")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 2_000_000
+
+
+def test_documents_without_a_response_and_answers_never_obtained(spark):
+    inp = _inputs(spark, con={**GOLD, "currency": "EUR"}, unc=GOLD, arb={}, gold=GOLD)
+    more = spark.createDataFrame([(2, 1, DOC, GOLD)], inp.documents.schema)
+    inp.documents = inp.documents.unionByName(more)
+    rows = {(r["doc_id"], r["field"]): r for r in audit(inp).collect()}
+    assert len(rows) == 2 * len(SCHEMA.fields)
+    lost = rows[2, "total"]
+    assert lost["run_id"] == "r" and lost["con"] == "" and lost["flagged"] and not lost["final_ok"]
+    unasked = rows[1, "currency"]
+    assert unasked["flagged"] and unasked["resolution"] == "split-kept" and not unasked["confident"] and unasked["final"] == "EUR"
+
+
+def test_numbers_of_a_document(spark):
+    found = spark.createDataFrame([("10.50,20 and 0.75,0.80 or 1,234.50",)], "d string").select(G.doc_numbers(F.col("d")).alias("n")).first()["n"]
+    assert found == [10.5, 20.0, 0.75, 0.8, 1234.5]
+
+
+def test_tripwire_reads_lists_as_one_answer(spark):
+    rows = [("r", False, ("Acme; unknown".lower(),)), ("r", False, ("",)), ("r", True, ("x",))]
+    df = spark.createDataFrame(rows, "run_id string, repaired boolean, final_c struct<text:string>")
+    assert tuple(M.tripwire(df).first()) == ("r", 2, 3, True)
+
+
+def test_requests_ask_for_their_own_field_and_only_once(spark, tmp_path):
+    class Client:
+        """Answers with what it was asked; the first call of its folder times out."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def generate(self, prompt, force_json=False):
+            calls = os.listdir(self.folder)
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            if not calls:
+                raise TimeoutError
+            return re.search("FIELD: (.*)", prompt)[1]
+
+    inp = _inputs(spark, con=GOLD, unc=GOLD, arb={}, gold=GOLD)
+    work = spark.createDataFrame([("r", 1, i, f.name) for i, f in enumerate(SCHEMA.fields)], "run_id string, doc_id long, ord int, field string")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    store = str(tmp_path / "store")
+    factory = lambda folder=str(calls): Client(folder)
+    first = A.acquire(A.arbiter_requests(work.filter("ord < 2"), inp.documents, SCHEMA).coalesce(1), factory, store).collect()
+    assert {(r["field"], r["raw"]) for r in first} == {("invoice_id",) * 2, ("total",) * 2} and len(os.listdir(calls)) == 3
+    again = A.acquire(A.arbiter_requests(work, inp.documents, SCHEMA).coalesce(1), factory, store).collect()
+    assert {(r["field"], r["raw"]) for r in again} == {(f.name, f.name) for f in SCHEMA.fields} and len(os.listdir(calls)) == 6
+    assert all(r["prompt"].endswith(DOC + "\n") for r in again)
+
+
+def test_plan_holds_no_text_behind_the_rows_of_fields(spark):
+    """Scores without support read no document text, and the sweep joins nothing but its inputs."""
+    inp = _inputs(spark, con=GOLD, unc=GOLD, arb={}, gold=GOLD)
+    plan = scored_fields(inp)._jdf.queryExecution().optimizedPlan().toString()
+    assert "document#" not in plan.split("Generate")[0] and "Python" not in plan
+    rows = CN.canonicalise(X.field_rows(inp.extractions, SCHEMA, inp.answer_book, inp.documents, run_ids=("r",)), SCHEMA, ("con", "unc", "gold"))
+    plan = ST.sweep(FL.score(rows, SCHEMA), SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

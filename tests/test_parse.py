@@ -1,17 +1,24 @@
 """Response parsing: JSON path, free-form path, arbiter answer cleaning."""
-from pyspark.sql import functions as F
-
 from conftest import one
 from dualcheck.functions import parse as P
-from dualcheck.spec import FieldSpec
+from dualcheck.operators import extract as X
+from dualcheck.spec import FieldSpec, Schema
 
 NAMES = ["invoice_id", "total", "currency", "items", "note"]
 
 
+SCHEMA = Schema("invoice", tuple(FieldSpec(n, "string") for n in NAMES))
+
+
+def _answers(spark, parse, **raw):
+    both = {"constrained_raw": "", "unconstrained_raw": ""} | raw
+    df = spark.createDataFrame([("r", 1, both["constrained_raw"], both["unconstrained_raw"])],
+                               "run_id string, doc_id long, constrained_raw string, unconstrained_raw string")
+    return {r["field"]: r["value"] for r in parse(df, SCHEMA).collect()}
+
+
 def _json(spark, raw):
-    df = spark.createDataFrame([(raw,)], "v string")
-    r, k = P.json_record(F.col("v"), NAMES), P.json_keys(F.col("v"))
-    return df.select(*[P.json_value(r, k, n).alias(n) for n in NAMES]).first().asDict()
+    return _answers(spark, X.parse_constrained, constrained_raw=raw)
 
 
 def test_json_plain_and_duplicates(spark):
@@ -25,9 +32,20 @@ def test_json_fenced_and_broken(spark):
     assert set(_json(spark, "[1, 2]").values()) == {""}
 
 
+def test_one_answer_is_one_object(spark):
+    for raw in ('{"note": "x"} {"total": "y"}', '{"note": "x"}, {"total": "y"}', '{"note": "x"} and {"total": "y"}', "", "null"):
+        assert set(_json(spark, raw).values()) == {""}, raw
+    assert _json(spark, 'Here: {"note": "x"} as asked')["note"] == "x"
+
+
+def test_long_numbers_are_written_out(spark):
+    assert _json(spark, '{"total": 12345678.5, "items": 123456789, "note": 0.25}') == {
+        "invoice_id": "", "total": "12345678.5", "currency": "", "items": "123456789", "note": "0.25"}
+
+
 def test_freeform_markdown_keys_last_wins(spark):
     raw = "- **Invoice_ID**: INV-9\n* TOTAL: 12.50\n> currency: EUR\nnote: a: b\ncurrency:\n"
-    vals = {n: one(spark, lambda c, n=n: P.freeform_value(c, n), raw) for n in NAMES}
+    vals = _answers(spark, X.parse_freeform, unconstrained_raw=raw)
     assert vals == {"invoice_id": "INV-9", "total": "12.50", "currency": "", "items": "", "note": "a: b"}
 
 

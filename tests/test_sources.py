@@ -1,9 +1,10 @@
 """Corpus readers and converters on tiny files written to a temp folder."""
 import json
 
-from pyspark.sql import functions as F
+import pytest
 
 from dualcheck.sources import corpus as C
+from dualcheck.spec import FieldSpec, load_schema
 
 
 def test_jsonl_corpus_and_inference(spark, tmp_path):
@@ -20,6 +21,48 @@ def test_jsonl_corpus_and_inference(spark, tmp_path):
                      "party": ("string", True)}
 
 
+def test_gold_values_as_text(spark, tmp_path):
+    p = tmp_path / "g.jsonl"
+    gold = {"redacted": "[REDACTED] Ltd", "none": None, "list": ["A", 1], "half": 12.5, "yes": True, "n": 7}
+    p.write_text("\n" + json.dumps({"document": "d", "gold": gold}) + "\n")
+    row = C.read_jsonl_corpus(spark, str(p)).first()
+    assert row["gold"] == {"redacted": "[REDACTED] Ltd", "none": "None", "list": "A; 1", "half": "12.5", "yes": "True", "n": "7"}
+
+
+def test_bad_lines_and_empty_corpora_raise(spark, tmp_path):
+    bad, empty = tmp_path / "bad.jsonl", tmp_path / "empty.jsonl"
+    bad.write_text('{"document": "d", "gold": {}}\nnot json\n')
+    empty.write_text("\n \n")
+    with pytest.raises(Exception):
+        C.read_jsonl_corpus(spark, str(bad)).collect()
+    with pytest.raises(ValueError):
+        C.read_jsonl_corpus(spark, str(empty))
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(1000).repartition(7).filter("id % 3 <> 0")
+    assert sorted(r["doc_idx"] for r in C.numbered(df).collect()) == list(range(df.count()))
+
+
+def test_schema_files(spark, tmp_path):
+    p = tmp_path / "schema.json"
+    p.write_text(json.dumps({"name": "s", "fields": [{"name": "a", "type": "enum", "enum": ["x", "y"]}, {"name": "b", "type": "date", "required": False, "multi": True}]}))
+    found = load_schema(spark, str(p))
+    assert found.fields == (FieldSpec("a", "enum", ("x", "y")), FieldSpec("b", "date", None, "", False, True))
+    for fields in ([{"name": "a", "type": "enum"}], [{"name": "a", "type": "money"}]):
+        p.write_text(json.dumps({"name": "s", "fields": fields}))
+        with pytest.raises(ValueError):
+            load_schema(spark, str(p))
+
+
+def test_corpora_are_compared(spark):
+    a = C.fingerprints(spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string"))
+    b = C.fingerprints(spark.createDataFrame([(1, "x"), (2, "z"), (3, "")], "doc_id long, text string"))
+    assert C.same_corpus(a, a).first()["identical"]
+    assert tuple(C.same_corpus(a, b).first()) == (2, 3, 1, 1, False)
+    assert C.corpus_digest(a).first() != C.corpus_digest(b).first()
+
+
 def test_box_to_text(spark, tmp_path):
     d = tmp_path / "box"
     d.mkdir()
@@ -37,6 +80,11 @@ def test_clause_reduce(spark):
     parts = out[1].split("\n[...]\n")
     assert parts[0] == "H" * 3000 and parts[-1] == "T" * 1500 and "governed by" in parts[1]
     assert len(parts) == 3  # the two keyword windows overlap and merge
+    row = {r["doc_id"]: r for r in C.clause_reduce(df).collect()}[1]
+    assert row["dropped"] == len(text) - sum(map(len, parts))
+    assert [text[a:b] for a, b in row["kept_spans"]] == parts
+    small = C.clause_reduce(df, head_chars=10, tail_chars=5, window=20).filter("doc_id = 1").first()
+    assert small["reduced"].startswith("H" * 10 + "\n") and small["dropped"] > row["dropped"]
 
 
 def test_label_lines_roundtrip(spark):
