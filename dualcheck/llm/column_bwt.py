@@ -1,14 +1,19 @@
 """Column-wise construction of a collection's Burrows-Wheeler transform and common prefixes.
 
-The strings of a collection are inserted one symbol each round, from their last
-symbols to their first: round j turns the sorted suffixes of length below j into
-those of length j or less. The transform itself tells where a suffix that grows
-by a symbol goes: behind all suffixes with a smaller first symbol and those with
-the same one that stand before it. Its common prefix with its predecessor is one
-more than the least common prefix between the two places they grew from; only
-new suffixes and their successors change. Between rounds, the symbols of each
-round, the transform and the common prefixes are files that are read and
-written from beginning to end.
+The strings of a collection lie in columns, aligned by their anchors. From the
+last column to the first, each round inserts one symbol of every string: the
+sorted suffixes that start one column later are sorted stably by that symbol,
+which is a column of the transform (the symbols before sorted suffixes), and so
+become the sorted suffixes that start here. A suffix shares one symbol more with
+its predecessor than the least that its old neighbours down to that predecessor
+share, so common prefixes follow without comparing strings. A string joins in
+the column of its last symbol and leaves behind its first.
+
+Suffixes of other columns are not kept in the order: strings of one anchor that
+hold the same window hold it in the same column, as the anchor is part of it. A
+round is therefore linear in the number of strings. Symbols lie column by column
+in an external file; order and common prefixes go to files of their own. Each is
+read and written from beginning to end, once a round.
 """
 from __future__ import annotations
 
@@ -17,106 +22,84 @@ from tempfile import TemporaryDirectory
 
 import numpy as np
 
+#: Strings whose symbols are turned into columns at a time.
+TURNED = 2048
+
 
-class Columns:
-    """A collection's symbols by round, and its state between rounds, as files of a folder."""
+class Collection:
+    """Strings in columns, and the state between rounds, as files of a folder."""
 
-    def __init__(self, folder: str, strings: list[bytes]):
-        self.folder, self.rounds = folder, max(map(len, strings), default=0)
+    def __init__(self, folder: str, strings: list[bytes], columns: np.ndarray):
+        self.folder, self.count = folder, len(strings)
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        # symbol 0 ends a string; a byte is its value plus one, and UTF-8 has no byte 255
-        table = np.zeros((len(strings), self.rounds + 1), np.uint8)
-        place = np.arange(self.rounds + 1)
-        flat = np.frombuffer(b"".join(strings), np.uint8)
-        table[place[None, :] < lengths[:, None]] = flat
-        table[place[None, :] < lengths[:, None]] += 1
-        back = np.where(place[None, :] < lengths[:, None], lengths[:, None] - 1 - place[None, :], self.rounds)
-        np.take_along_axis(table, back, 1).T.tofile(self._path("symbols"))
-        self.count = len(strings)
+        self.starts = columns - columns.min()
+        self.ends = self.starts + lengths
+        self.width = int(self.ends.max())
+        # 0 is no symbol; a byte is its value plus one, and UTF-8 has no byte 255
+        turned = np.memmap(self._path("symbols"), np.uint8, "w+", shape=(max(1, self.width), self.count))
+        place = np.arange(self.width)
+        for lo in range(0, self.count, TURNED):
+            hi = min(lo + TURNED, self.count)
+            block = np.zeros((hi - lo, self.width), np.uint8)
+            block[(place >= self.starts[lo:hi, None]) & (place < self.ends[lo:hi, None])] = np.frombuffer(b"".join(strings[lo:hi]), np.uint8) + 1
+            turned[:self.width, lo:hi] = block.T
+        turned.flush()
+        self.write("order", np.zeros(0, np.int32))
+        self.write("prefixes", np.zeros(0, np.uint8))
 
     def _path(self, name: str) -> str:
         return os.path.join(self.folder, name)
 
-    def symbols(self, i: int) -> np.ndarray:
-        """Of every string, the symbol that stands i places before its last one."""
-        return np.fromfile(self._path("symbols"), np.uint8, self.count, offset=i * self.count)
+    def symbols(self, column: int) -> np.ndarray:
+        return np.fromfile(self._path("symbols"), np.uint8, self.count, offset=column * self.count)
 
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self._path(name), np.uint8)
+    def read(self, name: str, kind: type) -> np.ndarray:
+        return np.fromfile(self._path(name), kind)
 
     def write(self, name: str, values: np.ndarray) -> None:
         values.tofile(self._path(name))
 
 
-def construct(columns: Columns, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The transform of the collection, with 0 before a string's first symbol, and common prefixes up to ``cap``.
-
-    Suffixes come sorted, the empty ones first in the order of the strings.
-    """
-    m = columns.count
-    columns.write("transform", columns.symbols(0))
-    columns.write("prefixes", np.zeros(m, np.uint8))
-    new, owner = np.arange(m), np.arange(m)
-    fresh = np.ones(m, bool)
-    for j in range(1, columns.rounds + 1):
-        bwt, lcp = columns.read("transform"), columns.read("prefixes")
-        order = np.argsort(bwt, kind="stable")
-        grown = order[len(bwt) - np.count_nonzero(bwt):]  # where each suffix that isn't empty grew from, sorted
-        at = np.flatnonzero(fresh[grown])
-        if not len(at):
-            break
-        # common prefixes with the predecessor, of new suffixes and of those behind them
-        touched = np.union1d(at, at + 1)
-        touched = touched[touched < len(grown)]
-        here, before = grown[touched], grown[touched - 1]
-        joint = (touched > 0) & (bwt[here] == bwt[before])
-        shared = np.zeros(len(touched), np.uint8)
-        if joint.any():
-            first, last = before[joint] + 1, here[joint] + 1
-            by_start = np.argsort(first)
-            bounds = np.stack([first[by_start], last[by_start]], 1).ravel()
-            least = np.minimum.reduceat(np.append(lcp, np.uint8(255)), bounds)[::2]
-            found = np.empty(len(first), np.uint8)
-            found[by_start] = np.minimum(least, cap - 1) + 1
-            shared[joint] = found
-        owner = owner[np.searchsorted(new, grown[at])]
-        new = m + at
-        fresh = np.zeros(len(bwt) + len(at), bool)
-        fresh[new] = True
-        more = np.empty(len(fresh), np.uint8)
-        more[fresh], more[~fresh] = columns.symbols(j)[owner], bwt
-        columns.write("transform", more)
-        more[fresh], more[~fresh] = 0, lcp
-        more[m + touched] = shared
-        columns.write("prefixes", more)
-    return columns.read("transform"), columns.read("prefixes")
-
-
-def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string and each place where ``length`` bytes start: whether they also start elsewhere in the collection."""
+def insert(collection: Collection, column: int, joining: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the strings whose suffixes start in ``column``, sorted by them, and common prefixes up to ``cap``."""
+    # the empty suffixes of strings that join come first
+    order = np.concatenate([joining, collection.read("order", np.int32)])
+    shared = np.concatenate([np.zeros(len(joining), np.uint8), collection.read("prefixes", np.uint8)])
+    transform = collection.symbols(column)[order]
+    grown = np.argsort(transform, kind="stable")
+    grown = grown[len(grown) - np.count_nonzero(transform):]
+    symbol = transform[grown]
+    now = np.zeros(len(grown), np.uint8)
+    alike = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+    if len(alike):
+        between = np.stack([grown[alike - 1] + 1, grown[alike] + 1], 1).ravel()
+        least = np.minimum.reduceat(np.append(shared, np.uint8(0)), between)[::2]
+        now[alike] = np.minimum(least, cap - 1) + 1
+    order = order[grown]
+    collection.write("order", order)
+    collection.write("prefixes", now)
+    return order, now
+
+
+def repeated_windows(strings: list[bytes], columns: list[int], length: int) -> list[np.ndarray]:
+    """For each string and each place where ``length`` bytes start: whether another string holds the same bytes in the
+    same columns. ``columns`` are those of the strings' first bytes."""
     if not strings:
         return []
     if not 0 < length < 255:
         raise ValueError("windows are 1 to 254 bytes long")
     with TemporaryDirectory() as folder:
-        columns = Columns(folder, strings)
-        bwt, lcp = construct(columns, length)
-        m, rounds = columns.count, columns.rounds
-    alike = lcp >= length
-    alike[:-1] |= alike[1:]
-    # follow each string from its end through the transform to where its longer suffixes stand
-    order = np.argsort(bwt, kind="stable")
-    ended = len(bwt) - np.count_nonzero(bwt)
-    step = np.full(len(bwt), -1, np.int64)
-    step[order[ended:]] = m + np.arange(len(bwt) - ended)
-    lengths = np.fromiter(map(len, strings), np.int64, m)
-    out = [np.zeros(max(0, n - length + 1), bool) for n in lengths.tolist()]
-    flat = np.zeros(int(np.maximum(lengths - length + 1, 0).sum()), bool)
-    begin = np.cumsum(np.maximum(lengths - length + 1, 0)) - np.maximum(lengths - length + 1, 0)
-    place, who = np.arange(m), np.arange(m)
-    for j in range(1, rounds + 1):
-        place = step[place]
-        who, place = who[place >= 0], place[place >= 0]
-        if j >= length:
-            flat[begin[who] + lengths[who] - j] = alike[place]
-    return [flat[b:b + len(o)] for b, o in zip(begin.tolist(), out)]
+        collection = Collection(folder, strings, np.array(columns, np.int64))
+        starts, ends = collection.starts, collection.ends
+        windows = np.maximum(ends - starts - length + 1, 0)
+        begin = np.cumsum(windows) - windows
+        found = np.zeros(int(windows.sum()), bool)
+        by_end = np.argsort(ends, kind="stable").astype(np.int32)
+        joins = np.searchsorted(ends[by_end], np.arange(collection.width + 2))
+        for column in reversed(range(collection.width)):
+            order, shared = insert(collection, column, by_end[joins[column + 1]:joins[column + 2]], length)
+            long = shared >= length
+            long[:-1] |= long[1:]
+            who = order[long]
+            found[begin[who] + column - starts[who]] = True
+    return [found[b:b + n] for b, n in zip(begin.tolist(), windows.tolist())]

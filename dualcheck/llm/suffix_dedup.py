@@ -9,8 +9,8 @@ place, so runs of windows with one anchor are gathered by its hash:
 2. A run of windows that equals all other runs of its anchor is repeated as a
    whole; equal runs are told by hashes of anchor and content.
 3. Where runs of an anchor differ, one string of each distinct content goes to
-   the column-wise construction (``column_bwt``), which finds the windows that
-   occur in more than one of them. Anchors with very many distinct strings are
+   the column-wise construction (``column_bwt``), aligned by the anchor, which
+   finds the windows that occur in more than one of them. Anchors with very many distinct strings are
    cut again by longer anchors and so spread over tasks.
 4. Repeated windows go back to their documents as intervals and are cut out.
 
@@ -38,7 +38,7 @@ LENGTH, GRAM = 200, 64
 CHUNK = 1 << 19
 #: Bytes of strings that one construction sorts, and distinct strings of an anchor beyond which longer anchors,
 #: of four fifths of the length, cut it.
-BATCH_BYTES, HOT_STRINGS = 1 << 20, 4096
+BATCH_BYTES, HOT_STRINGS = 4 << 20, 1 << 15
 
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
@@ -62,8 +62,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchored(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchor hashes, first windows and numbers of windows of a text's runs of windows with one anchor, chunk by chunk."""
+def anchored(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a text's runs of windows with one anchor, chunk by chunk: the anchor's hash, the first window, the number of
+    windows, and how far behind the run's beginning the anchor stands."""
     up, down = _powers(CHUNK + length)
     for begin in range(0, len(text) - length + 1, CHUNK):
         part = np.frombuffer(text, np.uint8, min(CHUNK + length - 1, len(text) - begin), begin)
@@ -75,7 +76,7 @@ def anchored(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         # the place decides between equal hashes, so that it depends on the window alone
         place = (_least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        yield hashes[place[first]].view(np.int64), first + begin, np.diff(np.concatenate([first, [len(place)]]))
+        yield hashes[place[first]].view(np.int64), first + begin, np.diff(np.concatenate([first, [len(place)]])), place[first] - first
 
 
 def _content(text: bytes, first: int, n: int, length: int) -> bytes:
@@ -83,23 +84,23 @@ def _content(text: bytes, first: int, n: int, length: int) -> bytes:
 
 
 def runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, key, anchor, first, n, content) of all runs of windows; content is a hash."""
+    """(id, key, anchor, first, n, at, content) of all runs of windows; content is a hash."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in names[1:]]
             size = 0
             for i, text in enumerate(raw_texts(b.column(2))):
-                for anchor, first, n in anchored(text, length, gram):
+                for anchor, first, n, at in anchored(text, length, gram):
                     content = [xxhash.xxh3_64_intdigest(text[s:s + k + length - 1]) for s, k in zip(first.tolist(), n.tolist())]
-                    for col, v in zip(cols, (np.full(len(first), i), anchor, first, n, np.array(content, np.uint64).view(np.int64))):
+                    for col, v in zip(cols, (np.full(len(first), i), anchor, first, n, at, np.array(content, np.uint64).view(np.int64))):
                         col.append(v)
                     size += len(first)
                 if size >= 1 << 16 or i + 1 == b.num_rows and size:
                     row, *rest = (np.concatenate(c) for c in cols)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, pa.int64()) for x in rest)], names)
-                    cols, size = [[], [], [], [], []], 0
-    names = ["id", "key", "anchor", "first", "n", "content"]
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x, pa.int64()) for x in rest)], names)
+                    cols, size = [[] for _ in names[1:]], 0
+    names = ["id", "key", "anchor", "first", "n", "at", "content"]
     return keyed.mapInArrow(run, with_id(keyed, "id", *((c, LongType()) for c in names[1:])))
 
 
@@ -117,33 +118,34 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 
 def _strings(held: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, count, string) of the runs in the column ``wanted`` of ``held``."""
+    """(anchor, content, count, at, string) of the runs in the column ``wanted`` of ``held``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = zstandard.decompress(packed)
                 for w in wanted:
-                    for col, v in zip(cols, (w["anchor"], w["content"], w["count"], _content(text, w["first"], w["n"], length))):
+                    for col, v in zip(cols, (w["anchor"], w["content"], w["count"], w["at"], _content(text, w["first"], w["n"], length))):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "content", "count", "string"])
-    return (held.filter("wanted is not null").select("packed", "wanted").mapInArrow(run, "anchor long, content long, count long, string binary"))
+            kinds = (*[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "content", "count", "at", "string"])
+    return held.filter("wanted is not null").select("packed", "wanted").mapInArrow(run, "anchor long, content long, count long, at long, string binary")
 
 
 def _recut(strings: DataFrame, length: int) -> DataFrame:
-    """Strings of hot anchors cut by longer anchors: (group, anchor, content, count, offset, string)."""
+    """Strings of hot anchors cut by longer anchors: (group, anchor, content, count, offset, at, string)."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in names]
         for anchor, content, count, string in zip(*(c.to_pylist() for c in b.columns)):
-            for groups, first, n in anchored(string, length, length * 4 // 5):
-                for g, s, k in zip(groups.tolist(), first.tolist(), n.tolist()):
-                    for col, v in zip(cols, (g, anchor, content, count, s, _content(string, s, k, length))):
+            for found in anchored(string, length, length * 4 // 5):
+                for g, s, k, at in zip(*(x.tolist() for x in found)):
+                    for col, v in zip(cols, (g, anchor, content, count, s, at, _content(string, s, k, length))):
                         col.append(v)
-        kinds = (*[pa.int64()] * 5, pa.binary())
+        kinds = (*[pa.int64()] * 6, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-    names = ["group", "anchor", "content", "count", "offset", "string"]
-    return map_batches(strings.select("anchor", "content", "count", "string"), run, "group long, anchor long, content long, count long, offset long, string binary")
+    names = ["group", "anchor", "content", "count", "offset", "at", "string"]
+    return map_batches(strings.select("anchor", "content", "count", "string"), run,
+                       "group long, anchor long, content long, count long, offset long, at long, string binary")
 
 
 def _sorted_windows(strings: DataFrame, length: int) -> DataFrame:
@@ -152,14 +154,15 @@ def _sorted_windows(strings: DataFrame, length: int) -> DataFrame:
         # equal strings of a group are one string of the collection
         distinct: dict[tuple[int, bytes], list[tuple]] = {}
         for r in rows:
-            distinct.setdefault((r[0], r[5]), []).append(r)
+            distinct.setdefault((r[0], r[6]), []).append(r)
         out = []
-        for again, same in zip(repeated_windows([s for _, s in distinct], length), distinct.values()):
+        columns = [-same[0][5] for same in distinct.values()]
+        for again, same in zip(repeated_windows([s for _, s in distinct], columns, length), distinct.values()):
             if len(same) > 1 or same[0][3] > 1:
                 again = np.ones(len(again), bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                out += [(anchor, content, offset + a, b - a) for _, anchor, content, _, offset, _ in same]
+                out += [(anchor, content, offset + a, b - a) for _, anchor, content, _, offset, _, _ in same]
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +179,10 @@ def _sorted_windows(strings: DataFrame, length: int) -> DataFrame:
                     yield from result()
                     size = 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         yield from result()
     dealt = strings.repartition("group").sortWithinPartitions("group", "string")
-    return dealt.select("group", "anchor", "content", "count", "offset", "string").mapInArrow(run, "anchor long, content long, first long, n long")
+    return dealt.select("group", "anchor", "content", "count", "offset", "at", "string").mapInArrow(run, "anchor long, content long, first long, n long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
@@ -196,10 +199,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     known = written(found.join(anchors, "anchor"), "dedup-runs")
     mixed = known.filter("mixed")
     # one place of each distinct content stands for all
-    place = F.struct("id", "key", "first", "n")
+    place = F.struct("id", "key", "first", "n", F.col("at").alias("behind"))
     contents = (mixed.groupBy("anchor", "content").agg(F.count("*").alias("count"), F.min(place).alias("at"))
                 .select("anchor", "content", "count", "at.*"))
-    wanted = contents.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "content", "count", "first", "n")).alias("wanted"))
+    contents = contents.withColumnRenamed("behind", "at")
+    wanted = contents.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "content", "count", "first", "n", "at")).alias("wanted"))
     holders = known.groupBy("id", "key").agg(F.lit(1).alias("one"))
     holders = holders.join(wanted, _same(holders, wanted), "left").select(holders["id"], holders["key"], "wanted")
     texts = _packed(keyed)
@@ -208,7 +212,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     strings = written(_strings(held, length), "dedup-strings")
     hot = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > hot_strings).select("anchor", F.lit(True).alias("hot"))
     marked = strings.join(hot, "anchor", "left")
-    plain = marked.filter("hot is null").select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "string")
+    plain = marked.filter("hot is null").select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "at", "string")
     again = _sorted_windows(plain.unionByName(_recut(marked.filter("hot"), length)), length)
     windows = mixed.select("id", "key", "anchor", "content", F.col("first").alias("base")).join(again, ["anchor", "content"])
     intervals = (known.filter("not mixed").select("id", "key", "first", "n")

@@ -14,11 +14,12 @@ from .conftest import SCHEMA, words
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab", max_size=14), max_size=8), st.integers(1, 6))
+@given(st.lists(st.tuples(st.text(alphabet="ab", max_size=14), st.integers(-4, 4)), max_size=8), st.integers(1, 6))
 def test_columns_against_counted_windows(strings, n):
-    strings = [s.encode() for s in strings]
-    times = Counter(s[i:i + n] for s in strings for i in range(len(s) - n + 1))
-    assert [x.tolist() for x in repeated_windows(strings, n)] == [[times[s[i:i + n]] > 1 for i in range(len(s) - n + 1)] for s in strings]
+    strings = [(s.encode(), c) for s, c in strings]
+    times = Counter((c + i, s[i:i + n]) for s, c in strings for i in range(len(s) - n + 1))
+    got = repeated_windows([s for s, _ in strings], [c for _, c in strings], n)
+    assert [x.tolist() for x in got] == [[times[c + i, s[i:i + n]] > 1 for i in range(len(s) - n + 1)] for s, c in strings]
 
 
 def slow(texts: list[str | None], n: int) -> list[tuple]:
@@ -56,7 +57,7 @@ def test_long_texts_in_chunks(monkeypatch):
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchored(text))]
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     parts = [np.concatenate(x) for x in zip(*suffix_dedup.anchored(text))]
-    spread = lambda x: np.repeat(x[0], x[2])
+    spread = lambda x: np.repeat(x[0], x[2]) + np.repeat(x[1] + x[3], x[2])
     assert (spread(whole) == spread(parts)).all() and parts[2].sum() == len(text) - 199
 
 
