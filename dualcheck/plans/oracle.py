@@ -466,6 +466,16 @@ def oracle_sql() -> dict[str, str]:
                             "FROM (SELECT text, rtrim(text, ' ' || chr(10)) AS t FROM documents)",
         "bootstrap_mean": T(PER_DOC + "SELECT round(avg(final_acc), 6) AS mean, count(*) AS docs, 10000 AS n_boot, true AS bracketed FROM pdr"),
         "requests": T(REQUESTS),
+        # repair changes what is kept of unsupported optional fields, nothing else that the trace shows
+        "field_trace": T("SELECT run, doc_id, field, round(score, 6) AS score, round(support, 6) AS support, flagged, "
+                         "CASE WHEN run = 'repair' AND NOT req AND support < 0.5 THEN len(list_filter(gold_key, lambda x: x <> '')) = 0 ELSE final_ok END AS correct, "
+                         "NOT req AS optional FROM tt, (SELECT unnest(['plain', 'repair']) AS run)").replace("SELECT run, doc_id", "SELECT run AS run_id, doc_id"),
+        "cell_summary": "WITH plain AS (" + T(PER_DOC + REPORT) + "), repair AS (" + T(PER_DOC + REPORT, repair=True) + """),
+            cells AS (SELECT * FROM (VALUES ('plain', 'tpch', false), ('repair', 'tpch', true), ('second-model', 'tpch', false)) AS c(run_id, corpus, repair)),
+            stored AS (SELECT 'plain' AS run, * EXCLUDE (run_id) FROM plain UNION ALL SELECT 'repair', * EXCLUDE (run_id) FROM repair)
+            SELECT run_id, corpus, repair, docs, final_acc, constrained_acc, calls_saved, llm_calls, low_confidence, flag_precision, flag_recall,
+              flag_precision_micro, flag_recall_micro, ungrounded_rate FROM cells LEFT JOIN stored ON run = run_id""",
+        "missing_cells": "SELECT 'second-model' AS run_id, 'tpch' AS corpus, false AS repair",
         "acquired_cost": T(PER_DOC + """SELECT run_id, 2 * (SELECT count(*) FILTER (WHERE NOT noresp) FROM bt) + (SELECT count(*) FROM tt WHERE flagged AND NOT noarb) AS llm_calls,
             final_acc, low_confidence FROM (""" + REPORT + ")"),
         "stage_payloads": T("""SELECT doc_id, stage, sha256(payload) AS payload_sha FROM (

@@ -18,8 +18,9 @@ from ..operators import ground as G
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators import studies as ST
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources import corpus as C
+from ..sources import runs as RU
 from ..sources.fixtures import AuditInputs, read_table, tpch_audit_inputs
 from .audit import AuditConfig, arbiter_answers, audit, calls_per_run, flagged_fields, scored_fields
 
@@ -247,6 +248,35 @@ def q_cost_points(spark, sf_dir):
     return M.cost_points(M.run_report(audit(inp), inp.schema))
 
 
+def _stored_runs(spark, sf_dir):
+    """Two runs, without and with repair, written to the shared folder as a study would find them."""
+    inp = _inputs(spark, sf_dir)
+    root = scratch_path(spark, "runs")
+    for run, repair in (("plain", False), ("repair", True)):
+        RU.write_run(audit(inp, AuditConfig(ground_repair=repair)).withColumn("run_id", F.lit(run)), inp.schema, root)
+    cells = spark.createDataFrame([("plain", "tpch", False), ("repair", "tpch", True), ("second-model", "tpch", False)], "run_id string, corpus string, repair boolean")
+    return inp, root, cells
+
+
+def q_field_trace(spark, sf_dir):
+    """M20 over stored runs."""
+    inp, root, _ = _stored_runs(spark, sf_dir)
+    trace = RU.field_trace(RU.read_fields(spark, root), inp.schema)
+    return trace.select("run_id", "doc_id", "field", "score", "support", "flagged", "correct", "optional")
+
+
+def q_cell_summary(spark, sf_dir):
+    """M21 over stored runs; the cell without a run has nulls."""
+    _, root, cells = _stored_runs(spark, sf_dir)
+    return RU.cell_summary(cells, RU.read_reports(spark, root))
+
+
+def q_missing_cells(spark, sf_dir):
+    """Cells of the study without a stored run."""
+    _, root, cells = _stored_runs(spark, sf_dir)
+    return RU.missing_cells(cells, RU.read_reports(spark, root))
+
+
 def q_breakdown_cube(spark, sf_dir):
     return M.breakdown_cube(_audit(spark, sf_dir))
 

@@ -4,6 +4,7 @@ import json
 import pytest
 
 from dualcheck.sources import corpus as C
+from dualcheck.sources import runs as R
 from dualcheck.spec import FieldSpec, load_schema
 
 
@@ -93,3 +94,19 @@ def test_label_lines_roundtrip(spark):
     r = C.parse_label_lines(df, ("effective_date", "jurisdiction", "term"), "party").first()
     assert (r["effective_date"], r["jurisdiction"], r["term"], r["party"]) == \
         ("2019-01-05", "New York", "", "Acme Inc; Beta")
+
+
+def test_contracts_are_paired_by_line(spark, tmp_path):
+    tsv, labels = tmp_path / "in.tsv", tmp_path / "expected.tsv"
+    tsv.write_text('a\tb\tc\td\te\tfirst\\nline "" x\na\tb\tc\td\te\t"second ""quoted""\nwith a line end"\n')
+    labels.write_text("term=2_years party=Acme_Inc party=Beta\njurisdiction=New_York\n")
+    got = R.read_contracts(spark, str(tsv), str(labels), ("jurisdiction", "term"), "party").orderBy("doc_idx").collect()
+    assert [r["document"] for r in got] == ['first\nline "" x', 'second "quoted"\nwith a line end']
+    assert got[0]["gold"] == {"jurisdiction": "", "term": "2 years", "party": "Acme Inc; Beta"} and got[1]["gold"]["jurisdiction"] == "New York"
+
+
+def test_corpora_are_written_and_read_again(spark, tmp_path):
+    docs = spark.createDataFrame([("a\nb", {"x": "1", "y": "[z]"}), ("c", {"x": "", "y": "é"})], "document string, gold map<string,string>")
+    R.write_corpus(docs, str(tmp_path / "out"))
+    got = {r["document"]: r["gold"] for r in C.read_jsonl_corpus(spark, str(tmp_path / "out")).collect()}
+    assert got == {r["document"]: r["gold"] for r in docs.collect()}
