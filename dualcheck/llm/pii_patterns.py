@@ -182,7 +182,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = found.select("row", F.posexplode("found").alias("k", "s")).select("row", "k", "s.*")
     pairs = each.select("instance", "seed", F.explode("patterns").alias("pattern"))
     edges = written(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    sure = pattern_confidence(edges, rounds).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
+    # written, so that the join deals both sides afresh and can split a pattern that a third of all rows hold
+    sure = written(pattern_confidence(edges, rounds).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)), "pii-patterns")
     unseen = each.filter(~F.col("seed")).select("row", "k", F.explode("patterns").alias("pattern"))
     known = unseen.join(sure, "pattern").groupBy("row", "k").agg(F.max("confidence").alias("confidence"))
     kept = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "confidence"))).alias("known"))

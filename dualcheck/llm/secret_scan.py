@@ -113,7 +113,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = written(candidates(docs, id_col, text_col, repo_col, owner_col)
                     .withColumn("row", F.monotonically_increasing_id()), "secrets")
-    owners = ownership(found)
+    # written, so that the join deals both sides afresh and can split a value that a third of all rows hold
+    owners = written(ownership(found), "secret-owners")
     each = found.select("row", F.explode("found").alias("s")).select("row", "s.*").join(owners, "value", "left")
     live = F.col("looks") & (F.coalesce("owners", F.lit(0)) < shared_owners)
     judged = each.withColumn("live", live).filter((F.col("rank") < len(KINDS)) | F.col("live"))

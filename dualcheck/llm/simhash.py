@@ -99,7 +99,8 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), fp.bitwiseAND(F.lit(m)).alias("key"))
                      for i, m in enumerate(signed)))
     keyed = prints.select(fp, F.explode(keys).alias("k")).select("k.t", "k.key", "fingerprint")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join deals both sides afresh and can split a key that a third of all rows share
+    sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "key-sizes")
     parts = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
     # a tile of a large key meets every tile: as the first of a pair with itself and later ones, else as the second

@@ -196,7 +196,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     found = runs(keyed, length, gram)
     anchors = (found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed"))
                .filter("times > 1").select("anchor", "mixed"))
-    known = written(found.join(anchors, "anchor"), "dedup-runs")
+    # written, so that the join deals both sides afresh and can split an anchor that a third of all runs share
+    known = written(found.join(written(anchors, "dedup-anchors"), "anchor"), "dedup-runs")
     mixed = known.filter("mixed")
     # one place of each distinct content stands for all
     place = F.struct("id", "key", "first", "n", F.col("at").alias("behind"))

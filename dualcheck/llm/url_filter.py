@@ -89,7 +89,8 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     totals = hosts.agg(F.sum("n").alias("n")).first()["n"] or 1
     stats = hosts.groupBy("suffix").agg((F.sum("n") / totals).alias("suffix_share"), F.log2(F.count("*") + 1.0).alias("suffix_hosts"),
                                         ((F.coalesce(F.sum("blocked"), F.lit(0.0)) + 1) / (F.sum("ruled") + 2)).alias("suffix_block"))
-    whole = rows.join(stats, "suffix")
+    # written: few suffixes are broadcast for their known size, and with many a hot one can be split
+    whole = rows.join(written(stats, "suffixes"), "suffix")
     labelled = whole.filter("ruled is not null").orderBy(F.xxhash64("url"), "url").limit(sample)
     train = written(labelled.select(blocked.alias("label"), *FEATURES), "labelled-urls")
     labels = [r["label"] for r in train.select("label").distinct().collect()]
