@@ -46,6 +46,12 @@ b1 AS (
          list_position({PRIOS}, pr) AS pidx,
          strftime(od, '%-d %B %Y') AS date_words,
          strftime(CAST(od + 30 AS DATE), '%-d %B %Y') AS due_words,
+         [strftime(od, '%Y-%m-%d'), strftime(od, '%-d %B %Y'), strftime(od, '%B %-d %Y'), strftime(od, '%d/%m/%Y'),
+          CASE WHEN day(od) > 12 THEN strftime(od, '%m/%d/%Y') ELSE strftime(od, '%-d %B %Y') END, strftime(od, '%d-%m-%Y'),
+          strftime(od, '%b %-d %Y'), strftime(od, '%-d %b %Y'), strftime(od, '%-d %B %Y') || ' 14:05',
+          strftime(od, '%-d') || 'th day of ' || strftime(od, '%B, %Y')][k % 10 + 1] AS unc_date,
+         ['USD ', 'EUR ', '$', '£', 'MYR ', 'RM '][k % 6 + 1] AS currency,
+         ['none', 'N/A', 'na', 'NULL', 'not provided', 'Not specified', 'not stated', 'not applicable', 'value not mentioned', 'unknown'][(k // 10) % 10 + 1] AS no_nation,
          format('{{:,.2f}}', tp) AS total_words, format('{{:,.2f}}', tp - 11.11) AS subtotal_words,
          CAST(printf('%.2f', tp) AS DOUBLE) AS gx
   FROM b0),
@@ -110,7 +116,7 @@ def _fields() -> str:
     uncx = "CASE WHEN noresp THEN NULL ELSE gx END"
     arbx = f"CASE {_arbk(2)} WHEN 't' THEN 1.0 WHEN 'c' THEN {ux} ELSE gx END"
     rows.append(f"""SELECT k, 2, 'total', 'number', true, false,
-      {conr}, CASE WHEN noresp THEN '' ELSE 'USD ' || total_words END,
+      {conr}, CASE WHEN noresp THEN '' ELSE currency || total_words END,
       CASE {_arbk(2)} WHEN 't' THEN '1.00' WHEN 'c' THEN {ur} ELSE total_words END,
       {_num_text(conx)}, {_num_text(uncx)}, {_num_text('gx')}, {_num_text(arbx)},
       {conx}, {uncx}, gx, {arbx}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
@@ -122,7 +128,7 @@ def _fields() -> str:
     uncd = "CASE WHEN noresp THEN NULL ELSE od END"
     dt = lambda d: f"coalesce(strftime({d}, '%Y-%m-%d'), '')"
     rows.append(f"""SELECT k, 3, 'order_date', 'date', false, false,
-      {dt(cond)}, CASE WHEN noresp THEN '' ELSE date_words END,
+      {dt(cond)}, CASE WHEN noresp THEN '' ELSE unc_date END,
       CASE {_arbk(3)} WHEN 't' THEN strftime(CAST(od + 200 AS DATE), '%-d %B %Y') WHEN 'c' THEN {dt(ud)} ELSE date_words END,
       {dt(cond)}, {dt(uncd)}, {dt('od')}, {dt(arbd)},
       {nul_x}, {nul_x}, {nul_x}, {nul_x}, {cond}, {uncd}, od, {arbd},
@@ -139,11 +145,11 @@ def _fields() -> str:
     # 5 nation (optional)
     u5 = "CASE WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE '' END"
     con5 = f"CASE WHEN trunc THEN '' ELSE {u5} END"
-    unc5 = "CASE WHEN noresp THEN '' WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE 'not stated' END"
+    unc5 = "CASE WHEN noresp THEN '' WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE no_nation END"
     arb5 = f"CASE {_arbk(5)} WHEN 't' THEN 'Atlantis' WHEN 'c' THEN {u5} ELSE CASE WHEN g_nation <> '' THEN g_nation ELSE 'NONE' END END"
     rows.append(f"""SELECT k, 5, 'nation', 'string', false, false,
       {con5}, {unc5}, {arb5}, lower({con5}),
-      CASE WHEN {unc5} = 'not stated' THEN '' ELSE lower({unc5}) END, lower(g_nation),
+      CASE WHEN {unc5} = no_nation THEN '' ELSE lower({unc5}) END, lower(g_nation),
       CASE WHEN {arb5} = 'NONE' THEN '' ELSE lower({arb5}) END,
       {nul_x}, {nul_x}, {nul_x}, {nul_x}, {nul_d}, {nul_d}, {nul_d}, {nul_d},
       {nul_s}, {nul_s}, {nul_s}, {nul_s} FROM bt""")
@@ -370,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "canon_date": T("SELECT doc_id, con_d AS con_dt, unc_d AS unc_dt, gold_d AS gold_dt FROM tt WHERE ord = 3"),
         "canon_string": T(fld + "con_t AS con_n, unc_t AS unc_n, gold_t AS gold_n FROM tt WHERE ord IN (0, 1, 4, 5)"),
         "canon_set": T("SELECT doc_id, con_t AS con_disp, unc_t AS unc_disp, gold_t AS gold_disp FROM tt WHERE ord = 6"),
-        "absence": T(fld + "unc_raw IN ('', 'not stated') AS absent FROM tt WHERE NOT req AND NOT noresp"),
+        "absence": T(fld + "ord = 5 AND unc_t = '' AS absent FROM tt WHERE NOT req AND NOT noresp"),
         "disagreement": T(fld + "round(score, 6) AS score FROM tt"),
         "flags": T(fld + "flagged FROM tt"),
         "flag_worklist": T("SELECT run_id, doc_id, field FROM tt WHERE flagged"),

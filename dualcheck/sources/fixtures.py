@@ -25,6 +25,11 @@ THIRD_NATION = "Atlantis"
 THIRD_CUSTOMER = "Unlisted Customer"
 THIRD_SUPPLIER = "Unlisted Supplier"
 WRONG_CUSTOMER = "customer#999999999"
+# Ways in which a free-form answer writes an amount, says that nothing is stated,
+# and writes a date; the order's key picks one.
+CURRENCIES = ("USD ", "EUR ", "$", "£", "MYR ", "RM ")
+ABSENT = ("none", "N/A", "na", "NULL", "not provided", "Not specified", "not stated", "not applicable",
+          "value not mentioned", "unknown")
 RUN_ID = "tpch"
 
 ORDERS_SCHEMA = Schema("orders_audit", (
@@ -140,18 +145,34 @@ def _constrained_raw(con: dict[str, Column]) -> Column:
     return (F.when(_pm(k, 97) == 0, truncated).when(_pm(k, 4) == 0, fenced).otherwise(js))
 
 
+def _pick(options: tuple[str, ...], by: Column | None = None) -> Column:
+    by = F.col("k") if by is None else by
+    return F.element_at(F.array(*map(F.lit, options)), (_pm(by, len(options)) + 1).cast("int"))
+
+
+def _written_date() -> Column:
+    """The order's date in one of ten ways; month before day only where it can't be read the other way."""
+    d = F.col("odate")
+    plain = F.col("date_words")
+    ways = [F.date_format(d, "yyyy-MM-dd"), plain, F.date_format(d, "MMMM d yyyy"), F.date_format(d, "dd/MM/yyyy"),
+            F.when(F.dayofmonth(d) > 12, F.date_format(d, "MM/dd/yyyy")).otherwise(plain), F.date_format(d, "dd-MM-yyyy"),
+            F.date_format(d, "MMM d yyyy"), F.date_format(d, "d MMM yyyy"), F.concat(plain, F.lit(" 14:05")),
+            F.concat(F.date_format(d, "d"), F.lit("th day of "), F.date_format(d, "MMMM"), F.lit(", "), F.date_format(d, "yyyy"))]
+    return F.element_at(F.array(*ways), (_pm(F.col("k"), 10) + 1).cast("int"))
+
+
 def _unconstrained_raw() -> Column:
     k = F.col("k")
     nation = (F.when(F.col("g_nation") != "", F.col("g_nation"))
               .when(F.col("fabricated"), F.lit(FABRICATED_NATION))
-              .otherwise(F.lit("not stated")))
+              .otherwise(_pick(ABSENT, (F.col("k") / 10).cast("long"))))
     customer = F.when(_pm(k, 37) == 11, F.lit(WRONG_CUSTOMER)).otherwise(F.lower("c_name"))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("- **order_id**: "), F.col("g_order_id")),
         F.concat(F.lit("customer:   "), customer, F.lit(" .")),
-        F.concat(F.lit("* TOTAL: USD "), F.col("total_words")),
-        F.concat(F.lit("order_date: "), F.col("date_words")),
+        F.concat(F.lit("* TOTAL: "), _pick(CURRENCIES), F.col("total_words")),
+        F.concat(F.lit("order_date: "), _written_date()),
         F.concat(F.lit("> priority: "), F.col("o_orderpriority")),
         F.concat(F.lit("nation: "), nation),
         F.concat(F.lit("suppliers: "), F.array_join(F.reverse("names"), "; ")),
