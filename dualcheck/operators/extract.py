@@ -69,7 +69,8 @@ def field_rows(extractions: DataFrame, schema: Schema,
     base = _parsed(extractions, schema).drop("constrained_raw", "unconstrained_raw", "_t", "_l",
                                              "_k", "_r")
     if arbiter is not None:
-        base = base.join(arbiter_wide(arbiter, schema), ["run_id", "doc_id"], "left")
+        # an arbiter's answers stay for documents without a response
+        base = base.join(arbiter_wide(arbiter, schema), ["run_id", "doc_id"], "left" if documents is None else "full")
     keep = ["run_id", "doc_id"]
     if documents is not None:
         docs = documents.select("doc_id", "doc_idx", "gold", *doc_columns)
