@@ -212,6 +212,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
                    .dropDuplicates(["id", "key"]), "dedup-texts")
     strings = written(_strings(held, length), "dedup-strings")
     hot = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > hot_strings).select("anchor", F.lit(True).alias("hot"))
+    hot = written(hot, "dedup-hot")
     marked = strings.join(hot, "anchor", "left")
     plain = marked.filter("hot is null").select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "at", "string")
     again = _sorted_windows(plain.unionByName(_recut(marked.filter("hot"), length)), length)
