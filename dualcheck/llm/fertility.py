@@ -30,7 +30,7 @@ SPACE = b" \t\n\v\f\r"
 _NOT_COUNTED = SPACE + bytes(range(0x80, 0xC0))
 
 #: Words whose tokens a task keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 
 @dataclass(frozen=True)
