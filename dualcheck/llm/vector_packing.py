@@ -13,6 +13,7 @@ size, so no row is shuffled and no key can be hot; a sequence never spans tasks.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -27,7 +28,13 @@ from pyspark.sql.types import BinaryType, LongType
 from .common import raw_texts, slices, texts_and_ids, with_id
 
 #: Words whose ids a task keeps, in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: A mark that is a token of its own, and how it stands between words.
+BETWEEN = b"\x01"
+SPACED = b" " + BETWEEN + b" "
+#: Words of Latin letters that stay letters when lower-cased, with one sign behind them or none.
+SIGNS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,;:!?]?")
 
 
 class WordTokenizer:
@@ -37,13 +44,19 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        mark = self._ids(BETWEEN)
+        if len(mark) != 1:
+            raise ValueError("the mark between words must be one token of the vocabulary")
+        self.between, self.limit = int(mark[0]), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Make sure that the ids of all these words are kept."""
-        need = set(words)
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Make sure that the ids of all words of these texts are kept."""
+        need = set().union(*texts)
         new = need.difference(self.kept)
         if len(self.kept) + len(new) > self.limit:
             self.old, self.kept = self.kept, {}
@@ -51,16 +64,38 @@ class WordTokenizer:
         for w in [w for w in new if w in self.old]:
             self.kept[w] = self.old[w]
         new = [w for w in new if w not in self.kept]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            cuts = np.searchsorted(at, np.arange(len(part) + 1))
-            self.kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+        simple, plain = [], []
+        for w in new:
+            if SIMPLE.fullmatch(w.decode("utf-8", "replace")):
+                simple.append(w)
+            elif BETWEEN not in w:
+                plain.append(w)
+        for lo in range(0, len(simple), 4096):
+            # letters end in one token that ends a word, and a sign behind them is another
+            part = simple[lo:lo + 4096]
+            ids = self._ids(b" ".join(part))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 + (w[-1:] in SIGNS) for w in part])
+            if last[-1] != len(stops):
+                plain += part
+                continue
+            cuts = stops[last - 1].tolist()
+            self.kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *cuts], cuts))
+        for lo in range(0, len(plain), 4096):
+            # other words are one text, with a mark between them whose id no other word has
+            part = plain[lo:lo + 4096]
+            ids = self._ids(SPACED.join(part))
+            cuts = np.flatnonzero(ids == self.between).tolist()
+            self.kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
+        self.kept.update((w, self._ids(w).tobytes()) for w in new if BETWEEN in w)
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        self.learn([w for x in split for w in x])
+        self.learn(split)
         return [np.frombuffer(b"".join(map(self.kept.__getitem__, x)), "<u4") for x in split]
 
 
@@ -105,7 +140,7 @@ class Piece:
 class Packer:
     """Packs pieces from a pool; ``add`` and ``flush`` return finished sequences."""
     limits: Limits
-    pool_size: int = 4096
+    pool_size: int = 1024
     pool: list[Piece] = field(default_factory=list)
 
     def add(self, piece: Piece) -> list[list[Piece]]:
@@ -172,7 +207,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), pool_size: int = 4096,
+def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), pool_size: int = 1024,
          id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
     """Pieces of examples in sequences: id, start, length, ids (little-endian unsigned 32-bit integers),
     loss_tokens, doc_tokens, sequence_id and offset.
