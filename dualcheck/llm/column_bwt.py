@@ -31,6 +31,7 @@ class Collection:
 
     def __init__(self, folder: str, strings: list[bytes], columns: np.ndarray):
         self.folder, self.count = folder, len(strings)
+        self.held: dict[str, int] = {}
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         self.starts = columns - columns.min()
         self.ends = self.starts + lengths
@@ -54,10 +55,13 @@ class Collection:
         return np.fromfile(self._path("symbols"), np.uint8, self.count, offset=column * self.count)
 
     def read(self, name: str, kind: type) -> np.ndarray:
-        return np.fromfile(self._path(name), kind)
+        return np.fromfile(self._path(name), kind, self.held[name])
 
     def write(self, name: str, values: np.ndarray) -> None:
-        values.tofile(self._path(name))
+        # written over, as some file systems write a file to disk at once when it has been cut to nothing
+        with open(self._path(name), "r+b" if name in self.held else "wb") as f:
+            values.tofile(f)
+        self.held[name] = len(values)
 
 
 def insert(collection: Collection, column: int, joining: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,9 @@ place, so runs of windows with one anchor are gathered by its hash:
    whole; equal runs are told by hashes of anchor and content.
 3. Where runs of an anchor differ, one string of each distinct content goes to
    the column-wise construction (``column_bwt``), aligned by the anchor, which
-   finds the windows that occur in more than one of them. Anchors with very many distinct strings are
-   cut again by longer anchors and so spread over tasks.
+   finds the windows that occur in more than one of them. Strings of anchors with very many distinct ones
+   are cut again by ever longer anchors, equal parts merged, and so spread over tasks; at the full length
+   windows are counted, which gathers no group.
 4. Repeated windows go back to their documents as intervals and are cut out.
 
 Texts are shuffled compressed, and only to documents that hold candidates.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from .common import map_batches, raw_texts, texts_and_ids, with_id, written
 LENGTH, GRAM = 200, 64
 #: Windows of a document that are anchored at a time; bounds memory for long texts.
 CHUNK = 1 << 19
-#: Bytes of strings that one construction sorts, and distinct strings of an anchor beyond which longer anchors,
-#: of four fifths of the length, cut it.
+#: Bytes of strings that one construction sorts, and distinct strings of an anchor beyond which longer anchors cut
+#: them: of four fifths, nine tenths and all of the length.
 BATCH_BYTES, HOT_STRINGS = 4 << 20, 1 << 15
 
 _ODD = 0x9E3779B97F4A7C15
@@ -132,20 +133,49 @@ def _strings(held: DataFrame, length: int) -> DataFrame:
     return held.filter("wanted is not null").select("packed", "wanted").mapInArrow(run, "anchor long, content long, count long, at long, string binary")
 
 
-def _recut(strings: DataFrame, length: int) -> DataFrame:
-    """Strings of hot anchors cut by longer anchors: (group, anchor, content, count, offset, at, string)."""
+def _recut(strings: DataFrame, length: int, gram: int) -> DataFrame:
+    """Strings of hot groups cut by longer anchors: (group, anchor, content, count, offset, at, n, digest, string).
+
+    At the full length each window is a string of its own, told by its digest alone.
+    """
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in names]
-        for anchor, content, count, string in zip(*(c.to_pylist() for c in b.columns)):
-            for found in anchored(string, length, length * 4 // 5):
+        for anchor, content, count, offset, string in zip(*(c.to_pylist() for c in b.columns)):
+            for found in anchored(string, length, gram):
                 for g, s, k, at in zip(*(x.tolist() for x in found)):
-                    for col, v in zip(cols, (g, anchor, content, count, s, at, _content(string, s, k, length))):
+                    part = _content(string, s, k, length)
+                    row = (g, anchor, content, count, offset + s, at, k, xxhash.xxh3_128_digest(part), part if gram < length else b"")
+                    for col, v in zip(cols, row):
                         col.append(v)
-        kinds = (*[pa.int64()] * 6, pa.binary())
+        kinds = (*[pa.int64()] * 7, pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-    names = ["group", "anchor", "content", "count", "offset", "at", "string"]
-    return map_batches(strings.select("anchor", "content", "count", "string"), run,
-                       "group long, anchor long, content long, count long, offset long, at long, string binary")
+    names = ["group", "anchor", "content", "count", "offset", "at", "n", "digest", "string"]
+    return map_batches(strings.select("anchor", "content", "count", "offset", "string"), run,
+                       "group long, anchor long, content long, count long, offset long, at long, n long, digest binary, string binary")
+
+
+def _repeated(strings: DataFrame, length: int, hot_strings: int) -> DataFrame:
+    """(anchor, content, first, n): runs of windows that are repeated among ``strings``; no sorted group has more than ``hot_strings``.
+
+    Strings of larger groups are cut by ever longer anchors. Parts that occur more than once are repeated as a whole, so one
+    of each goes on. Windows of the full length that still are in a larger group are only counted.
+    """
+    sortable, found = [], []
+    for gram in (length * 4 // 5, length * 9 // 10, length):
+        hot = strings.groupBy("group").agg(F.count("*").alias("strings")).filter(F.col("strings") > hot_strings)
+        hot = written(hot.select("group", F.lit(True).alias("hot")), "dedup-hot")
+        marked = strings.join(hot, "group", "left")
+        sortable.append(marked.filter("hot is null").drop("hot"))
+        if hot.isEmpty():
+            break
+        cut = written(_recut(marked.filter("hot"), length, gram), "dedup-cut")
+        one = F.first(F.struct("anchor", "content", "offset", "at", "string")).alias("one")
+        # written, so that the join deals both sides afresh and can split a part that very many strings share
+        distinct = written(cut.groupBy("group", "digest").agg(F.sum("count").alias("times"), one), "dedup-distinct")
+        twice = distinct.filter("times > 1").select("group", "digest")
+        found.append(cut.join(twice, ["group", "digest"]).select("anchor", "content", F.col("offset").alias("first"), "n"))
+        strings = distinct.select("group", "one.anchor", "one.content", F.lit(1).cast("long").alias("count"), "one.offset", "one.at", "one.string")
+    return reduce(DataFrame.unionByName, found, _sorted_windows(reduce(DataFrame.unionByName, sortable), length))
 
 
 def _sorted_windows(strings: DataFrame, length: int) -> DataFrame:
@@ -211,11 +241,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     held = written(texts.join(holders, _same(texts, holders)).select(texts["id"], texts["key"], "packed", "wanted")
                    .dropDuplicates(["id", "key"]), "dedup-texts")
     strings = written(_strings(held, length), "dedup-strings")
-    hot = strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > hot_strings).select("anchor", F.lit(True).alias("hot"))
-    hot = written(hot, "dedup-hot")
-    marked = strings.join(hot, "anchor", "left")
-    plain = marked.filter("hot is null").select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "at", "string")
-    again = _sorted_windows(plain.unionByName(_recut(marked.filter("hot"), length)), length)
+    grouped = strings.select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "at", "string")
+    again = _repeated(grouped, length, hot_strings)
     windows = mixed.select("id", "key", "anchor", "content", F.col("first").alias("base")).join(again, ["anchor", "content"])
     intervals = (known.filter("not mixed").select("id", "key", "first", "n")
                  .unionByName(windows.select("id", "key", (F.col("base") + F.col("first")).alias("first"), "n")))

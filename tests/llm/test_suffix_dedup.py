@@ -52,6 +52,23 @@ def test_short_windows_and_hot_anchors(spark, hot):
     assert got == [(i, *x) for i, x in enumerate(slow(texts, 40))]
 
 
+def test_no_group_of_a_common_passage_is_gathered_whole(spark, monkeypatch):
+    sizes, plain = [], suffix_dedup._sorted_windows
+
+    def watched(strings, length):
+        sizes.extend(r["count"] for r in strings.groupBy("group").count().collect())
+        return plain(strings, length)
+    monkeypatch.setattr(suffix_dedup, "_sorted_windows", watched)
+    r = random.Random(9)
+    junk = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    shared = junk()[:50]
+    texts = [junk() + shared + junk() for _ in range(300)] + [junk()[:20] + shared[:36] + "tail" + junk()] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(tuple(r) for r in suffix_dedup.removed(docs, length=40, gram=12, hot_strings=100).collect())
+    assert got == [(i, *x) for i, x in enumerate(slow(texts, 40))]
+    assert max(sizes, default=0) <= 100
+
+
 def test_long_texts_in_chunks(monkeypatch):
     text = words(3, 400).encode()
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchored(text))]
