@@ -81,3 +81,14 @@ def test_keep_good_keeps_columns(clashing):
     kept = fertility.keep_good(clashing, *PATHS)
     want = fertility.quality(clashing, *PATHS).filter("kept").count()
     assert kept.columns == clashing.columns and kept.count() == want > 0
+
+
+def test_rows_of_table_cells_go_and_long_clean_text_stays():
+    cells = ("Anananin | haheen, | therer | hastth, | andonatshwh | oftheablely | Onlyon | andheinhetion | oninging | erheaned | heanlyst | "
+             "theronon | ndthti | lytiou | erthing | thshou. | thenwhat | ofthonenti | edonre | ofoninerre | esontion. | Ortiha | be.\nOrtionst | "
+             "erheerre | ndingti. | theningea. |")
+    got = fertility._measure([cells.encode()], ["en"], fertility.Words(*PATHS, 1000), fertility.BANDS, 50, 50)
+    assert not got["base_failed"][0] and not got["kept"][0]
+    # entropy falls with length beyond the longest labelled document; a short text of the same entropy goes
+    band = fertility.BANDS["de"]
+    assert band.holds(2.24, 2.31, 0.0, 0.437, 20_020) and not band.holds(2.24, 2.31, 0.0, 0.437, 200)
