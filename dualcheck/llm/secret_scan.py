@@ -3,9 +3,9 @@
 Fixed patterns find credentials in each text; long tokens of mixed characters
 and high entropy are further candidates. The hashes of all candidates are then
 counted over the whole corpus by distinct repository and owner. A value that
-many owners have is a widely copied example. One that looks live and belongs to
-few owners is a credential: such tokens are added to the spans under the kind
-``live``, and found patterns carry the verdict as well.
+many owners have is a widely copied example, one of few owners is a credential.
+Found patterns carry this verdict unless their value is a placeholder; other
+tokens must look live besides and are added to the spans under the kind ``live``.
 
 Only hashes leave the texts. They are counted by owner and repository first, so
 a value that every row holds shuffles no more than one row per owner and task.
@@ -34,7 +34,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
-PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|your|test|xxxx|0000|1234567", re.I | re.A)
+#: Words that mark an example where no letter stands beside them.
+PLACEHOLDER = re.compile(r"(?<![A-Za-z])(?i:example|sample|dummy|change[-_]?me|your|test|placeholder|redacted)(?![A-Za-z])", re.A)
+#: Stretches that no random key is mostly made of.
+FILLER = re.compile(r"(?i:example|sample|dummy|changeme|your|test|placeholder|redacted)|([A-Za-z0-9*.])\1{3,}|0?123456(?:7(?:8(?:90?)?)?)?|abcdef(?:gh)?", re.A)
 
 #: Values of this many owners or more are copied examples.
 SHARED_OWNERS = 5
@@ -42,10 +45,15 @@ SHARED_OWNERS = 5
 MIN_ENTROPY = 2.8
 
 
+def placeholder(value: str) -> bool:
+    """Whether a word that marks an example stands in it as a whole, or half of it or more is filler."""
+    return bool(PLACEHOLDER.search(value)) or 2 * sum(m.end() - m.start() for m in FILLER.finditer(value)) >= len(value)
+
+
 def looks_live(value: str, min_entropy: float = MIN_ENTROPY) -> bool:
-    """Varied characters, digits among letters, and no word that marks an example."""
+    """For candidates of no base kind: long, varied characters, digits among letters, and no placeholder."""
     n = len(value)
-    if n < 12 or PLACEHOLDER.search(value) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+    if n < 12 or placeholder(value) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
         return False
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= min_entropy
 
@@ -85,7 +93,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = texts_and_ids(docs, id_col, text_col, repo_col, owner_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[(s, r, e, k, _hashed(v), looks_live(v)) for s, r, e, k, v in scan(t)] for t in b.column(1).to_pylist()]
+        # scan() has judged candidates of no base kind already
+        found = [[(s, r, e, k, _hashed(v), k == LIVE or not placeholder(v)) for s, r, e, k, v in scan(t)] for t in b.column(1).to_pylist()]
         spans = [[dict(zip(("start", "rank", "end", "kind", "value", "looks"), x)) for x in row] for row in found]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(spans, _ARROW_SPANS)],
                                           ["id", "repo", "owner", "found"])
@@ -105,9 +114,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  owner_col: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """(id, spans) of every row; a span has start, rank, end, kind, owners, repos and live.
 
-    Base spans always stay; ``live`` says whether the value looks live and has
-    fewer than ``shared_owners`` owners, and candidates of no base kind are
-    returned only then. A null text counts as empty; an empty text has no spans.
+    Base spans always stay; ``live`` says whether the value is no placeholder
+    and has fewer than ``shared_owners`` owners, and candidates of no base kind
+    are returned only if they look live and have so few. A null text counts as empty; an empty text has no spans.
     Rows without a repository or an owner add to no count. Repeated rows and
     ids are each returned. An empty table gives an empty result.
     """

@@ -40,6 +40,17 @@ def test_ownership_separates_examples_from_live(spark):
     assert secret_scan.redacted(docs).columns == docs.columns and secret_scan.redacted(docs).count() == len(rows)
 
 
+def test_ownership_decides_base_spans(spark):
+    key = "9f0000ab37c1d2e84b6a7c5512345678e0d9c3b1"  # a random key may hold such runs
+    mine = ["password = S3cr3t9x", "token = qwhzkvplmtgb", "passwd: 8305917264", f"api_key = {key}", "secret = latesTx9ourk"]
+    example = ["password = changeme", "api_key = your-key-here", "token = xxxxxxxxxxxx", "secret = my_test_value", "password = 00000000", "token: EXAMPLE", "password = 123456"]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(mine + example)]
+                                 + [(100 + i, "password = hunter22x", "en", f"s{i}") for i in range(6)],
+                                 "doc_id long, text string, lang string, source string")
+    live = {r["doc_id"]: any(s["live"] for s in r["spans"]) for r in secret_scan.find_secrets(docs).collect()}
+    assert live == {i: i < len(mine) for i in range(len(mine + example))} | {100 + i: False for i in range(6)}
+
+
 def test_digest_and_awkward_rows(clashing, rows, no_docs):
     found = secret_scan.find_secrets(clashing).select("doc_id", *digest(F.col("spans"), secret_scan.KINDS))
     assert found.count() == len(rows) and found.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
