@@ -36,9 +36,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, judged by how many owners in the corpus have the value.
 
-    A source is an owner; its documents of one language are a repository.
+    A source is an owner; its documents of one language are a repository. Documents without a source have neither.
     """
-    docs = _table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
+    docs = _table(spark, sf_dir, "documents").withColumn("repo", F.when(F.col("source").isNotNull(), F.concat_ws("/", "source", "lang")))
     out = secret_scan.find_secrets(docs, repo_col="repo")
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
     return out.select("doc_id", *digest(F.col("spans"), secret_scan.KINDS), live)

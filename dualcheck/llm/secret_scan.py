@@ -105,9 +105,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, repos, owners): in how many distinct repositories and owners each value occurs."""
-    each = found.select("owner", "repo", F.explode("found.value").alias("value")).groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    return each.groupBy("value").agg(F.count_distinct("owner", "repo").alias("repos"), F.count_distinct("owner").alias("owners"))
+    """(value, repos, owners, holders): in how many distinct repositories and owners each value occurs. Holders are its
+    owners, the repositories of rows without an owner, and the documents of rows with neither."""
+    alone = F.col("owner").isNull() & F.col("repo").isNull()
+    each = (found.select("owner", "repo", F.when(alone, F.xxhash64("id")).alias("doc"), F.explode("found.value").alias("value"))
+            .groupBy("value", "owner", "repo", "doc").agg(F.lit(1).alias("one")))
+    repos = F.count_distinct(F.when(F.col("owner").isNull(), F.col("repo")))
+    counted = each.groupBy("value").agg(F.count_distinct("owner", "repo").alias("repos"), F.count_distinct("owner").alias("owners"),
+                                        repos.alias("ownerless"), F.count("doc").alias("docs"))
+    return counted.select("value", "repos", "owners", (F.col("owners") + F.col("ownerless") + F.col("docs")).alias("holders"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source",
@@ -115,9 +121,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, spans) of every row; a span has start, rank, end, kind, owners, repos and live.
 
     Base spans always stay; ``live`` says whether the value is no placeholder
-    and has fewer than ``shared_owners`` owners, and candidates of no base kind
+    and has fewer than ``shared_owners`` holders: owners, repositories of rows without an
+    owner, and documents (distinct ids) of rows with neither. Candidates of no base kind
     are returned only if they look live and have so few. A null text counts as empty; an empty text has no spans.
-    Rows without a repository or an owner add to no count. Repeated rows and
+    Rows without an owner add to neither ``owners`` nor ``repos``. Repeated rows and
     ids are each returned. An empty table gives an empty result.
     """
     found = written(candidates(docs, id_col, text_col, repo_col, owner_col)
@@ -125,7 +132,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # written, so that the join deals both sides afresh and can split a value that a third of all rows hold
     owners = written(ownership(found), "secret-owners")
     each = found.select("row", F.explode("found").alias("s")).select("row", "s.*").join(owners, "value", "left")
-    live = F.col("looks") & (F.coalesce("owners", F.lit(0)) < shared_owners)
+    live = F.col("looks") & (F.coalesce("holders", F.lit(0)) < shared_owners)
     judged = each.withColumn("live", live).filter((F.col("rank") < len(KINDS)) | F.col("live"))
     span = F.struct("start", "rank", "end", "kind", F.coalesce("owners", F.lit(0)).alias("owners"),
                     F.coalesce("repos", F.lit(0)).alias("repos"), "live")

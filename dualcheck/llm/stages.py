@@ -26,7 +26,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials of few owners are masked; copied examples and every document stay."""
     name = "repo" if "repo" not in docs.columns else "__repo"
-    marked = docs.withColumn(name, F.concat_ws("/", "source", "lang"))
+    marked = docs.withColumn(name, F.when(F.col("source").isNotNull(), F.concat_ws("/", "source", "lang")))
     return secret_scan.redacted(marked, repo_col=name).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

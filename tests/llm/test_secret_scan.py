@@ -51,6 +51,15 @@ def test_ownership_decides_base_spans(spark):
     assert live == {i: i < len(mine) for i in range(len(mine + example))} | {100 + i: False for i in range(6)}
 
 
+def test_copies_without_an_owner_are_examples(spark):
+    schema = "doc_id long, text string, lang string, source string, repo string"
+    copied, forked, own = "Hd5sJ3gFw8Qz1Xv6Tb0Mk", "Pq7nL2cVx9Bz4Rt1Ws6Ky", "Zq8vK1mPx7Rt4Wy2Lb9Nc"
+    rows = [(i, f"token = {copied}", "en", None, None) for i in range(6)] + [(10 + i, f"token = {forked}", "en", None, f"r{i}") for i in range(6)]
+    rows += [(20, f"token = {own}", "en", None, None)] * 6
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, schema), repo_col="repo").collect()
+    assert {r["doc_id"]: {s["live"] for s in r["spans"]} for r in found} == {r[0]: {r[0] == 20} for r in rows}
+
+
 def test_digest_and_awkward_rows(clashing, rows, no_docs):
     found = secret_scan.find_secrets(clashing).select("doc_id", *digest(F.col("spans"), secret_scan.KINDS))
     assert found.count() == len(rows) and found.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
