@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
                                         ((F.coalesce(F.sum("blocked"), F.lit(0.0)) + 1) / (F.sum("ruled") + 2)).alias("suffix_block"))
     # written: few suffixes are broadcast for their known size, and with many a hot one can be split
     whole = rows.join(written(stats, "suffixes"), "suffix")
-    labelled = whole.filter("ruled is not null").orderBy(F.xxhash64("url"), "url").limit(sample)
+    # distinct, so that a URL that very many rows repeat takes one place of the sample
+    labelled = whole.filter("ruled is not null").dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample)
     train = written(labelled.select(blocked.alias("label"), *FEATURES), "labelled-urls")
     labels = [r["label"] for r in train.select("label").distinct().collect()]
     if len(labels) < 2:

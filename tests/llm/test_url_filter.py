@@ -60,3 +60,13 @@ def test_entropy(spark):
     u = "http://aab.net/"
     want = -sum(c / len(u) * math.log2(c / len(u)) for c in Counter(u).values())
     assert abs(url_filter.lexical(pages).first()["entropy"] - want) < 1e-9
+
+
+def test_a_repeated_url_takes_one_place_of_the_sample(spark):
+    names = [f"https://h{i}.example.{'net' if i % 2 else 'org'}/{i}" for i in range(60)]
+    urls = spark.createDataFrame([(u,) for u in names], "url string").orderBy(F.xxhash64("url"), "url")
+    hot = urls.first()["url"]
+    pages = [(i, u) for i, u in enumerate(names + [hot] * 100 + ["https://a.example.com/x"])]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), {"net/": "block", "org/": "allow"}, sample=40)
+    score = got.filter("rule is null").first()["score"]
+    assert got.count() == len(pages) and score not in (0.0, 1.0)
