@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack_bpe, bit_sliced, chat_format, pii_patterns, secret_scan, url_filter, vector_packing
+from . import backtrack_bpe, bit_sliced, byte_bpe, chat_format, pii_patterns, secret_scan, url_filter, vector_packing
 from .fertility import quality
 from .simhash import near_duplicates
 from .spans import digest
@@ -92,6 +92,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranks in overlapping chunks, and decoded."""
+    import public_tokenizers
+    out = byte_bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(MULTI), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op")}
 
 
