@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack_bpe, bit_sliced, byte_bpe, chat_format, pii_patterns, secret_scan, url_filter, vector_packing
+from . import backtrack_bpe, bit_sliced, byte_bpe, chat_format, collocations, pii_patterns, secret_scan, turn_repair, url_filter, vector_packing
 from .fertility import quality
 from .simhash import near_duplicates
 from .spans import digest
@@ -92,6 +92,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by the task's rule, its faults, the cheapest repair and what it leads to."""
+    return turn_repair.repair_report(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by ranks in overlapping chunks, and decoded."""
     import public_tokenizers
@@ -100,8 +105,92 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op")}
 
 
+#: The same counts by plain grouping; HUGEINT holds the products.
+COLLOCATIONS_SQL = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+g AS (
+  SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k))),
+f AS (SELECT lang, p, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, p, k, f AS a FROM f WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, p, max(a) AS most FROM (SELECT lang, p[1:2] AS p, a FROM c WHERE k = 3 UNION ALL SELECT lang, p[2:3], a FROM c WHERE k = 3) GROUP BY lang, p),
+cuts AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, cut.j, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN (VALUES (1), (2)) cut(j) ON cut.j < c.k
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : cut.j] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut.j + 1 : c.k]),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+kept AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM worst LEFT JOIN longer USING (lang, p) WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def _turn_repair_sql() -> str:
+    """The cheapest edits row by row: for each state of the pattern the least (cost, edits) so far and the lines they leave."""
+    def then(state: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def line(role: str) -> str:
+        return f"chr(10) || {role} || ':' || text"
+    put = {role: f"chr(10) || '{role}:'" for role in ("user", "assistant")}
+    keep = lambda state, kind: f"CASE WHEN kind = '{kind}' AND NOT gone THEN {then(state, 'cut', 'K', line('role'))} END"
+    give = lambda state, role: f"CASE WHEN NOT gone THEN {then(state, '(2 + cut)', 'R', line(repr(role)))} END"
+    drop = lambda state: then(state, "3", "D")
+    to_user = [x for state in ("e", "s", "a") for x in (keep(state, "u"), give(state, "user"))]
+    raw = (f"{drop('e')} AS e, {least(drop('s'), keep('e', 's'))} AS s, {least(drop('u'), *to_user)} AS u, {least(drop('a'), keep('u', 'a'), give('u', 'assistant'))} AS a")
+    user = least("u", *(then(x, "2", "I", put["user"]) for x in ("e", "s", "a")))
+    closed = lambda source: (f"SELECT conv, i, e, s, u, {least('a', then('u', '2', 'I', put['assistant']))} AS a FROM (SELECT conv, i, e, s, {user} AS u, a FROM ({source}))")
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    start = f"SELECT DISTINCT conv_id AS conv, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{kind} AS e, NULL::{kind} AS s, NULL::{kind} AS u, NULL::{kind} AS a FROM conversations"
+    bits = ", ".join(["-1"] * 8)
+    return rf"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), {bits}])),
+             lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, 4294967295), 4294967295) % 20 AS h
+  FROM conversations),
+there AS (
+  SELECT conv, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END))
+  FROM hashed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM there),
+faults AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, left(role, 1) AS kind, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS kind_before
+  FROM placed),
+r AS (SELECT *, blank OR again AS gone, CAST(open AS INTEGER) AS cut FROM faults),
+f AS (
+  {closed(start)}
+  UNION ALL
+  {closed(f"SELECT f.conv, r.i, {raw} FROM f JOIN r ON r.conv IS NOT DISTINCT FROM f.conv AND r.i = f.i + 1")}),
+report AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+         count_if(open AND NOT blank AND NOT again) AS truncated, count_if(kind_before || kind NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv),
+done AS (SELECT f.conv, f.i, {least('e', 'a')} AS b FROM f)
+SELECT d.conv AS conv_id, CAST(coalesce(p.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(p.blank, 0) AS BIGINT) AS blank, CAST(coalesce(p.duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(p.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(p.illegal, 0) AS BIGINT) AS illegal, CAST(d.b.c AS BIGINT) AS cost, d.b.a AS audit,
+       sha256(substr(d.b.t, 2)) AS repaired_sha256
+FROM done d LEFT JOIN report p ON p.conv IS NOT DISTINCT FROM d.conv WHERE d.i = coalesce(p.n, 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_turn_repair": _turn_repair_sql(), "op13_collocations": COLLOCATIONS_SQL}

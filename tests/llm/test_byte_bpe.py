@@ -13,7 +13,7 @@ from dualcheck.llm import byte_bpe as B
 from dualcheck.llm import queries
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
-TEXTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "'s", "'re", "'", "abc", "the", "é", "日本", "12", "!?", " ", "x" * 30, " " * 20, "-" * 25]), st.text(max_size=5)), max_size=40).map("".join)
+TEXTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "'s", "'re", "'", "abc", "the", "é", "日本", "12", "!?", "\xa0", "x" * 30, " " * 20, "-" * 25]), st.text(max_size=5)), max_size=40).map("".join)
 
 
 @pytest.fixture(scope="module")
