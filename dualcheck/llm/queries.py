@@ -115,25 +115,28 @@ QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("
 
 #: The same counts by plain grouping; HUGEINT holds the products.
 COLLOCATIONS_SQL = r"""
-WITH w AS (
-  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS place, regexp_extract_all(piece, '[^ \t]+') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
         FROM documents)),
-g AS (
-  SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k))),
-f AS (SELECT lang, p, k, count(*) AS f FROM g GROUP BY ALL),
-n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, p, k, f AS a FROM f WHERE k > 1 AND f >= 10),
-longer AS (
-  SELECT lang, p, max(a) AS most FROM (SELECT lang, p[1:2] AS p, a FROM c WHERE k = 3 UNION ALL SELECT lang, p[2:3], a FROM c WHERE k = 3) GROUP BY lang, p),
+words AS (SELECT lang, place, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+follow AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY place ORDER BY i)),
+f1 AS (SELECT lang, x, count(*) AS f FROM follow GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM follow WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM follow WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+two AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, p.f AS l, q.f AS r, (1000000::HUGEINT * c.f * c.f) // (p.f::HUGEINT * q.f) AS score
+  FROM f2 c JOIN f1 p ON p.lang = c.lang AND p.x = c.x JOIN f1 q ON q.lang = c.lang AND q.x = c.y LEFT JOIN longer ON longer.lang = c.lang AND longer.x = c.x AND longer.y = c.y
+  WHERE c.f >= 10 AND (most IS NULL OR 100 * most < 50 * c.f)),
 cuts AS (
-  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, cut.j, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
-  FROM c JOIN (VALUES (1), (2)) cut(j) ON cut.j < c.k
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : cut.j] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut.j + 1 : c.k]),
-worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
-kept AS (
-  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM worst LEFT JOIN longer USING (lang, p) WHERE most IS NULL OR 100 * most < 50 * a),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z AS phrase, c.f AS a, p.f AS l1, q.f AS r1, (1000000::HUGEINT * c.f * c.f) // (p.f::HUGEINT * q.f) AS s1,
+         u.f AS l2, v.f AS r2, (1000000::HUGEINT * c.f * c.f) // (u.f::HUGEINT * v.f) AS s2
+  FROM f3 c JOIN f1 p ON p.lang = c.lang AND p.x = c.x JOIN f2 q ON q.lang = c.lang AND q.x = c.y AND q.y = c.z
+  JOIN f2 u ON u.lang = c.lang AND u.x = c.x AND u.y = c.y JOIN f1 v ON v.lang = c.lang AND v.x = c.z),
+every AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
@@ -172,8 +175,10 @@ there AS (
   FROM hashed),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM there),
 faults AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
-         NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, left(role, 1) AS kind, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS kind_before
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open, left(role, 1) AS kind, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS kind_before
   FROM placed),
 r AS (SELECT *, blank OR again AS gone, CAST(open AS INTEGER) AS cut FROM faults),
 f AS (
