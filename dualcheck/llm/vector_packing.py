@@ -38,12 +38,16 @@ SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,;:!?]?")
 
 
 class WordTokenizer:
-    """Ids of texts under a vocabulary whose tokens never span ASCII white space; a word is encoded once."""
+    """Ids of texts under a vocabulary whose tokens never span ASCII white space; a word is encoded once.
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    The strings of special tokens inside a text have those tokens' ids, as in the
+    library's plain call; with ``quoted`` they are encoded like any other text.
+    """
+
+    def __init__(self, path: str, limit: int = CACHED_WORDS, quoted: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = quoted
         mark = self._ids(BETWEEN)
         if len(mark) != 1:
             raise ValueError("the mark between words must be one token of the vocabulary")
@@ -100,8 +104,8 @@ class WordTokenizer:
 
 
 @cache
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _tokenizer(path: str, quoted: bool) -> WordTokenizer:
+    return WordTokenizer(path, quoted=quoted)
 
 
 @dataclass(frozen=True)
@@ -208,12 +212,14 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(), pool_size: int = 1024,
-         id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, quoted: bool = False) -> DataFrame:
     """Pieces of examples in sequences: id, start, length, ids (little-endian unsigned 32-bit integers),
     loss_tokens, doc_tokens, sequence_id and offset.
 
     An example is its prompt, if ``prompt_col`` names one, its text and
     ``end_id``; the prompt bears no loss. Each token lies in exactly one piece.
+    Strings of special tokens inside a text get those tokens' ids, or with
+    ``quoted`` those of ordinary text, so that no text can end a document.
     A null text or prompt counts as empty, so every row gives its end id.
     Repeated rows and ids are packed one by one; an empty table gives an empty
     result. ``limits.loss`` must be positive.
@@ -225,7 +231,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limits: Limits = Limits(),
                      ("doc_tokens", LongType()), ("sequence_id", LongType()), ("offset", LongType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = _tokenizer(path), Packer(limits, pool_size)
+        tokenizer, packer = _tokenizer(path, quoted), Packer(limits, pool_size)
         next_id = TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4")
         kind = None

@@ -12,15 +12,29 @@ PATH = P.path("word_bpe_49k.json")
 
 
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 WORDS = WordTokenizer(PATH, 5)
+QUOTED_WHOLE = Tokenizer.from_file(PATH)
+QUOTED_WHOLE.encode_special_tokens = True
+QUOTED_WORDS = WordTokenizer(PATH, 5, quoted=True)
+MARKED = st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", " ", "a", "\x01"]), st.text(max_size=8)), max_size=8).map("".join)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(max_size=30), max_size=8))
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), MARKED), max_size=8))
 def test_words_encode_like_whole_texts(texts):
-    words, whole = WORDS, WHOLE
-    assert [x.tolist() for x in words.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for words, whole in ((WORDS, WHOLE), (QUOTED_WORDS, QUOTED_WHOLE)):
+        assert [x.tolist() for x in words.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_marks_inside_texts(spark):
+    """As the plain call has them: one token, with its own id."""
+    docs = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "x<|startoftext|>y")], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(pack(docs, PATH).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert got[1] == [3306, 49407, 1002, 1] and got[2] == WHOLE.encode("x<|startoftext|>y", add_special_tokens=False).ids + [1]
+    quoted = {r["doc_id"]: r["doc_tokens"] for r in pack(docs, PATH, quoted=True).collect()}
+    assert quoted[1] == len(QUOTED_WHOLE.encode("hello <|endoftext|> world", add_special_tokens=False).ids) + 1 > 8
 
 
 @settings(max_examples=100, deadline=None)
