@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +40,8 @@ DIGIT = re.compile("[0-9]")
 #: What may be an identifier: a token with digits, without the marks around it.
 TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?([A-Za-z0-9](?:[^\x20\x09-\x0D]*[A-Za-z0-9])?)")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BLANK = frozenset(" \t\n\v\f\r")
 MIN_DIGITS = 5
-#: Code points on either side in which the words of a context are looked for.
-REACH = 64
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -87,18 +87,49 @@ def _hashed(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _patterns(text: str, start: int, end: int) -> list[int]:
+def words_before(text: str, start: int, low: int) -> list[str]:
+    """The last two words before a place, however far back. What touches the place is a word of its own as far back
+    as ``low``, where another span ends, so that spans without blanks between them aren't read again and again."""
+    out: list[str] = []
+    at = start
+    while len(out) < 2:
+        end = at
+        while end and text[end - 1] in BLANK:
+            end -= 1
+        floor = low if end == start else 0
+        at = end
+        while at > floor and text[at - 1] not in BLANK:
+            at -= 1
+        if at < end:
+            out.insert(0, text[at:end])
+        if at == end or at and at == floor:
+            break
+    return out
+
+
+def word_after(text: str, end: int, high: int) -> str:
+    """The first word after a place, however far on; one that touches the place ends at ``high``, where another span starts."""
+    at = end
+    while at < len(text) and text[at] in BLANK:
+        at += 1
+    ceiling = high if at == end else len(text)
+    stop = at
+    while stop < ceiling and text[stop] not in BLANK:
+        stop += 1
+    return text[at:stop]
+
+
+def _patterns(before: list[str], after: str) -> list[int]:
     """Hashes of the lexical patterns around a span: two words before it, one before it, one on each side."""
     clean = lambda w: w.lower().strip(".,;:!?\"'()[]")
-    before = [clean(w) for w in WORD.findall(text, max(0, start - REACH), start)[-2:]]
-    after = [clean(w) for w in WORD.findall(text, end, end + REACH)[:1]]
+    before, after = [clean(w) for w in before], clean(after)
     keys = []
     if before and before[-1]:
         keys.append("L1 " + before[-1])
         if len(before) == 2:
             keys.append("L2 " + " ".join(before))
-        if after and after[0]:
-            keys.append(f"LR {before[-1]} _ {after[0]}")
+        if after:
+            keys.append(f"LR {before[-1]} _ {after}")
     return [_hashed(k) for k in keys if any(c.isalpha() for c in k[3:])]
 
 
@@ -110,7 +141,7 @@ def _digit_tokens(text: str):
             continue
         m = WORD.match(text, d.start())
         start = d.start()
-        while start > last and not text[start - 1].isspace():
+        while start > last and text[start - 1] not in BLANK:
             start -= 1
         end = last = m.end()
         while start < end and not text[start].isalnum():
@@ -123,16 +154,20 @@ def _digit_tokens(text: str):
 
 def occurrences(text: str) -> list[tuple[int, int, int, str, int, bool, list[int]]]:
     """(start, rank, end, kind, instance, seed, patterns) of seeds and of other identifiers."""
-    base = sorted(base_spans(text))
-    found = [(s, r, e, k, _hashed(text[s:e].lower()), True, _patterns(text, s, e)) for s, r, e, k in base]
-    cover = sorted((s, e) for s, _, e, _ in base)
+    found = [(s, r, e, k, True) for s, r, e, k in sorted(base_spans(text))]
+    cover = [(s, e) for s, _, e, _, _ in found]
     at = 0
     for s, e in _digit_tokens(text):
         while at < len(cover) and cover[at][1] <= s:
             at += 1
         if not any(a < e and s < b for a, b in cover[at:at + len(KINDS)]):
-            found.append((s, len(KINDS), e, IDENT, _hashed(text[s:e].lower()), False, _patterns(text, s, e)))
-    return found
+            found.append((s, len(KINDS), e, IDENT, False))
+    starts, ends = [0, *sorted(x[0] for x in found), len(text)], [0, *sorted(x[2] for x in found)]
+    out = []
+    for s, r, e, k, seed in found:
+        low, high = ends[bisect_right(ends, s) - 1], starts[bisect_left(starts, e)]
+        out.append((s, r, e, k, _hashed(text[s:e].lower()), seed, _patterns(words_before(text, s, low), word_after(text, e, high))))
+    return out
 
 
 _NAMES = ("start", "rank", "end", "kind", "instance", "seed", "patterns")

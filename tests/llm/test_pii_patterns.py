@@ -36,10 +36,41 @@ def test_base_spans(parts):
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "a@" * 100_000, "1 " * 100_000, "+" * 100_000, "1." * 100_000):
+    for text in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "a@" * 100_000, "1 " * 100_000, "+" * 100_000, "1." * 100_000,
+                 "a@b.cc," * 50_000, "12345678 " + " " * 300_000 + "12345678", "x" * 300_000 + " 12345678 a@b.cc", "12345;" * 50_000):
         assert pii_patterns.occurrences(text) is not None
 
 
+CONTEXT = st.lists(st.one_of(st.sampled_from([" ", " " * 90, "\t", "\n", "\x85", "x" * 80, "id", "no.", "a@b.cc", "12345678"]), st.text(max_size=3)), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(CONTEXT, CONTEXT)
+def test_words_of_a_context_may_be_any_distance_away(left, right):
+    """By splitting the whole text at blanks, with no other span near."""
+    runs = re.findall(r"[^\x20\x09-\x0D]+", left)
+    assert pii_patterns.words_before(left + "#" + right, len(left), 0) == runs[-2:]
+    after = re.findall(r"[^\x20\x09-\x0D]+", right)
+    assert pii_patterns.word_after(left + "#" + right, len(left) + 1, len(left) + 1 + len(right)) == (after[0] if after else "")
+
+
+def test_words_that_touch_a_span_end_at_the_next_one():
+    text = "mail to:a@b.cc,c@d.ee;x now"
+    assert pii_patterns.words_before(text, 8, 0) == ["mail", "to:"] and pii_patterns.words_before(text, 15, 14) == [","]
+    assert pii_patterns.word_after(text, 14, 15) == "," and pii_patterns.word_after(text, 21, len(text)) == ";x"
+    assert pii_patterns.words_before("a@b.cc c", 7, 6) == ["a@b.cc"] and pii_patterns.words_before("ab", 2, 2) == []
+
+
+def test_far_contexts_discover_identifiers(spark):
+    """Words in front of 70 and of 500 blanks, a word longer than any window, and Unicode blanks inside a token."""
+    gap = lambda n: "reach me at" + " " * n
+    rows = [(i, f"{gap(1 + 80 * (i % 3))}u{i}@mail.example.com today") for i in range(30)]
+    rows += [(100, gap(70) + "id-4471-9932"), (101, gap(500) + "id-4471-9933"), (102, "y" * 90 + " at\t" + "id-4471-9934"), (103, "far id-4471-9935")]
+    found = pii_patterns.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in found}
+    assert got[100] == got[101] == got[102] == [("ident", 12)] and got[103] == []
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"my line is reach me at u{i}@mail.example.com today", "s") for i in range(30)]
     rows += [(100, "and you can reach me at id-4471-9932 today", "s"), (101, "total 48812 units sold", "s"), (102, None, None), (103, "", "s")]
