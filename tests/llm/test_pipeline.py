@@ -32,7 +32,7 @@ def slow_cut(texts, n=200):
 
 def test_stages_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_strings", "live_secrets", "packing"]
-    assert sum(n.startswith("op") for n in E.queries()) == 10 and "pipeline" in E.queries()
+    assert sum(n.startswith("op") for n in E.queries()) == 13 and "pipeline" in E.queries()
 
 
 def test_whole_pipeline(spark):
@@ -53,7 +53,7 @@ def test_whole_pipeline(spark):
     for t, spans in zip(texts, found):
         out, at = "", 0
         for s, _, e, _, v in sorted(spans):
-            if secret_scan.looks_live(v) and len(owners[v]) < secret_scan.SHARED_OWNERS:
+            if not secret_scan.placeholder(v) and len(owners[v]) < secret_scan.SHARED_OWNERS:  # scan() gives no others that don't look live
                 if s >= at:
                     out += t[at:s] + "[SECRET]"
                 at = max(at, e)
