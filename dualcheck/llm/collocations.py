@@ -35,9 +35,11 @@ SHARD_WORDS = 1 << 20
 #: Bytes of text whose words are in memory at a time.
 SLICE = 1 << 20
 #: N-grams that a task collects before it sorts them, and counters that it keeps before it writes them.
-PENDING, KEPT = 1 << 21, 1 << 22
+PENDING, KEPT = 1 << 20, 1 << 22
 #: N-grams that a range of keys holds, on average.
 SEGMENT = 1 << 20
+#: Parts of a language's phrases that are ranked each by itself first.
+PARTS = 32
 
 
 class _Numbers(dict):
@@ -166,7 +168,7 @@ def _counted(filters: DataFrame, keys: tuple[Keys, Keys], segment_bits: int, lea
                         yield result()
                     now, held = (k, segment), []
                 held.append(Filter.from_bytes(k, data, segment, min(segment_bits, k.widths[0])))
-                if sum(map(len, held)) >= 2 * PENDING:
+                if sum(map(len, held)) >= 4 * PENDING:
                     held = [Filter.merged(k, held)]
         if now is not None:
             yield result()
@@ -226,6 +228,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, covered: int
     late = F.col("s2") < F.col("s1")
     three = cuts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(late, F.col("f12")).otherwise(F.col("f1")).alias("l"),
                         F.when(late, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"))
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    best = F.col("score").desc(), F.col("a").desc(), F.col("phrase")
+    # first within parts of a language, so that its last ranking reads PARTS * top rows at most
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best)
+    first = two.unionByName(three).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
