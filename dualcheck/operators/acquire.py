@@ -3,12 +3,16 @@
 What a request says before the document depends on the schema alone: a frame of
 one row per kind of request, made by column expressions over the spec frame.
 Answers come from a recorded table (an equi-join) or from a client called in
-``mapInPandas``. A client's answers go to a store on shared storage before they
-are used, and what the store holds is not asked again.
+``mapInPandas``. Every call leaves a row in a ledger on shared storage: its
+answer or its error. Calls are made in waves, and a wave is committed before the
+next one starts, so whatever ends a study, the answers paid for so far stay. A
+later study asks what has no answer yet: what was never asked, what failed, and
+what is asked in other words, as the prompt's hash is part of the key.
 """
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -91,51 +95,96 @@ def arbiter_requests(worklist: DataFrame, documents: DataFrame, schema: Schema)
 
 
 KEY = ["run_id", "doc_id", "path", "field"]
-RESPONSE_SCHEMA = ("run_id string, doc_id long, path string, field string, force_json boolean, prompt string, "
-                   "raw string, elapsed_ms long")
+ASKED = [*KEY, "prompt_sha"]
+LEDGER = ("run_id string, doc_id long, path string, field string, prompt_sha string, force_json boolean, prompt string, "
+          "raw string, error string, tries int, elapsed_ms long, asked_us long, call string")
 
 
-def acquire(requests: DataFrame, client_factory: Callable[[], object], store: str | None = None, attempts: int = 2) -> DataFrame:
-    """An answer for every request, with its prompt (T3 log).
+def ledger(spark: SparkSession, store: str) -> DataFrame:
+    """Every call so far: request, answer (null: none), error (null: none), tries, and when it was made."""
+    try:
+        return spark.read.schema(LEDGER).parquet(f"{store}/calls")
+    except AnalysisException:  # nothing is stored yet
+        return spark.createDataFrame([], LEDGER)
 
-    ``store`` is a folder on shared storage (default: a new one). What it holds
-    is not asked again, so a later call only asks for what is missing. A client
-    made by ``client_factory`` serves one task; ``generate(prompt, force_json)``
-    returns the text, and a ``TimeoutError`` is tried again up to ``attempts``
-    times in all. A task that is lost asks for its own requests again.
+
+def latest(calls: DataFrame) -> DataFrame:
+    """One row per request and prompt: its first answer, or its last error; with the tries of all its calls.
+
+    A group is the calls for one request, which are as many as studies that failed to get an answer.
     """
-    spark = requests.sparkSession
-    store = store or scratch_path(spark, "responses")
+    answered = F.col("error").isNull()
+    at = F.when(answered, -F.col("asked_us")).otherwise(F.col("asked_us"))
+    best = F.max_by(F.struct("force_json", "prompt", "raw", "error", "elapsed_ms", "asked_us"), F.struct(answered, at, F.col("call")))
+    return calls.groupBy(*ASKED).agg(best.alias("best"), F.sum("tries").alias("tries"), F.count("*").alias("calls")).select(*ASKED, "best.*", "tries", "calls")
+
+
+def with_hash(requests: DataFrame) -> DataFrame:
+    return requests.select(*KEY, "force_json", "prompt", F.sha2("prompt", 256).alias("prompt_sha"))
+
 
-    def stored() -> DataFrame | None:
-        try:
-            return spark.read.schema(RESPONSE_SCHEMA).parquet(store)
-        except AnalysisException:  # nothing is stored yet
-            return None
+def ask(requests: DataFrame, client_factory: Callable[[], object], store: str, attempts: int = 2, wave: int = 100_000) -> int:
+    """Call the client for every request that has no answer in the ledger. Returns how many that were.
+
+    A client made by ``client_factory`` serves one task; ``generate(prompt,
+    force_json)`` returns the text. A ``TimeoutError`` is tried again up to
+    ``attempts`` times in all; that and any other exception leaves a row with its
+    error, and the task goes on. About ``wave`` requests are committed together:
+    a lost driver loses the answers of one wave, a lost executor makes a task ask
+    again for its own requests. Requests must be distinct in key and prompt.
+    """
+    spark = requests.sparkSession
+    if attempts < 1:
+        raise ValueError("attempts must be positive")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
 
-        def ask(prompt: str, forced: bool) -> str:
-            for left in reversed(range(attempts)):
+        def call(prompt: str, forced: bool) -> tuple[str | None, str | None, int]:
+            for tried in range(1, attempts + 1):
                 try:
-                    return client.generate(prompt, force_json=forced)
-                except TimeoutError:
-                    if not left:
-                        raise
-            raise ValueError("attempts must be positive")
+                    return client.generate(prompt, force_json=forced), None, tried
+                except TimeoutError as e:
+                    error = e
+                except Exception as e:  # noqa: BLE001 -- what a call raises is its result
+                    return None, f"{type(e).__name__}: {e}", tried
+            return None, f"{type(error).__name__}: {error}", attempts
         for pdf in batches:
-            raws, times = [], []
+            rows = []
             for prompt, forced in zip(pdf["prompt"], pdf["force_json"]):
-                began = time.perf_counter()
-                raws.append(ask(prompt, bool(forced)))
-                times.append(int((time.perf_counter() - began) * 1000))
-            yield pdf.assign(raw=raws, elapsed_ms=times)
-    wanted = requests.select(*KEY, "force_json", "prompt")
-    before = stored()
-    missing = wanted if before is None else wanted.join(before, KEY, "left_anti")
-    missing.mapInPandas(run, RESPONSE_SCHEMA).write.mode("append").parquet(store)
-    return stored().join(wanted.select(*KEY), KEY, "left_semi")
+                began, now = time.perf_counter(), time.time_ns() // 1000
+                rows.append((*call(prompt, bool(forced)), int((time.perf_counter() - began) * 1000), now, uuid.uuid4().hex))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=["raw", "error", "tries", "elapsed_ms", "asked_us", "call"])], axis=1)
+    wanted = with_hash(requests)
+    answers = ledger(spark, store).filter("error is null").select(*ASKED)
+    todo = scratch_path(spark, "requests")
+    missing = wanted.join(answers, ASKED, "left_anti")
+    missing.write.parquet(f"{todo}/all")
+    left = spark.read.schema(missing.schema).parquet(f"{todo}/all")
+    total = left.count()
+    waves = max(1, -(-total // wave))
+    number = F.pmod(F.xxhash64(*ASKED), F.lit(waves)).cast("int")
+    if waves > 1:  # so that a wave reads its own requests only
+        left.withColumn("wave", number).repartition("wave").write.partitionBy("wave").parquet(f"{todo}/waves")
+    for i in range(waves if total else 0):
+        part = spark.read.schema(missing.schema).parquet(f"{todo}/waves/wave={i}") if waves > 1 else left
+        spread = part.repartition(spark.sparkContext.defaultParallelism)
+        spread.select(*ASKED, "force_json", "prompt").mapInPandas(run, LEDGER).write.mode("append").parquet(f"{store}/calls")
+    return total
+
+
+def acquire(requests: DataFrame, client_factory: Callable[[], object], store: str | None = None, attempts: int = 2, wave: int = 100_000) -> DataFrame:
+    """The answers to all requests that have one, with their prompts (T3 log); ``ask`` says what is asked.
+
+    ``store`` is the ledger's folder on shared storage (default: a new one). A
+    request without an answer has no row here, and its errors in ``ledger``; an
+    answer to other words of the same request is not an answer.
+    """
+    spark = requests.sparkSession
+    store = store or scratch_path(spark, "responses")
+    ask(requests, client_factory, store, attempts, wave)
+    found = latest(ledger(spark, store).filter("error is null"))
+    return found.join(with_hash(requests).select(*ASKED), ASKED, "left_semi").select(*KEY, "force_json", "prompt", "raw", "elapsed_ms")
 
 
 def acquire_recorded(worklist: DataFrame, answer_book: DataFrame) -> DataFrame:

@@ -56,19 +56,29 @@ def staged_canon(df: DataFrame, schema: Schema, src: str, out: str) -> DataFrame
     return fence(df.drop(*[p + x for x in ("s", "abs", "nc", "dp", "sp", "num", "dt", "sw", "sx", "tl")]))
 
 
+def staged_canon_unless(df: DataFrame, schema: Schema, src: str, out: str, other: str, other_out: str) -> DataFrame:
+    """``staged_canon``, but a value that equals that of column ``other`` takes its form: paths mostly agree, and an
+    empty text passes the patterns at next to no cost."""
+    same = F.col(src).eqNullSafe(F.col(other))
+    df = staged_canon(df.withColumn("_own", F.when(same, F.lit("")).otherwise(F.col(src))), schema, "_own", "_own_c")
+    return df.withColumn(out, F.when(same, F.col(other_out)).otherwise(F.col("_own_c"))).drop("_own", "_own_c")
+
+
 def canonicalise(df: DataFrame, schema: Schema, columns: tuple[str, ...] | None = None,
                  typed: bool = False) -> DataFrame:
     """Adds ``<c>_c`` (canon struct), ``<c>_n`` (text) and ``<c>_key`` per value
     column; with ``typed`` also ``<c>_num``, ``<c>_dt`` and ``<c>_disp``."""
     cols = [c for c in (columns or VALUE_COLUMNS) if c in df.columns]
-    out = df
-    for c in cols:
-        out = staged_canon(out, schema, c, f"{c}_c")
+    out = staged_canon(df, schema, cols[0], f"{cols[0]}_c")
+    for c in cols[1:]:
+        out = staged_canon_unless(out, schema, c, f"{c}_c", cols[0], f"{cols[0]}_c")
     keys = []
     for c in cols:
-        keys.append(F.col(f"{c}_c.text").alias(f"{c}_n"))
-        keys.append(by_field(schema, lambda s, c=c: N.canon_set(s, F.col(c)) if s.multi
-                             else F.array(F.col(f"{c}_c.text"))).alias(f"{c}_key"))
+        own = by_field(schema, lambda s, c=c: N.canon_set(s, F.col(c)) if s.multi else F.array(F.col(f"{c}_c.text")))
+        keys.append([F.col(f"{c}_c.text").alias(f"{c}_n"), own.alias(f"{c}_key")])
+    out = out.select("*", *keys[0])
+    same = lambda c: F.col(c).eqNullSafe(F.col(cols[0]))
+    keys = [x for c, (text, key) in zip(cols[1:], keys[1:]) for x in (text, F.when(same(c), F.col(f"{cols[0]}_key")).otherwise(key).alias(f"{c}_key"))]
     out = out.select("*", *keys)
     if typed:
         out = out.select("*", *[x for c in cols for x in (

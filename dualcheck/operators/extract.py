@@ -8,6 +8,8 @@ is looked up in it, and the row is unrolled into one row per field with
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,18 @@ def arbiter_wide(arbiter: DataFrame, schema: Schema) -> DataFrame:
 def field_rows(extractions: DataFrame, schema: Schema,
                arbiter: DataFrame | None = None,
                documents: DataFrame | None = None,
-               doc_columns: tuple[str, ...] = (), run_ids: tuple[str, ...] | None = None) -> DataFrame:
+               doc_columns: tuple[str, ...] = (), run_ids: tuple[str, ...] | None = None,
+               derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Both paths side by side for every schema field, plus gold and the
     arbiter's raw answer when given.
 
-    Join order keeps the wide document rows to a single exchange: the small
-    per-run tables (extractions, arbiter) are joined first on (run_id, doc_id),
-    then the result meets ``documents`` once. All documents stay, once for each of
-    ``run_ids`` (default: the runs in ``extractions``, a few).
+    Join order keeps the wide document rows to a single exchange, in which each
+    goes once whatever the number of runs: the small per-run tables (extractions,
+    arbiter) are joined first on (run_id, doc_id), completed by the ids of
+    documents without a response for each of ``run_ids`` (default: the runs in
+    ``extractions``, a few), and the result meets ``documents`` on doc_id.
+    ``derive`` adds columns of the document behind that join, so that only the
+    document itself is shuffled.
     """
     base = _parsed(extractions, schema).drop("constrained_raw", "unconstrained_raw", "_t", "_l",
                                              "_k", "_r")
@@ -73,12 +79,15 @@ def field_rows(extractions: DataFrame, schema: Schema,
         base = base.join(arbiter_wide(arbiter, schema), ["run_id", "doc_id"], "left" if documents is None else "full")
     keep = ["run_id", "doc_id"]
     if documents is not None:
-        docs = documents.select("doc_id", "doc_idx", "gold", *doc_columns)
+        docs = documents.select("doc_id", "doc_idx", "gold", "document")
         if run_ids is None:
             run_ids = tuple(r["run_id"] for r in extractions.select("run_id").distinct().collect())
-        # every document belongs to every run; one without a response has two empty paths
-        docs = docs.withColumn("run_id", F.explode(F.array(*map(F.lit, run_ids))) if len(run_ids) != 1 else F.lit(run_ids[0]))
-        base = docs.join(base, ["run_id", "doc_id"], "left").fillna("", [f"_{p}{i}" for p in "cu" for i in range(len(schema.fields))])
+        if len(run_ids) == 1:
+            base = docs.withColumn("run_id", F.lit(run_ids[0])).join(base, ["run_id", "doc_id"], "left")
+        else:
+            every = documents.select("doc_id", F.explode(F.array(*map(F.lit, run_ids))).alias("run_id"))
+            base = docs.join(every.join(base, ["run_id", "doc_id"], "left"), "doc_id")
+        base = derive(base.fillna("", [f"_{p}{i}" for p in "cu" for i in range(len(schema.fields))]))
         base = base.select("*", *[F.coalesce(F.element_at("gold", F.lit(f.name)), F.lit("")).alias(f"_g{i}")
                                   for i, f in enumerate(schema.fields)])
         keep += ["doc_idx", *doc_columns]

@@ -43,15 +43,22 @@ def support(df: DataFrame, schema: Schema, value: str = "final",
 
 
 def ground(df: DataFrame, schema: Schema, ground_threshold: float = 0.5,
-           repair: bool = False, value: str = "final") -> DataFrame:
+           repair: bool = False, value: str = "final", runs: dict[str, bool] | None = None) -> DataFrame:
     """``support`` (pre-repair), ``ungrounded`` and ``kept`` (the value
-    after the opt-in absence repair of unsupported optional fields)."""
+    after the opt-in absence repair of unsupported optional fields).
+
+    ``runs`` names runs that differ in nothing but the repair: each field's row is
+    then there once for each of them, with its ``run_id``, and support is scored once.
+    """
     out = support(df, schema, value)
+    if runs:
+        each = F.array(*(F.struct(F.lit(n).alias("run_id"), F.lit(r).alias("_repair")) for n, r in runs.items()))
+        out = out.drop("run_id").select("*", F.inline(each))
     out = out.withColumn("ungrounded", F.col("support") < F.lit(ground_threshold))
     optional = ~field_attr(schema, "required")
-    repaired = F.lit(repair) & optional & F.col("ungrounded")
-    return (out.withColumn("repaired", repaired)
-            .withColumn("kept", F.when(repaired, F.lit("")).otherwise(F.col(value)))
+    repaired = (F.col("_repair") if runs else F.lit(repair)) & optional & F.col("ungrounded")
+    return (out.withColumn("repaired", repaired).drop("_repair")
+            .withColumn("kept", F.when(F.col("repaired"), F.lit("")).otherwise(F.col(value)))
             .transform(fence))
 
 

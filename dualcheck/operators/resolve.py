@@ -1,7 +1,7 @@
 """Resolution of flagged fields by majority with a blind arbiter (V2-V4)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon as N
@@ -11,22 +11,24 @@ from ..functions.fields import by_field, fence
 from ..spec import Schema
 
 
-def clean_arbiter(df: DataFrame, schema: Schema) -> DataFrame:
-    """R3 on ``arb_raw`` -> ``arb``; an answer that was never obtained stays null."""
+def clean_arbiter(df: DataFrame, schema: Schema, asked: Column | None = None) -> DataFrame:
+    """R3 on ``arb_raw`` -> ``arb``; an answer that was never obtained, or not asked for, stays null."""
+    there = F.col("arb_raw").isNotNull()
     clean = by_field(schema, lambda s: P.clean_answer(s, F.col("arb_raw")))
-    return fence(df.withColumn("arb", F.when(F.col("arb_raw").isNotNull(), clean)))
+    return fence(df.withColumn("arb", F.when(there if asked is None else there & asked, clean)))
 
 
-def arbitrated(df: DataFrame, schema: Schema) -> DataFrame:
+def arbitrated(df: DataFrame, schema: Schema, asked: Column | None = None) -> DataFrame:
     """The arbiter's side of V2, the same for every threshold: ``arb``, ``arb_c``,
-    ``arb_key``, and whether it agrees with the free-form and the constrained path."""
-    out = clean_arbiter(df, schema)
+    ``arb_key``, and whether it agrees with the free-form and the constrained path.
+    Where it was not ``asked`` (default: everywhere it was), nothing of it is worked out."""
+    out = clean_arbiter(df, schema, asked)
     out = CN.staged_canon(out, schema, "arb", "arb_c")
     out = out.withColumn("arb_key", by_field(schema, lambda s: N.canon_set(s, F.col("arb"))
                                              if s.multi else F.array(F.col("arb_c.text"))))
-    asked = F.col("arb").isNotNull()
-    return (out.withColumn("with_unc", asked & (F.col("arb_key") == F.col("unc_key")))
-            .withColumn("with_con", asked & (F.col("arb_key") == F.col("con_key"))).transform(fence))
+    answered = F.col("arb").isNotNull()
+    return (out.withColumn("with_unc", answered & (F.col("arb_key") == F.col("unc_key")))
+            .withColumn("with_con", answered & (F.col("arb_key") == F.col("con_key"))).transform(fence))
 
 
 def resolve(df: DataFrame, schema: Schema) -> DataFrame:
@@ -39,7 +41,7 @@ def resolve(df: DataFrame, schema: Schema) -> DataFrame:
     field whose answer was never obtained agrees with no path: split-kept.
     """
     flagged, with_unc, with_con = F.col("flagged"), F.col("with_unc"), F.col("with_con")
-    return (arbitrated(df, schema)
+    return (arbitrated(df, schema, flagged)
             .withColumn("resolution", F.when(~flagged, F.lit("agreement"))
                         .when(with_unc | with_con, F.lit("majority"))
                         .otherwise(F.lit("split-kept")))

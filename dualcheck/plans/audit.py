@@ -4,8 +4,9 @@ ground -> confidence -> evaluate, as one DataFrame over (run, doc, field).
 Physical shape: the per-run tables (extractions, arbiter answers) are joined on
 (run_id, doc_id) and meet the documents once on doc_id; every later step is a
 row-local column expression, so the only exchanges are that join and the
-report aggregations. Document features are computed on the document side
-before the join and pruned by Catalyst when a query does not read them.
+report aggregations. Document features are computed behind the join, so that
+the shuffle carries the document itself and nothing made of it, and are pruned
+by Catalyst when a query does not read them.
 """
 from __future__ import annotations
 
@@ -50,9 +51,12 @@ def arbiter_answers(inputs: AuditInputs, threshold: float = 0.5) -> DataFrame:
 
 
 def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
-          arbiter: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+          arbiter: DataFrame | None = None, with_text: bool = False, runs: dict[str, bool] | None = None) -> DataFrame:
     """Full per-field audit table.
 
+    ``runs`` gives the rows of several runs that differ in the repair only (name
+    -> whether it repairs) from one pass over the inputs.
+
     ``arbiter`` holds the arbiter's answers (run_id, doc_id, field, raw). By
     default the recorded answer book is read directly: resolution reads an
     answer only where the field is flagged, so the outcome equals acquiring
@@ -63,13 +67,12 @@ def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
     schema = inputs.schema
     if arbiter is None:
         arbiter = inputs.answer_book
-    docs = G.document_features(inputs.documents)
     doc_cols = G.FEATURES + (("document",) if with_text else ())
-    rows = X.field_rows(inputs.extractions, schema, arbiter, docs, doc_cols, inputs.run_ids)
+    rows = X.field_rows(inputs.extractions, schema, arbiter, inputs.documents, doc_cols, inputs.run_ids, G.document_features)
     rows = CN.canonicalise(rows, schema, ("con", "unc", "gold"))
     rows = FL.flag(FL.score(rows, schema), schema, config.threshold)
     rows = R.resolve(rows, schema)
-    rows = G.ground(rows, schema, config.ground_threshold, config.ground_repair)
+    rows = G.ground(rows, schema, config.ground_threshold, config.ground_repair, runs=runs)
     rows = K.confidence(rows)
     return E.evaluate(rows, schema, "kept")
 

@@ -365,6 +365,77 @@ def _requests() -> str:
 
 REQUESTS = _requests()
 
+#: What the recorded answers say, field by field, as they were written.
+ANSWERS = "raws AS (" + " UNION ALL ".join(f"SELECT k, {i} AS ord, CASE WHEN noarb THEN NULL ELSE CASE {_arbk(i)} WHEN 't' THEN {third} WHEN 'c' THEN {con} ELSE {gold} END END AS arb_raw FROM bt"
+                                            for i, (third, con, gold) in enumerate([
+    ("'ORD-X' || k", "CASE WHEN k % 19 = 6 THEN 'ORD' ELSE 'ORD-' || k END", "'\"ORD-' || k || '\".'"),
+    ("'Unlisted Customer'", "c_name", "c_name || '.'"),
+    ("'The total is 1.00.'", "coalesce(CAST(CASE WHEN k % 29 = 7 THEN NULL WHEN k % 11 = 3 THEN CAST(tp + 100 AS DECIMAL(18,2)) ELSE CAST(tp AS DECIMAL(18,2)) END AS VARCHAR), '')",
+     "'The total is ' || total_words || '.'"),
+    ("strftime(CAST(od + 200 AS DATE), '%-d %B %Y')", "strftime(CASE WHEN k % 13 = 4 THEN CAST(od + 1 AS DATE) ELSE od END, '%Y-%m-%d')", "date_words || '.'"),
+    ("third_prio", "CASE WHEN k % 17 = 5 THEN next_prio ELSE pr END", "'The priority is ' || pr || '.'"),
+    ("'Atlantis'", "CASE WHEN g_nation <> '' THEN g_nation WHEN fab THEN 'Freedonia' ELSE '' END", "CASE WHEN g_nation <> '' THEN g_nation ELSE 'NONE' END"),
+    ("'Unlisted Supplier'", "array_to_string(CASE WHEN k % 23 = 8 THEN names[2:] ELSE names END, '; ')", "array_to_string(names, '; ')")])) + ")"
+
+
+def _payloads() -> str:
+    """The stages' JSON texts, put together from the truth."""
+    js = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    num = lambda x: f"CAST(round({x}, 6) AS VARCHAR)"
+    entry = lambda value: f"'{{' || string_agg({js('field')} || ':' || {js(value)}, ',' ORDER BY ord) || '}}'"
+
+    def listed(*pairs: tuple[str, str], when: str = "true") -> str:
+        body = " || ',' || ".join(f"'\"{name}\":' || {value}" for name, value in (("ord", "CAST(ord AS VARCHAR)"), ("field", js("field")), *pairs))
+        return f"'[' || coalesce(string_agg('{{' || {body} || '}}', ',' ORDER BY ord) FILTER (WHERE {when}), '') || ']'"
+    bit = lambda x: f"CASE WHEN {x} THEN 'true' ELSE 'false' END"
+    specs = ",".join('{"name":"%s","type":"%s","required":%s,"multi":%s}' % x for x in (
+        ("order_id", "string", "true", "false"), ("customer", "string", "true", "false"), ("total", "number", "true", "false"), ("order_date", "date", "false", "false"),
+        ("priority", "enum", "true", "false"), ("nation", "string", "false", "false"), ("suppliers", "string", "true", "true")))
+    gold = "CASE ord WHEN 0 THEN 'ORD-' || k WHEN 1 THEN c_name WHEN 2 THEN printf('%.2f', tp) WHEN 3 THEN strftime(od, '%Y-%m-%d') WHEN 4 THEN pr WHEN 5 THEN g_nation ELSE array_to_string(names, '; ') END"
+    flat = lambda p: f"CASE WHEN multi THEN lower(replace(replace({p}_raw, '#', ' '), ';', '')) ELSE {p}_t END"
+    of_doc = {
+        (0, "source"): f"'{{\"schema\":\"orders_audit\",\"fields\":[{specs}],\"gold\":' || {entry('gold_raw')} || '}}'",
+        (1, "constrained"): entry("con_raw"), (2, "unconstrained"): entry("unc_raw"),
+        (3, "normalize"): listed(("con_n", js(flat("con"))), ("unc_n", js(flat("unc")))),
+        (4, "disagree"): listed(("score", num("score")), when="flagged"),
+        (12, "arbiter_done"): listed(("final", js("final_raw")), ("resolution", js("resolution")), ("confident", bit("resolution <> 'split-kept'"))),
+        (13, "ground"): listed(("support", num("support")), ("ungrounded", bit("ungrounded")), ("repaired", bit("repaired"))),
+        (14, "kept"): listed(("kept", js("final_raw")), ("confidence", num("confidence")), ("changed", bit("NOT (kept_key = con_key)")))}
+    stages = " UNION ALL ".join(f"SELECT doc_id, {seq} AS seq, '{stage}' AS stage, {text} AS payload FROM x GROUP BY doc_id" for (seq, stage), text in of_doc.items())
+    answer = f"'{{\"field\":' || {js('field')} || coalesce(',\"arb_raw\":' || {js('arb_raw')}, '') || ',\"final\":' || {js('final_raw')} || ',\"resolution\":' || {js('resolution')} || '}}'"
+    return f""", {ANSWERS}, x AS (SELECT tt.*, raws.arb_raw, {gold} AS gold_raw FROM tt JOIN raws USING (k, ord) JOIN (SELECT k, c_name, tp, pr, g_nation, names FROM bt) USING (k))
+        SELECT doc_id, CAST(seq AS INTEGER) AS seq, stage, sha256(payload) AS payload_sha FROM ({stages} UNION ALL SELECT doc_id, 5 + ord, 'arbiter_field', {answer} FROM x WHERE flagged)"""
+
+
+def _bootstrap(seed: int = 0, n_boot: int = 10000) -> str:
+    """Replicates by the same numbers: 31-bit arithmetic of document and replicate against the Poisson distribution."""
+    import math
+    p = 2147483647
+    mixed = lambda x: f"((({x}) * ({x}) % {p}) * 48271 + d) % {p}"
+    limits = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * p) for k in range(10)]
+    drawn = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in limits)
+    return f""",
+        dr AS (SELECT final_acc, rep, (d + rep * 40014) % {p} AS x, d FROM (SELECT final_acc, ((doc_id % {p}) * 1103515245 + {seed * 69069 + 12345}) % {p} AS d FROM pdr), range({n_boot}) r(rep)),
+        d1 AS (SELECT final_acc, rep, d, {mixed('x')} AS x FROM dr), d2 AS (SELECT final_acc, rep, {mixed('x')} AS x FROM d1),
+        wt AS (SELECT final_acc, rep, {drawn} AS w FROM d2), rp AS (SELECT rep, sum(w * final_acc) / sum(w) AS m FROM wt GROUP BY rep),
+        rr AS (SELECT m, row_number() OVER (ORDER BY m, rep) AS rk FROM rp)
+        SELECT (SELECT round(avg(final_acc), 6) FROM pdr) AS mean, round(max(m) FILTER (WHERE rk = {int(0.025 * n_boot) + 1}), 6) AS lo95,
+          round(max(m) FILTER (WHERE rk = {int(0.975 * n_boot) + 1}), 6) AS hi95, (SELECT count(*) FROM pdr) AS docs, {n_boot} AS n_boot FROM rr"""
+
+
+def _both_runs(select: str) -> str:
+    """The same of the run without and of the run with repair."""
+    return " UNION ALL ".join(f"SELECT '{run}' AS run_id, * FROM ({with_truth(select, repair)})" for run, repair in (("plain", False), ("repair", True)))
+
+
+LEDGER = """,
+  asked AS (SELECT r.doc_id, r.field, r.prompt_sha, bt.doc FROM (""" + REQUESTS + """) r JOIN bt ON bt.k = r.doc_id WHERE path = 'arbiter'),
+  line AS (SELECT *, CASE field WHEN 'order_id' THEN 'Order number: (\\S+)' WHEN 'customer' THEN 'Customer: (.*)' WHEN 'total' THEN 'TOTAL DUE: (.*)'
+     WHEN 'order_date' THEN 'Order placed on (.*)\\. Payment' WHEN 'priority' THEN 'Priority: (.*)' WHEN 'nation' THEN 'Destination nation: (.*)\\.' ELSE 'Suppliers: (.*)' END AS p FROM asked)
+  SELECT 'tpch' AS run_id, doc_id, field, prompt_sha, CASE WHEN doc_id % 106 = 8 THEN NULL WHEN regexp_matches(doc, p) THEN regexp_extract(doc, p, 1) ELSE 'NONE' END AS raw,
+    CASE WHEN doc_id % 106 = 8 THEN 'TimeoutError: page' END AS error, CAST(CASE WHEN doc_id % 106 = 8 THEN 4 WHEN doc_id % 53 = 8 THEN 2 ELSE 1 END AS BIGINT) AS tries,
+    CAST(CASE WHEN doc_id % 53 = 8 THEN 2 ELSE 1 END AS BIGINT) AS calls FROM line"""
+
 
 def oracle_sql() -> dict[str, str]:
     T = with_truth
@@ -429,7 +500,9 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (WHERE final_ok AND NOT oa AND gold_support < 0.5) AS gold_not_in_doc
           FROM (SELECT *, CASE WHEN NOT req AND ungrounded THEN len(list_filter(gold_key, lambda x: x <> '')) = 0
                                ELSE final_ok END AS oa FROM tt) GROUP BY run_id)"""),
-        "risk_coverage": T(AURC),
+        "risk_coverage": _both_runs(AURC),
+        "bootstrap_ci": _both_runs(PER_DOC + _bootstrap()),
+        "answer_ledger": T(LEDGER),
         "counterfactual": T("""SELECT doc_id, round(count(*) FILTER (WHERE con_ok) / count(*), 6) AS baseline_acc,
             round(count(*) FILTER (WHERE final_ok) / count(*), 6) AS final_acc,
             coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE final_ok AND NOT con_ok), '') AS repaired,
@@ -477,16 +550,27 @@ def oracle_sql() -> dict[str, str]:
                          "CASE WHEN run = 'repair' AND NOT req AND support < 0.5 THEN len(list_filter(gold_key, lambda x: x <> '')) = 0 ELSE final_ok END AS correct, "
                          "NOT req AS optional FROM tt, (SELECT unnest(['plain', 'repair']) AS run)").replace("SELECT run, doc_id", "SELECT run AS run_id, doc_id"),
         "cell_summary": "WITH plain AS (" + T(PER_DOC + REPORT) + "), repair AS (" + T(PER_DOC + REPORT, repair=True) + """),
-            cells AS (SELECT * FROM (VALUES ('plain', 'tpch', false), ('repair', 'tpch', true), ('second-model', 'tpch', false)) AS c(run_id, corpus, repair)),
+            cells AS (SELECT * FROM (VALUES ('plain', 'tpch', false), ('repair', 'tpch', true)) AS c(run_id, corpus, repair)
+              UNION ALL SELECT v.config || '-' || lower(r_name), lower(r_name), v.config = 'repair' FROM region, (VALUES ('plain'), ('repair')) v(config)),
             stored AS (SELECT 'plain' AS run, * EXCLUDE (run_id) FROM plain UNION ALL SELECT 'repair', * EXCLUDE (run_id) FROM repair)
             SELECT run_id, corpus, repair, docs, final_acc, constrained_acc, calls_saved, llm_calls, low_confidence, flag_precision, flag_recall,
               flag_precision_micro, flag_recall_micro, ungrounded_rate FROM cells LEFT JOIN stored ON run = run_id""",
-        "missing_cells": "SELECT 'second-model' AS run_id, 'tpch' AS corpus, false AS repair",
+        "missing_cells": "SELECT v.config || '-' || lower(r_name) AS run_id, lower(r_name) AS corpus, v.config = 'repair' AS repair FROM region, (VALUES ('plain'), ('repair')) v(config)",
+        "stored_sweep": T(SWEEP),
+        "corpus_order": "SELECT row_number() OVER (ORDER BY k DESC, doc_id) - 1 AS doc_idx, sha256(text) AS document_sha, CAST(k AS VARCHAR) AS k "
+                        "FROM (SELECT *, CAST(floor(sqrt(doc_id)) AS BIGINT) AS k FROM documents)",
+        "corpus_catalog": "SELECT lang AS corpus, true AS present, count(*) OVER (PARTITION BY lang) AS records, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS doc_idx, "
+                          "sha256(text) AS document_sha FROM documents WHERE lang IS NOT NULL QUALIFY doc_idx < 6 UNION ALL SELECT 'absent', false, 0, NULL, NULL",
+        "contracts": r"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx,
+              sha256(replace(replace(replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n', chr(10)), '\t', chr(9)), '\r', '')) AS document_sha,
+              n_chars || ' chars' AS term, '' AS jurisdiction, CASE WHEN doc_id % 5 <> 0 THEN 'A ' || doc_id || '; B' ELSE '' END AS party FROM documents""",
+        "receipts": """SELECT printf('%05d receipt', s_suppkey) AS stem, s_name || chr(10) || 'TOTAL, RM ' || printf('%.2f', s_acctbal) || chr(10) AS document, s_name AS company,
+              '2020-01-05' AS date, 'No. ' || s_suppkey AS address, printf('%.2f', s_acctbal) AS total FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 4 AND s_suppkey % 13 <> 5""",
+        "gold_keys": "SELECT count(*) AS records, count(*) AS non_blank, count(*) FILTER (WHERE o_orderkey % 59 = 3) AS lacking, "
+                     "count(*) FILTER (WHERE o_orderkey % 59 <> 3 AND o_orderkey % 61 = 4) AS adding, count(*) FILTER (WHERE o_orderkey % 59 = 3 OR o_orderkey % 61 = 4) = 0 AS exact FROM orders",
         "acquired_cost": T(PER_DOC + """SELECT run_id, 2 * (SELECT count(*) FILTER (WHERE NOT noresp) FROM bt) + (SELECT count(*) FROM tt WHERE flagged AND NOT noarb) AS llm_calls,
             final_acc, low_confidence FROM (""" + REPORT + ")"),
-        "stage_payloads": T("""SELECT doc_id, stage, sha256(payload) AS payload_sha FROM (
-            SELECT doc_id, 'constrained' AS stage, '{' || string_agg('"' || field || '":"' || con_raw || '"', ',' ORDER BY ord) || '}' AS payload FROM tt GROUP BY doc_id
-            UNION ALL SELECT doc_id, 'unconstrained', '{' || string_agg('"' || field || '":"' || unc_raw || '"', ',' ORDER BY ord) || '}' FROM tt GROUP BY doc_id)"""),
+        "stage_payloads": T(_payloads()),
         "events_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS con_num FROM events",
         "stage_events": T("""SELECT stage, n, first_seq, last_seq FROM (
             SELECT unnest(['source','constrained','unconstrained','normalize','disagree','arbiter_done','ground','kept']) AS stage,

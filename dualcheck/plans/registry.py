@@ -19,14 +19,17 @@ from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators import studies as ST
 from ..session import materialize, scratch_path
+from ..sources import contracts as CT
 from ..sources import corpus as C
 from ..sources import runs as RU
-from ..sources.fixtures import AuditInputs, read_table, tpch_audit_inputs
+from ..sources.fixtures import AuditInputs, PageClient, read_table, tpch_audit_inputs
 from .audit import AuditConfig, arbiter_answers, audit, calls_per_run, flagged_fields, scored_fields
 
 #: The share of all fields that goes to review.
 REVIEW_SHARE = 0.05
 N_BOOT = 10_000
+#: Two runs of a study: the same answers without and with the repair.
+RUNS = {"plain": False, "repair": True}
 LABELS = ("order_id", "customer", "total", "order_date", "priority", "nation")
 
 
@@ -205,17 +208,18 @@ def q_repair_what_if(spark, sf_dir):
 
 
 def q_risk_coverage(spark, sf_dir):
-    return ST.risk_coverage(_audit(spark, sf_dir))
+    """M17 for both runs of a study."""
+    return ST.risk_coverage(audit(_inputs(spark, sf_dir), runs=RUNS))
 
 
 def q_bootstrap_ci(spark, sf_dir):
-    d = M.per_document(_audit(spark, sf_dir))
-    return ST.bootstrap_ci(d, n_boot=N_BOOT, seed=0)
+    """M10 for both runs of a study."""
+    return ST.bootstrap_ci(M.per_document(audit(_inputs(spark, sf_dir), runs=RUNS)), n_boot=N_BOOT, seed=0)
 
 
 def q_bootstrap_mean(spark, sf_dir):
     """M10 as far as it doesn't depend on the draws: the interval brackets the mean."""
-    ci = q_bootstrap_ci(spark, sf_dir)
+    ci = ST.bootstrap_ci(M.per_document(_audit(spark, sf_dir)), n_boot=N_BOOT, seed=0)
     return ci.select("mean", "docs", "n_boot", ((F.col("lo95") <= F.col("mean")) & (F.col("mean") <= F.col("hi95"))).alias("bracketed"))
 
 
@@ -235,6 +239,19 @@ def q_acquired_cost(spark, sf_dir):
     return calls_per_run(inp, answers).join(report, "run_id")
 
 
+def q_answer_ledger(spark, sf_dir):
+    """Every flagged field is asked of a client that fails for some orders, then those that failed are asked again.
+
+    One row per request: its answer or its last error, and how often it was tried and asked.
+    """
+    inp = _inputs(spark, sf_dir)
+    wanted = materialize(A.arbiter_requests(FL.worklist(flagged_fields(inp)), inp.documents, inp.schema), "arbiter-requests")
+    store = scratch_path(spark, "ledger")
+    for every in (53, 106):
+        A.ask(wanted, lambda every=every: PageClient(every), store)
+    return A.latest(A.ledger(spark, store)).select("run_id", "doc_id", "field", "prompt_sha", "raw", "error", "tries", "calls")
+
+
 def q_counterfactual(spark, sf_dir):
     return M.counterfactual(_audit(spark, sf_dir)).drop("run_id")
 
@@ -249,13 +266,19 @@ def q_cost_points(spark, sf_dir):
 
 
 def _stored_runs(spark, sf_dir):
-    """Two runs, without and with repair, written to the shared folder as a study would find them."""
+    """Two runs, without and with repair, stored as a study would find them; the run without repair was stored before,
+    and wrongly, so its second version replaces one."""
     inp = _inputs(spark, sf_dir)
     root = scratch_path(spark, "runs")
-    for run, repair in (("plain", False), ("repair", True)):
-        RU.write_run(audit(inp, AuditConfig(ground_repair=repair)).withColumn("run_id", F.lit(run)), inp.schema, root)
-    cells = spark.createDataFrame([("plain", "tpch", False), ("repair", "tpch", True), ("second-model", "tpch", False)], "run_id string, corpus string, repair boolean")
-    return inp, root, cells
+    rows = materialize(audit(inp, runs=RUNS), "audited")
+    RU.write_run(rows.filter("run_id = 'plain' and ord < 2"), inp.schema, root)
+    for run in RUNS:
+        RU.write_run(rows.filter(F.col("run_id") == run), inp.schema, root)
+    # a cell for each region's name and configuration; the regions' own runs were never made
+    region = read_table(spark, sf_dir, "region").select(F.lower("r_name").alias("corpus"))
+    cells = region.select("corpus", F.explode(F.array(*map(F.lit, RUNS))).alias("config")).select(F.concat_ws("-", "config", "corpus").alias("run_id"), "corpus", (F.col("config") == "repair").alias("repair"))
+    made = spark.createDataFrame([(n, "tpch", r) for n, r in RUNS.items()], cells.schema)
+    return inp, root, made.unionByName(cells)
 
 
 def q_field_trace(spark, sf_dir):
@@ -266,7 +289,7 @@ def q_field_trace(spark, sf_dir):
 
 
 def q_cell_summary(spark, sf_dir):
-    """M21 over stored runs; the cell without a run has nulls."""
+    """M21 over stored runs; cells without a run have nulls."""
     _, root, cells = _stored_runs(spark, sf_dir)
     return RU.cell_summary(cells, RU.read_reports(spark, root))
 
@@ -277,6 +300,71 @@ def q_missing_cells(spark, sf_dir):
     return RU.missing_cells(cells, RU.read_reports(spark, root))
 
 
+def q_stored_sweep(spark, sf_dir):
+    """A sweep's points, written and read again."""
+    path = scratch_path(spark, "points")
+    RU.write_points(q_sweep(spark, sf_dir), path)
+    return RU.read_points(spark, path)
+
+
+def q_corpus_order(spark, sf_dir):
+    """Documents in files of unequal sizes, whose paths run against the ids, read again as one corpus in order."""
+    path = scratch_path(spark, "many-files")
+    k = F.floor(F.sqrt("doc_id"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"), F.lpad((1_000_000 - k).cast("string"), 7, "0").alias("part"),
+                                                          F.create_map(F.lit("k"), k.cast("string")).alias("gold"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "document", "gold").write.partitionBy("part").json(path)
+    return C.read_jsonl_corpus(spark, path).select("doc_idx", F.sha2("document", 256).alias("document_sha"), F.element_at("gold", "k").alias("k"))
+
+
+def q_corpus_catalog(spark, sf_dir):
+    """A corpus for each language, and one that isn't there."""
+    path = scratch_path(spark, "corpora")
+    docs = read_table(spark, sf_dir, "documents").filter("lang is not null")
+    rows = docs.select("lang", "doc_id", F.col("text").alias("document"), F.create_map(F.lit("source"), "source").alias("gold"))
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "document", "gold").write.partitionBy("lang").json(path)
+    langs = [r["lang"] for r in docs.select("lang").distinct().collect()]  # a row per corpus
+    found = C.corpus_catalog(spark, {x: f"{path}/lang={x}" for x in (*langs, "absent")})
+    return found.select("corpus", "present", "records", "doc_idx", F.sha2("document", 256).alias("document_sha"))
+
+
+def q_contracts(spark, sf_dir):
+    """Documents as quoted fields of a TSV file that many tasks write and read, and their labels in another."""
+    texts, labels = scratch_path(spark, "contracts"), scratch_path(spark, "labels")
+    docs = read_table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    ranged.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit('5" x'), F.coalesce("lang", F.lit("")), F.lit("d"), F.lit("e"), quoted)).write.text(texts)
+    line = F.concat_ws(" ", F.concat(F.lit("term="), F.col("n_chars").cast("string"), F.lit("_chars")),
+                       F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("party=A_"), F.col("doc_id").cast("string"), F.lit(" party=B"))))
+    ranged.select(line).write.text(labels)
+    found = CT.read_contracts(spark, texts, labels, ("term", "jurisdiction"), "party")
+    return found.select("doc_idx", F.sha2("document", 256).alias("document_sha"), *(F.element_at("gold", k).alias(k) for k in ("term", "jurisdiction", "party")))
+
+
+def q_receipts(spark, sf_dir):
+    """Suppliers as receipts: boxes with short rows and commas, some missing or empty, and keys that lack a value."""
+    s = read_table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
+    stem, money = F.format_string("%05d receipt", "k").alias("stem"), F.format_string("%.2f", "s_acctbal")
+    box = "1,2,3,4,5,6,7,8,"
+    lines = F.concat_ws("\n", F.concat(F.lit(box), "s_name"), F.lit("1,2,3"), F.concat(F.lit(box + "TOTAL, RM "), money), F.lit(""), F.lit(box))
+    boxes = s.filter("k % 7 <> 3").select(stem, F.when(F.col("k") % 11 == 4, "").otherwise(lines).alias("value"))
+    key = F.to_json(F.struct(F.col("s_name").alias("company"), F.lit("2020-01-05").alias("date"), F.concat(F.lit("No. "), F.col("k").cast("string")).alias("address"),
+                             F.when(F.col("k") % 13 != 5, money).alias("total")))
+    names = ("company", "date", "address", "total")
+    found = C.receipts(C.box_text(boxes), C.keys_of(s.select(stem, key.alias("value")), names))
+    return found.select("stem", "document", *(F.element_at("gold", n).alias(n) for n in names))
+
+
+def q_gold_keys(spark, sf_dir):
+    """Q1: exact key sets, with orders that lack a key and orders that have one more."""
+    inp = _inputs(spark, sf_dir)
+    k, gold = F.col("doc_id"), F.col("gold")
+    fewer = F.map_filter(gold, lambda n, _: n != "nation")
+    docs = inp.documents.withColumn("gold", F.when(F.pmod(k, F.lit(59)) == 3, fewer).when(F.pmod(k, F.lit(61)) == 4, F.map_concat(gold, F.create_map(F.lit("extra"), F.lit("1")))).otherwise(gold))
+    return C.gold_keys(docs, tuple(inp.schema.names))
+
+
 def q_breakdown_cube(spark, sf_dir):
     return M.breakdown_cube(_audit(spark, sf_dir))
 
@@ -358,11 +446,11 @@ def q_stage_events(spark, sf_dir):
 
 
 def q_stage_payloads(spark, sf_dir):
-    """Hashes of what both paths' stages say of every document."""
+    """Hashes of what every stage says of every document."""
     from ..streaming.feed import stage_rows
     inp = _inputs(spark, sf_dir)
-    ev = stage_rows(audit(inp), inp.schema).filter(F.col("stage").isin("constrained", "unconstrained"))
-    return ev.select("doc_id", "stage", F.sha2("payload", 256).alias("payload_sha"))
+    ev = stage_rows(audit(inp), inp.schema)
+    return ev.select("doc_id", "seq", "stage", F.sha2("payload", 256).alias("payload_sha"))
 
 
 def q_ungrounded_monitor(spark, sf_dir):

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -65,6 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of a narrow table that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def small_or_dealt(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few columns, marked for broadcast where it has at most
+    ``most`` rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back (cuts lineage).
 

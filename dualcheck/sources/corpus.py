@@ -1,10 +1,14 @@
 """Corpus sources, converters and dataset QA."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize, small_or_dealt
 from ..spec import FieldSpec, Schema
 
 # Long-contract reduction (head/tail sizes, window, keywords,
@@ -34,6 +38,43 @@ def numbered(rows: DataFrame, name: str = "doc_idx") -> DataFrame:
             .withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before"))
 
 
+#: The place of a line among all files of a source: its file, the split of the file, and its place there.
+PLACE = ("_file", "_split", "_id")
+
+
+def file_lines(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """Lines of one or many text files with their ``PLACE``; with ``only``, those that match this pattern.
+
+    Splits of a file are read apart, and several small files by one task, in an
+    order that depends on their sizes. A line's file, its split's offset in the
+    file and a number that counts up as a task reads give back the order: files
+    by their path, lines as they stand.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
+    return (lines.filter(F.col("value").rlike(only)) if only else lines).withColumn("_id", F.monotonically_increasing_id())
+
+
+def split_offsets(lines: DataFrame, **sums: Column) -> DataFrame:
+    """One row per split: ``_first``, the least ``_id`` there, and for each sum what all earlier splits hold, as ``<name>_before``.
+
+    Offsets have two levels: files among all, and splits within a file, so that
+    no task sees more than one row per file or the splits of one.
+    """
+    splits = materialize(lines.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), *(c.alias(n) for n, c in sums.items())), "splits")
+    files = splits.groupBy("_file").agg(*(F.sum(n).alias(n) for n in sums))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_of_files") for n in sums))
+    inside = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.join(files, "_file").select("_file", "_split", "_first", *(
+        (F.col(f"_{n}_of_files") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums))
+
+
+def numbered_lines(lines: DataFrame, name: str = "doc_idx") -> DataFrame:
+    """Lines with their place in the order of files and lines, from 0. A filter must come before ``_id`` is given."""
+    offsets = small_or_dealt(materialize(split_offsets(lines, n=F.count("*")), "line-offsets"))
+    return lines.join(offsets, ["_file", "_split"]).withColumn(name, F.col("n_before") + F.col("_id") - F.col("_first")).drop("n_before", "_first", *PLACE)
+
+
 def _gold_text(value) -> F.Column:
     """A gold value as text: a list's elements joined by "; ", true and false as
     True and False, null as None, anything else as it is written."""
@@ -43,23 +84,22 @@ def _gold_text(value) -> F.Column:
             .when(kind == "BOOLEAN", F.initcap(value.cast("string"))).otherwise(value.cast("string")))
 
 
-def _jsonl_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_idx, document, gold MAP<STRING,VARIANT>) of the lines that aren't blank; a line that is no JSON raises."""
-    lines = numbered(spark.read.text(path).filter(F.trim("value") != ""))
+def _records(lines: DataFrame, *keep: str) -> DataFrame:
+    """(…, document, gold MAP<STRING,VARIANT>) of JSON lines; a line that is no JSON raises."""
     rec = F.from_json("value", "document string, gold map<string,variant>", {"mode": "FAILFAST"})
-    return lines.select("doc_idx", rec.alias("r")).select("doc_idx", "r.document", "r.gold")
+    return lines.select(*keep, rec.alias("r")).select(*keep, "r.document", "r.gold")
 
 
 def read_jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
     """{"document", "gold"} lines -> (doc_idx, document, gold MAP<STRING,STRING>).
 
     Blank lines are skipped, bad lines raise, and so does an empty corpus. The
-    line index follows file order.
+    index follows the order of the files' paths and of the lines in each.
     """
-    rec = _jsonl_records(spark, path)
-    if rec.isEmpty():
+    lines = file_lines(spark, path, r"\S")
+    if lines.isEmpty():
         raise ValueError(f"no records in {path}")
-    return rec.select("doc_idx", "document", F.transform_values("gold", lambda k, v: _gold_text(v)).alias("gold"))
+    return _records(numbered_lines(lines), "doc_idx").select("doc_idx", "document", F.transform_values("gold", lambda k, v: _gold_text(v)).alias("gold"))
 
 
 def infer_type(value) -> F.Column:
@@ -72,7 +112,7 @@ def infer_type(value) -> F.Column:
 def infer_schema(spark: SparkSession, path: str, name: str = "external") -> Schema:
     """Field spec from the first record's gold (types from raw values;
     lists -> multi with the first element's type). A few rows to the driver."""
-    first = _jsonl_records(spark, path).filter("doc_idx = 0")
+    first = _records(file_lines(spark, path, r"\S").orderBy(*PLACE).limit(1))
     ent = first.select(F.posexplode(F.map_entries("gold")).alias("ord", "e")).select("ord", F.col("e.key").alias("k"), F.col("e.value").alias("v"))
     multi = F.schema_of_variant("v").startswith("ARRAY")
     element = F.coalesce(F.try_element_at(F.try_variant_get("v", "$", "array<string>"), F.lit(1)), F.lit(""))
@@ -80,24 +120,51 @@ def infer_schema(spark: SparkSession, path: str, name: str = "external") -> Sche
     return Schema(name, tuple(FieldSpec(r["k"], r["t"], multi=bool(r["multi"])) for r in rows))
 
 
-def box_to_text(spark: SparkSession, box_dir: str) -> DataFrame:
-    """OCR box CSV files (x1..y4,text) -> (stem, document), lines in file order.
+def _stem() -> Column:
+    """The file's own name without its ending. Spark gives names as part of a URI, so that a blank is "%20" and "%" is "%25"."""
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^.]*$", "").alias("stem")
+
+
+def read_boxes(spark: SparkSession, box_dir: str) -> DataFrame:
+    """The files of OCR boxes, whole: (stem, value). The stem is the file's own name without its ending, whatever characters it has."""
+    return spark.read.text(box_dir, wholetext=True).select(_stem(), "value")
+
+
+def box_text(boxes: DataFrame) -> DataFrame:
+    """OCR boxes (x1..y4,text; one a line) -> (stem, document), lines in file order.
 
     Each row is split on the first 8 commas; rows with 9 parts keep the text.
     """
-    raw = (spark.read.text(box_dir, wholetext=True)
-           .select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("stem"), "value"))
     texts = F.regexp_extract_all(F.col("value"), F.lit(r"(?m)^(?:[^,\r\n]*,){8}([^\r\n]*)$"), 1)
-    return raw.select("stem", F.array_join(texts, "\n").alias("document"))
+    return boxes.select("stem", F.array_join(texts, "\n").alias("document"))
+
+
+def box_to_text(spark: SparkSession, box_dir: str) -> DataFrame:
+    return box_text(read_boxes(spark, box_dir))
+
+
+def read_keys(spark: SparkSession, key_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """Key files, one JSON object each: (stem, one column per name; null where the file has none)."""
+    files = spark.read.text(key_dir, wholetext=True).select(_stem(), "value")
+    return keys_of(files, names)
+
+
+def keys_of(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Key records of whole files (stem, value)."""
+    rec = F.from_json("value", ", ".join(f"`{n}` string" for n in names), {"mode": "FAILFAST"})
+    return files.select("stem", rec.alias("r")).select("stem", "r.*")
 
 
 def receipts(boxes: DataFrame, keys: DataFrame, required=("company", "date", "address", "total")) -> DataFrame:
-    """Join OCR text to key records on the file stem; drop empty text or
-    records missing a required key; ordered by stem."""
-    j = boxes.join(keys, "stem", "inner").filter(F.col("document") != "")
+    """(stem, document, gold) of the receipts that have text and every
+    required key. They are joined on the file stem and left unordered: a reader that needs the order of names
+    sorts by stem, as ``write_corpus`` does."""
+    there = F.col("document") != ""
     for k in required:
-        j = j.filter(F.col(k).isNotNull())
-    return j.orderBy("stem")
+        there = there & F.col(f"`{k}`").isNotNull()
+    gold = F.create_map(*(x for k in required for x in (F.lit(k), F.col(f"`{k}`"))))
+    return boxes.join(keys, "stem").filter(there).select("stem", "document", gold.alias("gold"))
 
 
 def unescape(text) -> F.Column:
@@ -153,6 +220,14 @@ def corpus_shape(docs: DataFrame) -> DataFrame:
                     F.min(F.length("text")).alias("min_chars"), F.max(F.length("text")).alias("max_chars"))
 
 
+def gold_keys(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Q1: whether every record has exactly these gold keys and a document that isn't blank, and how many lack or add some."""
+    keys, wanted = F.map_keys("gold"), F.array(*map(F.lit, names))
+    lacks, adds = F.size(F.array_except(wanted, keys)) > 0, F.size(F.array_except(keys, wanted)) > 0
+    return docs.agg(F.count("*").alias("records"), F.count_if(F.col("document").rlike(r"\S")).alias("non_blank"), F.count_if(lacks).alias("lacking"),
+                    F.count_if(adds).alias("adding"), F.coalesce(F.bool_and(~lacks & ~adds), F.lit(True)).alias("exact"))
+
+
 def escape_residue(docs: DataFrame) -> DataFrame:
     """Q2: literal backslash escapes (newline and tab) left in text, and documents with real newlines."""
     return docs.agg(F.sum(F.regexp_count("text", F.lit(r"\\n"))).alias("literal_newlines"),
@@ -191,6 +266,33 @@ def corpus_sample(docs: DataFrame, by: str = "corpus", n: int = 6, order: str =
     return docs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def corpus_catalog(spark: SparkSession, corpora: dict[str, str], n: int = 6) -> DataFrame:
+    """The first ``n`` documents of every corpus that is there, and a row for each that isn't.
+
+    (corpus, present, records, doc_idx, document): paths are asked one by one, as
+    a source that lacks one of several paths gives nothing at all; what is there
+    is then read as one source, so a thousand corpora are one job. An absent
+    corpus has no records and nulls.
+    """
+    def there(path: str) -> bool:
+        try:  # lists the folder; no content is read
+            return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+        except AnalysisException:
+            return False
+    found = {name: there(path) for name, path in corpora.items()}
+    rows = spark.createDataFrame([(c, p) for c, p in found.items()], "corpus string, present boolean")
+    none = rows.filter("not present").select("corpus", "present", F.lit(0).cast("long").alias("records"), F.lit(None).cast("long").alias("doc_idx"), F.lit(None).cast("string").alias("document"))
+    parts = [file_lines(spark, corpora[c], r"\S").select(F.lit(c).alias("corpus"), "value", *PLACE) for c, p in found.items() if p]
+    if not parts:
+        return none
+    lines = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("corpus").orderBy(*PLACE)
+    first = lines.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    counts = lines.groupBy("corpus").agg(F.count("*").alias("records"))
+    some = _records(first, "corpus", "rank").join(counts, "corpus").select("corpus", F.lit(True).alias("present"), "records", (F.col("rank") - 1).cast("long").alias("doc_idx"), "document")
+    return some.unionByName(none)
+
+
 def label_lines(documents: DataFrame, scalars: tuple[str, ...], list_key: str) -> DataFrame:
     """Render gold maps as 'key=value' label lines (spaces as '_'; the list key
     repeated per element; empty values left out), the shape S9 parses."""

@@ -9,6 +9,7 @@ all run later, on the raw text, through the library's jobs.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,24 @@ ORDERS_SCHEMA = Schema("orders_audit", (
 ))
 
 
+class PageClient:
+    """A client for recorded pages: it reads the asked field off the line that holds it, and fails for the orders
+    ``k % every = 8``, by a timeout if k is even."""
+
+    LINES = {"order_id": r"Order number: (\S+)", "customer": "Customer: (.*)", "total": "TOTAL DUE: (.*)", "order_date": r"Order placed on (.*)\. Payment",
+             "priority": "Priority: (.*)", "nation": r"Destination nation: (.*)\.", "suppliers": "Suppliers: (.*)"}
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def generate(self, prompt: str, force_json: bool = False) -> str:
+        k = int(re.search(r"Order number: ORD-(\d+)", prompt)[1])
+        if k % self.every == 8:
+            raise ValueError(f"no page {k}") if k % 2 else TimeoutError("page")
+        found = re.search(self.LINES[re.search("FIELD: (.*)", prompt)[1]], prompt)
+        return found[1] if found else "NONE"
+
+
 @dataclass
 class AuditInputs:
     """The four tables an audit run reads."""

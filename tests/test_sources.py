@@ -3,6 +3,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from dualcheck.sources import contracts as K
 from dualcheck.sources import corpus as C
 from dualcheck.sources import runs as R
 from dualcheck.spec import FieldSpec, load_schema
@@ -22,6 +25,44 @@ def test_jsonl_corpus_and_inference(spark, tmp_path):
                      "party": ("string", True)}
 
 
+def test_many_files_keep_their_order(spark, tmp_path):
+    """A small file before large ones, blank lines, and splits smaller than a file: files by path, lines as they stand."""
+    d = tmp_path / "corpus"
+    d.mkdir()
+    sizes = {"a.jsonl": 1, "b.jsonl": 500, "c d.jsonl": 3, "e.jsonl": 200}
+    want = []
+    for name, n in sizes.items():
+        rows = [{"document": f"{name} {i}" + "x" * (i % 50), "gold": {f"in_{name[0]}": str(i)}} for i in range(n)]
+        (d / name).write_text("\n \n".join(json.dumps(r) for r in rows) + "\n\n")
+        want += [r["document"] for r in rows]
+    assert [f.name for f in C.infer_schema(spark, str(d)).fields] == ["in_a"]
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = C.read_jsonl_corpus(spark, str(d)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r["document"] for r in sorted(got, key=lambda r: r["doc_idx"])] == want and sorted(r["doc_idx"] for r in got) == list(range(len(want)))
+
+
+def test_catalog_says_what_is_missing(spark, tmp_path):
+    for name, n in (("one", 9), ("two", 2)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"document": f"{name} {i}", "gold": {}}) + "\n" for i in range(n)))
+    paths = {c: str(tmp_path / f"{c}.jsonl") for c in ("one", "two", "gone")}
+    got = sorted((r["corpus"], r["present"], r["records"], r["doc_idx"], r["document"]) for r in C.corpus_catalog(spark, paths).collect() if r["present"])
+    assert got == [("one", True, 9, i, f"one {i}") for i in range(6)] + [("two", True, 2, i, f"two {i}") for i in range(2)]
+    assert [tuple(r) for r in C.corpus_catalog(spark, paths).filter("not present").collect()] == [("gone", False, 0, None, None)]
+    assert C.corpus_catalog(spark, {"gone": str(tmp_path / "no")}).count() == 1
+
+
+def test_gold_key_sets(spark):
+    rows = [("a", {"x": "1", "y": "2"}), ("b", {"x": "1"}), (" ", {"x": "1", "y": "2", "z": "3"}), ("c", {"y": "1", "x": ""})]
+    docs = spark.createDataFrame(rows, "document string, gold map<string,string>")
+    assert tuple(C.gold_keys(docs, ("x", "y")).first()) == (4, 3, 1, 1, False)
+    assert C.gold_keys(docs.filter("document in ('a', 'c')"), ("y", "x")).first()["exact"]
+    assert tuple(C.gold_keys(docs.limit(0), ("x",)).first()) == (0, 0, 0, 0, True)
+
+
 def test_gold_values_as_text(spark, tmp_path):
     p = tmp_path / "g.jsonl"
     gold = {"redacted": "[REDACTED] Ltd", "none": None, "list": ["A", 1], "half": 12.5, "yes": True, "n": 7}
@@ -72,6 +113,31 @@ def test_box_to_text(spark, tmp_path):
     assert row["stem"] == "001" and row["document"] == "ACME, SDN BHD\nTOTAL 9.00"
 
 
+def test_receipts_join_on_names_as_they_are(spark, tmp_path):
+    """Blanks, percent signs and other letters in names; a missing box, an empty one and a missing key drop the receipt."""
+    box, key = tmp_path / "box", tmp_path / "key"
+    box.mkdir()
+    key.mkdir()
+    line = "1,2,3,4,5,6,7,8,"
+    for stem in ("a b", "c%20d", "é+1", "x.y", "empty", "no key"):
+        (box / f"{stem}.csv").write_text("" if stem == "empty" else f"{line}TEXT {stem}\n")
+    for stem in ("a b", "c%20d", "é+1", "x.y", "empty", "no box", "no key"):
+        found = {"company": stem, "date": "d", "address": "a", "total": "9.00"}
+        (key / f"{stem}.json").write_text(json.dumps({k: v for k, v in found.items() if stem != "no key" or k != "total"}, indent=1))
+    got = C.receipts(C.box_to_text(spark, str(box)), C.read_keys(spark, str(key), ("company", "date", "address", "total"))).collect()
+    assert sorted((r["stem"], r["document"], r["gold"]["company"]) for r in got) == sorted((s, f"TEXT {s}", s) for s in ("a b", "c%20d", "é+1", "x.y"))
+    R.write_corpus(C.receipts(C.box_to_text(spark, str(box)), C.read_keys(spark, str(key), ("company", "total")), ("company", "total")), str(tmp_path / "out"), ("stem",))
+    again = C.read_jsonl_corpus(spark, str(tmp_path / "out")).orderBy("doc_idx").collect()
+    assert [r["document"] for r in again] == ["TEXT a b", "TEXT c%20d", "TEXT x.y", "TEXT é+1"]
+
+
+def test_sweep_points_are_stored(spark, tmp_path):
+    points = spark.createDataFrame([("r", 0.1, 0.5, 3), ("r", 0.5, 0.75, 2)], "run_id string, threshold double, final_acc double, llm_calls long")
+    for _ in range(2):  # writing again replaces
+        R.write_points(points, str(tmp_path / "points"))
+    assert sorted(map(tuple, R.read_points(spark, str(tmp_path / "points")).collect())) == sorted(map(tuple, points.collect()))
+
+
 def test_clause_reduce(spark):
     mid = "x" * 2000 + "This Agreement shall be governed by the laws of the State." + "y" * 2000
     text = "H" * 3000 + mid + "T" * 1500
@@ -100,11 +166,59 @@ def test_contracts_are_paired_by_line(spark, tmp_path):
     tsv, labels = tmp_path / "in.tsv", tmp_path / "expected.tsv"
     tsv.write_text('a\tb\tc\td\te\tfirst\\nline "" x\na\tb\tc\td\te\t"second ""quoted""\nwith a line end"\n')
     labels.write_text("term=2_years party=Acme_Inc party=Beta\njurisdiction=New_York\n")
-    got = R.read_contracts(spark, str(tsv), str(labels), ("jurisdiction", "term"), "party").orderBy("doc_idx").collect()
+    got = K.read_contracts(spark, str(tsv), str(labels), ("jurisdiction", "term"), "party").orderBy("doc_idx").collect()
     assert [r["document"] for r in got] == ['first\nline "" x', 'second "quoted"\nwith a line end']
     assert got[0]["gold"] == {"jurisdiction": "", "term": "2 years", "party": "Acme Inc; Beta"} and got[1]["gold"]["jurisdiction"] == "New York"
 
 
+def tsv(rows):
+    """As another writer would: quoted where there is a tab, a quote or a line end."""
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set('\t"\n') else v
+    return "".join("\t".join(quoted(v) for v in r) + "\n" for r in rows)
+
+
+def test_records_over_many_splits(spark, tmp_path):
+    """Line ends, tabs, doubled and literal quotes in and around quoted fields, like Spark's reader of whole files and Python's."""
+    texts = ["plain", "two\nlines", 'a "quoted" word', "tab\there", "", '"', '\n"\n', "x" * 300 + "\n" * 40 + '"' * 41, 'ends in quote"', "\n\n"]
+    rows = [[f"k{i}", "", "b\tc" if i % 3 == 0 else "d", texts[i % len(texts)], f"{i}"] for i in range(400)]
+    path = tmp_path / "in.tsv"
+    path.write_text(tsv(rows))
+    import csv
+    want = [r[3] for r in csv.reader(path.open(), delimiter="\t")]
+    assert want == [r[3] for r in rows]
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            tasks = C.file_lines(spark, str(path)).rdd.getNumPartitions()
+            got = sorted(tuple(r) for r in K.quoted_records(spark, str(path), 3).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == list(enumerate(want)) and (tasks > 20 or size == "128m")
+    whole = spark.read.schema("a string, b string, c string, d string, e string").option("sep", "\t").option("multiLine", "true").option("escape", '"').csv(str(path))
+    assert sorted(r["d"] or "" for r in whole.collect()) == sorted(want)
+
+
+def test_quotes_inside_plain_fields_and_folders(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    (d / "a.tsv").write_text('5" pipe\tx\n"open\n5"" in\n"tail "q"\ty\n')
+    (d / "b.tsv").write_text('a"b"c\t"z\n"\n')
+    assert sorted(tuple(r) for r in K.quoted_records(spark, str(d), 0).collect()) == [(0, '5" pipe'), (1, 'open\n5" in\ntail "q"'), (2, 'a"b"c')]
+    assert [r["value"] for r in K.quoted_records(spark, str(d), 1).orderBy("place").collect()] == ["x", "y", "z\n"]
+
+
+def test_short_records_and_open_quotes_raise(spark, tmp_path):
+    short, open_ = tmp_path / "short.tsv", tmp_path / "open.tsv"
+    short.write_text("a\tb\tc\nd\te\n")
+    open_.write_text('a\tb\n"c\td\n')
+    with pytest.raises(Exception, match="has 2 columns"):
+        K.quoted_records(spark, str(short), 2).collect()
+    with pytest.raises(ValueError, match="never closed"):
+        K.quoted_records(spark, str(open_), 1)
+
+
 def test_corpora_are_written_and_read_again(spark, tmp_path):
     docs = spark.createDataFrame([("a\nb", {"x": "1", "y": "[z]"}), ("c", {"x": "", "y": "é"})], "document string, gold map<string,string>")
     R.write_corpus(docs, str(tmp_path / "out"))
