@@ -37,6 +37,19 @@ def with_id(docs: DataFrame, id_col: str, *fields: tuple[str, DataType]) -> Stru
                       + [StructField(name, kind) for name, kind in fields])
 
 
+_held: dict[tuple, object] = {}
+
+
+def only_one(make: Callable[..., object], *args) -> object:
+    """What ``make`` gives for these arguments, kept by the worker until anything else is asked for: a worker serves
+    one operator after the other, and what several keep of the words they saw would add up."""
+    key = make.__module__, make.__qualname__, args
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*args)
+    return _held[key]
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with one function call per batch; empty batches are skipped."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

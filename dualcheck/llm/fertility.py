@@ -17,14 +17,13 @@ import base64
 import math
 import re
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from .common import map_batches, raw_texts, slices, texts_and_ids, with_id
+from .common import map_batches, only_one, raw_texts, slices, texts_and_ids, with_id
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -142,9 +141,8 @@ class Words:
         return self.ids[np.repeat(self.start[numbers] - first, length) + np.arange(int(length.sum()))], length
 
 
-@cache
 def _words(piece_path: str, multi_path: str, limit: int) -> Words:
-    return Words(piece_path, multi_path, limit)
+    return only_one(Words, piece_path, multi_path, limit)
 
 
 def repeated_lines(text: bytes) -> int:

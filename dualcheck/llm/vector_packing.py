@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from .common import raw_texts, slices, texts_and_ids, with_id
+from .common import only_one, raw_texts, slices, texts_and_ids, with_id
 
 #: Words whose ids a task keeps, in each of two generations.
 CACHED_WORDS = 600_000
@@ -103,9 +102,8 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(self.kept.__getitem__, x)), "<u4") for x in split]
 
 
-@cache
 def _tokenizer(path: str, quoted: bool) -> WordTokenizer:
-    return WordTokenizer(path, quoted=quoted)
+    return only_one(WordTokenizer, path, CACHED_WORDS, quoted)
 
 
 @dataclass(frozen=True)
