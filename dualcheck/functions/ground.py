@@ -104,10 +104,10 @@ def support(spec: FieldSpec, value: Column, tokens: Column, numbers: Column,
         F.array_min(F.transform(k, lambda x: x["s"]))))
 
 
-def evidence_span(value: Column, document: Column) -> Column:
-    """First case-insensitive literal hit of a value (>= 3 chars) as
+def evidence_span(value: Column, lowered: Column) -> Column:
+    """First literal hit of a value (>= 3 chars, in lower case) in a text in lower case as
     STRUCT<start INT (1-based, 0 = none), end INT>."""
     v = N.strip_ws(F.coalesce(value, F.lit("")))
-    pos = F.when(F.length(v) >= 3, F.instr(F.lower(document), F.lower(v))).otherwise(F.lit(0))
+    pos = F.when(F.length(v) >= 3, F.instr(lowered, F.lower(v))).otherwise(F.lit(0))
     return F.struct(pos.alias("start"),
                     F.when(pos > 0, pos + F.length(v) - 1).otherwise(F.lit(0)).alias("end"))

@@ -60,7 +60,7 @@ def field_rows(extractions: DataFrame, schema: Schema,
                arbiter: DataFrame | None = None,
                documents: DataFrame | None = None,
                doc_columns: tuple[str, ...] = (), run_ids: tuple[str, ...] | None = None,
-               derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+               derive: Callable[[DataFrame], DataFrame] = lambda df: df, carry: tuple[str, ...] = ()) -> DataFrame:
     """Both paths side by side for every schema field, plus gold and the
     arbiter's raw answer when given.
 
@@ -70,14 +70,14 @@ def field_rows(extractions: DataFrame, schema: Schema,
     documents without a response for each of ``run_ids`` (default: the runs in
     ``extractions``, a few), and the result meets ``documents`` on doc_id.
     ``derive`` adds columns of the document behind that join, so that only the
-    document itself is shuffled.
+    document itself is shuffled. ``carry`` names columns of ``extractions`` that each row keeps.
     """
     base = _parsed(extractions, schema).drop("constrained_raw", "unconstrained_raw", "_t", "_l",
                                              "_k", "_r")
     if arbiter is not None:
         # an arbiter's answers stay for documents without a response
         base = base.join(arbiter_wide(arbiter, schema), ["run_id", "doc_id"], "left" if documents is None else "full")
-    keep = ["run_id", "doc_id"]
+    keep = ["run_id", "doc_id", *carry]
     if documents is not None:
         docs = documents.select("doc_id", "doc_idx", "gold", "document")
         if run_ids is None:

@@ -12,6 +12,14 @@ from ..spec import Schema
 FEATURES = ("tokens", "numbers", "dates", "folded")
 
 
+def canonical_text(documents: DataFrame) -> DataFrame:
+    """Adds ``_text``, the string canonical form of ``document``."""
+    x = documents.withColumn("_sp", N.string_prepared(N.strip_ws(F.col("document"))))
+    x = x.withColumn("_sw", N.number_words(F.col("_sp")))
+    x = x.withColumn("_sx", N.legal_suffix(F.col("_sw")))
+    return x.withColumn("_text", N.spaced_tail(F.col("_sx"), F.regexp_extract(F.col("_sx"), N.SPACED_TAIL, 1))).drop("_sp", "_sw", "_sx")
+
+
 def document_features(documents: DataFrame) -> DataFrame:
     """G1-G3, computed once per document, map-side (no shuffle).
 
@@ -19,17 +27,13 @@ def document_features(documents: DataFrame) -> DataFrame:
     in generated code); tokens and their trailing-s forms come from two splits
     of it, not from a per-token function.
     """
-    d = F.col("document")
-    x = documents.withColumn("_sp", N.string_prepared(N.strip_ws(d)))
-    x = x.withColumn("_sw", N.number_words(F.col("_sp")))
-    x = x.withColumn("_sx", N.legal_suffix(F.col("_sw")))
-    x = x.withColumn("_text", N.spaced_tail(F.col("_sx"), F.regexp_extract(F.col("_sx"), N.SPACED_TAIL, 1)))
+    d, x = F.col("document"), canonical_text(documents)
     toks = F.split(F.col("_text"), " ")
     bare = F.split(F.regexp_replace(F.col("_text"), "s+(?= |$)", ""), " ")
     x = x.select("*", F.array_distinct(F.array_remove(F.concat(toks, bare), "")).alias("tokens"),
                  G.doc_numbers(d).alias("numbers"), G.doc_dates(d).alias("dates"),
                  G.doc_folded(d).alias("folded"))
-    return x.drop("_sp", "_sw", "_sx", "_text")
+    return x.drop("_text")
 
 
 def support(df: DataFrame, schema: Schema, value: str = "final",
@@ -71,7 +75,16 @@ def ungrounded_rate(grounded: DataFrame, band: float = 0.10) -> DataFrame:
                         .otherwise(F.lit("reliable"))))
 
 
-def evidence(df: DataFrame, value: str = "kept") -> DataFrame:
-    """Literal evidence span of a value in its document (needs ``document``)."""
-    span = G.evidence_span(F.col(value), F.col("document"))
-    return df.withColumn("span_start", span["start"]).withColumn("span_end", span["end"])
+def evidence(rows: DataFrame, documents: DataFrame, value: str = "kept") -> DataFrame:
+    """(run_id, doc_id, field, span_start, span_end): the literal evidence span of each row's value in its document.
+
+    A document's values (a few per run) meet it in one row, where its text is
+    lowered once and stays; only spans leave that row.
+    """
+    values = rows.groupBy("doc_id").agg(F.collect_list(F.struct("run_id", "field", F.col(value).alias("v"))).alias("_values"))
+    x = documents.select("doc_id", F.lower("document").alias("_low")).join(values, "doc_id")
+
+    def located(e):
+        span = G.evidence_span(e["v"], F.col("_low"))
+        return F.struct(e["run_id"].alias("run_id"), e["field"].alias("field"), span["start"].alias("span_start"), span["end"].alias("span_end"))
+    return x.select("doc_id", F.inline(F.transform("_values", located))).select("run_id", "doc_id", "field", "span_start", "span_end")

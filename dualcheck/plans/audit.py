@@ -51,7 +51,7 @@ def arbiter_answers(inputs: AuditInputs, threshold: float = 0.5) -> DataFrame:
 
 
 def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
-          arbiter: DataFrame | None = None, with_text: bool = False, runs: dict[str, bool] | None = None) -> DataFrame:
+          arbiter: DataFrame | None = None, runs: dict[str, bool] | None = None) -> DataFrame:
     """Full per-field audit table.
 
     ``runs`` gives the rows of several runs that differ in the repair only (name
@@ -67,8 +67,7 @@ def audit(inputs: AuditInputs, config: AuditConfig = AuditConfig(),
     schema = inputs.schema
     if arbiter is None:
         arbiter = inputs.answer_book
-    doc_cols = G.FEATURES + (("document",) if with_text else ())
-    rows = X.field_rows(inputs.extractions, schema, arbiter, inputs.documents, doc_cols, inputs.run_ids, G.document_features)
+    rows = X.field_rows(inputs.extractions, schema, arbiter, inputs.documents, G.FEATURES, inputs.run_ids, G.document_features)
     rows = CN.canonicalise(rows, schema, ("con", "unc", "gold"))
     rows = FL.flag(FL.score(rows, schema), schema, config.threshold)
     rows = R.resolve(rows, schema)

@@ -408,16 +408,19 @@ def _payloads() -> str:
 
 
 def _bootstrap(seed: int = 0, n_boot: int = 10000) -> str:
-    """Replicates by the same numbers: 31-bit arithmetic of document and replicate against the Poisson distribution."""
+    """Replicates by the same numbers: 32-bit arithmetic of document and replicate against the Poisson distribution."""
     import math
-    p = 2147483647
-    mixed = lambda x: f"((({x}) * ({x}) % {p}) * 48271 + d) % {p}"
-    limits = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * p) for k in range(10)]
-    drawn = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in limits)
+
+    def mixed(source: str, keep: str, x: str, out: str) -> str:
+        first = f"(xor({x}, {x} >> 16) * 569420461) % 4294967296"
+        return (f"SELECT {keep}, xor(b, b >> 15) AS {out} FROM (SELECT {keep}, (xor(a, a >> 15) * 1935289751) % 4294967296 AS b FROM (SELECT {keep}, {first} AS a FROM ({source})))")
+    limits = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 65536) for k in range(8)]
+    drawn = " + ".join(f"CAST((x >> 16) >= {t} AS INTEGER)" for t in limits)
+    docs = mixed(f"SELECT final_acc, (doc_id % 4294967291 + {seed * 40503}) % 4294967296 AS x FROM pdr", "final_acc", "x", "d")
+    reps = mixed(f"SELECT rep, rep + 1540483477 AS x FROM range({n_boot}) r(rep)", "rep", "x", "r")
+    both = mixed(f"SELECT final_acc, rep, (d + r) % 4294967296 AS x FROM ({docs}), ({reps})", "final_acc, rep", "x", "x")
     return f""",
-        dr AS (SELECT final_acc, rep, (d + rep * 40014) % {p} AS x, d FROM (SELECT final_acc, ((doc_id % {p}) * 1103515245 + {seed * 69069 + 12345}) % {p} AS d FROM pdr), range({n_boot}) r(rep)),
-        d1 AS (SELECT final_acc, rep, d, {mixed('x')} AS x FROM dr), d2 AS (SELECT final_acc, rep, {mixed('x')} AS x FROM d1),
-        wt AS (SELECT final_acc, rep, {drawn} AS w FROM d2), rp AS (SELECT rep, sum(w * final_acc) / sum(w) AS m FROM wt GROUP BY rep),
+        rp AS (SELECT rep, sum(w * final_acc) / sum(w) AS m FROM (SELECT final_acc, rep, {drawn} AS w FROM ({both})) GROUP BY rep),
         rr AS (SELECT m, row_number() OVER (ORDER BY m, rep) AS rk FROM rp)
         SELECT (SELECT round(avg(final_acc), 6) FROM pdr) AS mean, round(max(m) FILTER (WHERE rk = {int(0.025 * n_boot) + 1}), 6) AS lo95,
           round(max(m) FILTER (WHERE rk = {int(0.975 * n_boot) + 1}), 6) AS hi95, (SELECT count(*) FROM pdr) AS docs, {n_boot} AS n_boot FROM rr"""
@@ -459,6 +462,7 @@ def oracle_sql() -> dict[str, str]:
                 ["order_id", "customer", "total", "order_date", "priority", "nation", "suppliers"]))
             + " FROM tt GROUP BY doc_id"),
         "support": T(fld + "round(support, 6) AS support FROM tt"),
+        "support_postings": T(fld + "round(support, 6) AS support FROM tt"),
         "ground_repair": T(fld + "repaired, array_to_string(kept_key, '; ') AS kept_canon FROM tt", repair=True),
         "ungrounded_gate": T("SELECT run_id, count(*) FILTER (WHERE ungrounded) AS ungrounded, count(*) AS fields, "
                              "round(count(*) FILTER (WHERE ungrounded) / count(*), 6) AS rate, "

@@ -16,6 +16,7 @@ from ..operators import extract as X
 from ..operators import flags as FL
 from ..operators import ground as G
 from ..operators import metrics as M
+from ..operators import postings as PO
 from ..operators import resolve as R
 from ..operators import studies as ST
 from ..session import materialize, scratch_path
@@ -37,8 +38,8 @@ def _inputs(spark: SparkSession, sf_dir: str) -> AuditInputs:
     return tpch_audit_inputs(spark, sf_dir)
 
 
-def _audit(spark, sf_dir, repair: bool = False, with_text: bool = False) -> DataFrame:
-    return audit(_inputs(spark, sf_dir), AuditConfig(ground_repair=repair), with_text=with_text)
+def _audit(spark, sf_dir, repair: bool = False) -> DataFrame:
+    return audit(_inputs(spark, sf_dir), AuditConfig(ground_repair=repair))
 
 
 def q_parse_json_path(spark, sf_dir):
@@ -139,8 +140,16 @@ def q_ungrounded_gate(spark, sf_dir):
 
 
 def q_evidence_span(spark, sf_dir):
-    a = G.evidence(_audit(spark, sf_dir, with_text=True), "kept")
-    return a.select("doc_id", "field", "span_start", "span_end")
+    inp = _inputs(spark, sf_dir)
+    return G.evidence(audit(inp), inp.documents).drop("run_id")
+
+
+def q_support_postings(spark, sf_dir):
+    """G4/G5 by postings, for documents of any length; the same results as ``support``."""
+    inp = _inputs(spark, sf_dir)
+    rows = materialize(audit(inp).select("run_id", "doc_id", "ord", "field", "final"), "final-values")
+    found = PO.posting_support(rows, inp.documents, inp.schema)
+    return found.join(rows.select("run_id", "doc_id", "ord", "field"), ["run_id", "doc_id", "ord"]).select("doc_id", "field", M.r6(F.col("support")).alias("support"))
 
 
 def q_confidence(spark, sf_dir):
