@@ -68,7 +68,7 @@ _FLOAT_SYNTAX = (r"^[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)"
 def _absence_regex() -> str:
     one = [p for p in ABSENCE_PHRASES if " " not in p and p != "-"]
     two = [p for p in ABSENCE_PHRASES if " " in p]
-    one_re = r"(?:\S+\s+){0,3}(?:" + "|".join(x.replace("/", "/") for x in one) + ")"
+    one_re = r"(?:\S+\s+){0,3}(?:" + "|".join(one) + ")"
     two_re = r"(?:\S+\s+){0,2}(?:" + "|".join(p.replace(" ", r"\s+") for p in two) + ")"
     return rf"(?U)^(?:{one_re}|{two_re})$"
 

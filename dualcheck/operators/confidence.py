@@ -25,7 +25,7 @@ def review_share(df: DataFrame, share: float) -> DataFrame:
     Adds ``route``. Fields of each confidence are counted first: the counts say
     which values go to review as a whole, and how many fields of the value at
     the border. Only among those the order is needed: they are counted by
-    document, and a window over one document's few fields does the rest.
+    document, and a window over the border document's few fields does the rest.
     """
     at_value = Window.partitionBy("run_id").orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)
     per_value = df.groupBy("run_id", "confidence").agg(F.count("*").alias("_n"))
@@ -39,13 +39,15 @@ def review_share(df: DataFrame, share: float) -> DataFrame:
     ranked = running_total(per_doc, ["run_id", "doc_idx"], "run_id", "_here", "_ahead")
     last = ranked.filter((F.col("_below") + F.col("_ahead") < F.col("_quota")) & (F.col("_below") + F.col("_ahead") + F.col("_here") >= F.col("_quota")))
     last = last.select("run_id", F.col("doc_idx").alias("_last"), (F.col("_quota") - F.col("_below") - F.col("_ahead")).alias("_take"))
-    fields = Window.partitionBy("run_id", "doc_idx", F.col("confidence") == F.col("_border")).orderBy("ord")
-    out = marked.join(F.broadcast(last), "run_id", "left").withColumn("_place", F.row_number().over(fields))
-    review = ((F.col("confidence") < F.col("_border"))
-              | ((F.col("confidence") == F.col("_border")) & ((F.col("doc_idx") < F.col("_last"))
-                                                              | ((F.col("doc_idx") == F.col("_last")) & (F.col("_place") <= F.col("_take"))))))
+    # the border document of each run, of whose tied fields the first few go: at most a document's fields a run
+    edge = tied.join(F.broadcast(last), (tied["run_id"] == last["run_id"]) & (F.col("doc_idx") == F.col("_last"))).drop(last["run_id"])
+    edge = edge.withColumn("_place", F.row_number().over(Window.partitionBy("run_id").orderBy("ord"))).filter("_place <= _take")
+    edge = edge.select("run_id", "doc_idx", "ord", F.lit(True).alias("_edge"))
+    out = marked.join(F.broadcast(last), "run_id", "left").join(F.broadcast(edge), ["run_id", "doc_idx", "ord"], "left")
+    at_border = F.col("confidence") == F.col("_border")
+    review = (F.col("confidence") < F.col("_border")) | (at_border & ((F.col("doc_idx") < F.col("_last")) | F.col("_edge").isNotNull()))
     return out.withColumn("route", F.when(F.coalesce(review, F.lit(False)), F.lit("review")).otherwise(F.lit("keep"))) \
-        .drop("_border", "_n", "_below", "_quota", "_last", "_take", "_place")
+        .drop("_border", "_n", "_below", "_quota", "_last", "_take", "_edge")
 
 
 def running_total(df: DataFrame, order: list[str], group: str, value: str, out: str) -> DataFrame:

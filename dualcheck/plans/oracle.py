@@ -440,6 +440,19 @@ LEDGER = """,
     CAST(CASE WHEN doc_id % 53 = 8 THEN 2 ELSE 1 END AS BIGINT) AS calls FROM line"""
 
 
+CANON = r"""
+WITH d AS (SELECT doc_id, text || ['', ' Twelve months, Limited', ': the Società CORPORATION', ' (held by X) L. l. C', ' Größe ÉTÉ one, two/three seven'][doc_id % 5 + 1] AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, replace(lower(trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{M}\p{N}_\s&/@-]', ' ', 'g'), '\s+', ' ', 'g'))), 'ß', 'ss') AS t FROM d),
+w AS (SELECT doc_id, array_to_string(list_transform(string_split(t, ' '), lambda x: CASE x WHEN 'one' THEN '1' WHEN 'two' THEN '2' WHEN 'three' THEN '3' WHEN 'four' THEN '4' WHEN 'five' THEN '5'
+        WHEN 'six' THEN '6' WHEN 'seven' THEN '7' WHEN 'eight' THEN '8' WHEN 'nine' THEN '9' WHEN 'ten' THEN '10' WHEN 'eleven' THEN '11' WHEN 'twelve' THEN '12' ELSE x END), ' ') AS t FROM p),
+l AS (SELECT doc_id, CASE WHEN regexp_matches(t, '(^| )incorporated$') THEN left(t, length(t) - 12) || 'inc' WHEN regexp_matches(t, '(^| )corporation$') THEN left(t, length(t) - 11) || 'corp'
+        WHEN regexp_matches(t, '(^| )limited$') THEN left(t, length(t) - 7) || 'ltd' WHEN regexp_matches(t, '(^| )company$') THEN left(t, length(t) - 7) || 'co' ELSE t END AS t FROM w),
+s AS (SELECT doc_id, t, regexp_extract(t, '(?:^| )((?:[a-z] )+[a-z])$', 1) AS tail FROM l),
+r AS (SELECT doc_id, CASE WHEN tail = '' THEN t ELSE left(t, length(t) - length(tail)) || replace(tail, ' ', '') END AS t FROM s)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS canon_sha FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     T = with_truth
     fld = "SELECT doc_id, field, "
@@ -450,6 +463,7 @@ def oracle_sql() -> dict[str, str]:
         "canon_date": T("SELECT doc_id, con_d AS con_dt, unc_d AS unc_dt, gold_d AS gold_dt FROM tt WHERE ord = 3"),
         "canon_string": T(fld + "con_t AS con_n, unc_t AS unc_n, gold_t AS gold_n FROM tt WHERE ord IN (0, 1, 4, 5)"),
         "canon_set": T("SELECT doc_id, con_t AS con_disp, unc_t AS unc_disp, gold_t AS gold_disp FROM tt WHERE ord = 6"),
+        "canon_documents": CANON.replace("\\\\", "\\"),
         "absence": T(fld + "ord = 5 AND unc_t = '' AS absent FROM tt WHERE NOT req AND NOT noresp"),
         "disagreement": T(fld + "round(score, 6) AS score FROM tt"),
         "flags": T(fld + "flagged FROM tt"),

@@ -79,6 +79,14 @@ def q_canon_set(spark, sf_dir):
     return c.filter(F.col("field") == "suppliers").select("doc_id", "con_disp", "unc_disp", "gold_disp")
 
 
+def q_canon_documents(spark, sf_dir):
+    """N4 over whole natural texts, with number words, legal designators, spaced letters and accents planted at their ends."""
+    tails = ("", " Twelve months, Limited", ": the Società CORPORATION", " (held by X) L. l. C", " Größe ÉTÉ one, two/three seven")
+    d = read_table(spark, sf_dir, "documents").filter("text is not null")
+    d = d.select("doc_id", F.concat("text", F.element_at(F.array(*map(F.lit, tails)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))).alias("document"))
+    return G.canonical_text(d).select("doc_id", F.length("_text").alias("chars"), F.sha2("_text", 256).alias("canon_sha"))
+
+
 def q_absence(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
     optional = [f.name for f in inp.schema.fields if not f.required]
