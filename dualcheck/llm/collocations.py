@@ -31,7 +31,7 @@ TABLE = bytes(ord(".") if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b +
 #: The language of documents without one.
 NO_LANG = "und"
 #: Words after which a shard ends, at the end of a document.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of text whose words are in memory at a time.
 SLICE = 1 << 20
 #: N-grams that a task collects before it sorts them, and counters that it keeps before it writes them.
@@ -73,7 +73,8 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int) -> D
     """Texts as numbers of words; a task names its shards, so the result must be written before it is used.
 
     ``codes`` has the numbers of a shard's words, 0 where a piece or a document
-    ends, as 32-bit integers; number k + 1 is place k of langs, words and counts.
+    ends, as integers of ``width`` bytes, two if that many words are enough;
+    number k + 1 is place k of langs, words and counts.
     """
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"))
 
@@ -84,11 +85,12 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int) -> D
         def flush() -> pa.RecordBatch:
             found = np.frombuffer(codes, np.uint32)
             counts = np.bincount(found, minlength=len(known) + 1)[1:]
-            cols = [[shard], [found.astype("<u4").tobytes()], [[x for x, _ in known]], [[w for _, w in known]], [counts]]
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            width = 2 if len(known) < 1 << 16 else 4
+            cols = [[shard], [width], [found.astype(f"<u{width}").tobytes()], [[x for x, _ in known]], [[w for _, w in known]], [counts]]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int64())]
             cols = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            cols[3] = cols[3].cast(pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(cols, ["shard", "codes", "langs", "words", "counts"])
+            cols[4] = cols[4].cast(pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays(cols, ["shard", "width", "codes", "langs", "words", "counts"])
         for b in batches:
             for lang, text in zip(b.column(1).to_pylist(), raw_texts(b.column(0))):
                 if lang not in by_lang:
@@ -103,7 +105,7 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int) -> D
                     codes, known, by_lang = array("I"), [], {}
         if len(codes):
             yield flush()
-    return texts.mapInArrow(run, "shard long, codes binary, langs array<string>, words array<string>, counts array<long>")
+    return texts.mapInArrow(run, "shard long, width int, codes binary, langs array<string>, words array<string>, counts array<long>")
 
 
 def _filters(coded: DataFrame, keys: tuple[Keys, Keys], segment_bits: int) -> DataFrame:
@@ -126,8 +128,8 @@ def _filters(coded: DataFrame, keys: tuple[Keys, Keys], segment_bits: int) -> Da
                                                       pa.array([x.to_bytes(min(segment_bits, keys[i].widths[0])) for _, x in some], pa.binary())], ["n", "segment", "filter"])
             held[i] = []
         for b in batches:
-            for codes, own in zip(b.column(0), b.column(1)):
-                found = np.frombuffer(codes.as_py(), "<u4")
+            for width, codes, own in zip(b.column(0), b.column(1), b.column(2)):
+                found = np.frombuffer(codes.as_py(), f"<u{width.as_py()}")
                 place, gid = (own.values.field(k).to_numpy() for k in range(2))
                 table = np.zeros(int(found.max()) + 1, np.uint64)
                 table[place] = gid
@@ -213,7 +215,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, covered: int
     keys = Keys(2, bits), Keys(3, bits)
     known = (each.select("shard", "place", "lang", "word").join(frequent.select("lang", "word", "gid"), ["lang", "word"])
              .groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("own")))
-    coded = held.select("shard", "codes").join(known, "shard").select("codes", "own")
+    coded = held.select("shard", "width", "codes").join(known, "shard").select("width", "codes", "own")
     grams = written(_counted(_filters(coded, keys, segment_bits), keys, segment_bits, least), "frequent-phrases")
 
     word = lambda k: frequent.select(F.col("gid").alias(f"g{k}"), F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}"), *(["lang"] if k == 1 else []))
