@@ -4,7 +4,9 @@ A rule names a host and the start of a path; it fits the host and all its
 subdomains, and the longest rule wins. What rules decide is the labelled data:
 a bounded sample of it trains gradient-boosted trees, which judge the URLs that
 no rule fits. Features are length, depth, digit ratio, entropy, parameter
-counts and statistics of the host's suffix over the whole table.
+counts and statistics of the host's suffix over the whole table: its share of
+rows and its number of hosts. None of them counts labels, which a suffix would
+only hand on to its other URLs.
 
 All of it is DataFrame and SQL functions and Spark's own trees, in the JVM.
 """
@@ -24,7 +26,7 @@ SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy",
-            "parameters", "parameter_chars", "has_fragment", "escapes", "suffix_share", "suffix_hosts", "suffix_block")
+            "parameters", "parameter_chars", "has_fragment", "escapes", "suffix_share", "suffix_hosts")
 
 
 def host_of(url: Column) -> Column:
@@ -85,10 +87,9 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     rows = written(lexical(base), "urls")
     blocked = (F.col("ruled") == "block").cast("double")
     # hosts are counted by way of distinct pairs, so that a suffix with a third of all rows is merged before it is shuffled
-    hosts = rows.groupBy("suffix", "host").agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked"), F.count("ruled").alias("ruled"))
-    totals = hosts.agg(F.sum("n").alias("n")).first()["n"] or 1
-    stats = hosts.groupBy("suffix").agg((F.sum("n") / totals).alias("suffix_share"), F.log2(F.count("*") + 1.0).alias("suffix_hosts"),
-                                        ((F.coalesce(F.sum("blocked"), F.lit(0.0)) + 1) / (F.sum("ruled") + 2)).alias("suffix_block"))
+    hosts = rows.groupBy("suffix", "host").agg(F.count("*").alias("n"))
+    totals = rows.count() or 1  # from the files' footers
+    stats = hosts.groupBy("suffix").agg((F.sum("n") / totals).alias("suffix_share"), F.log2(F.count("*") + 1.0).alias("suffix_hosts"))
     # written: few suffixes are broadcast for their known size, and with many a hot one can be split
     whole = rows.join(written(stats, "suffixes"), "suffix")
     # distinct, so that a URL that very many rows repeat takes one place of the sample
