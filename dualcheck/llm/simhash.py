@@ -6,12 +6,13 @@ bits are linked; documents in one connected component are near-duplicates.
 
 The comparison is exact. Two fingerprints within the radius agree on at least
 two of ``radius + 2`` bit blocks, so they meet under one of the block pairs.
-What meets under a key is cut into tiles sorted by population count; numpy
-compares tiles by exclusive-or and bit counts and skips the stretches whose
-population counts differ by more than the radius. A key with more rows than a
-tile is dealt into tile pairs over many tasks. A tile pair returns a spanning
-forest of its links, never all pairs, and components are found by rounds of
-star contraction over tables in the shared folder.
+What meets under a key is cut into tiles by population count. Pairs of tiles
+whose population counts differ by more than the radius are skipped before
+anything is shuffled for them; numpy compares the others by exclusive-or and bit
+counts. A key with more rows than a tile is dealt into tile pairs over many
+tasks. A tile pair returns a spanning forest of its links, never all pairs, and
+components are found by rounds of star contraction over tables in the shared
+folder.
 """
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -89,8 +90,12 @@ def _forest(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> list[tuple
     return [(values[a], values[b]) for a, b in out]
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """(a, b) links that connect all distinct fingerprints (column ``fingerprint``) within the radius."""
+def tile_pairs(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """(t, key, first, second, right, fingerprint): the rows of every pair of tiles that is compared.
+
+    Tiles of a key number its population counts upward: neighbouring counts share a tile until it is full, and a count
+    with more rows than a tile is dealt over several by hash. A row goes to the tiles that hold counts within the radius of its own.
+    """
     count = radius + 2
     edges = [64 * i // count for i in range(count + 1)]
     masks = [sum(1 << bit for k in pair for bit in range(edges[k], edges[k + 1])) for pair in combinations(range(count), 2)]
@@ -98,16 +103,31 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     fp = F.col("fingerprint")
     keys = F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), fp.bitwiseAND(F.lit(m)).alias("key"))
                      for i, m in enumerate(signed)))
-    keyed = prints.select(fp, F.explode(keys).alias("k")).select("k.t", "k.key", "fingerprint")
+    keyed = prints.select(fp, F.bit_count(fp).alias("pop"), F.explode(keys).alias("k")).select("k.t", "k.key", "pop", "fingerprint")
+    # a key has at most 65 population counts, so these windows stay small however many rows share it
+    whole = Window.partitionBy("t", "key")
+    upward, near = whole.orderBy("pop"), whole.orderBy("pop").rangeBetween(-radius, radius)
+    band = Window.partitionBy("t", "key", "band")
+    sizes = (keyed.groupBy("t", "key", "pop").agg(F.count("*").alias("n"))
+             .withColumn("all", F.sum("n").over(whole)).filter(F.col("all") > 1)
+             .withColumn("band", F.floor((F.sum("n").over(upward) - F.col("n")) / tile))
+             .withColumn("parts", F.ceil(F.sum("n").over(band) / tile).cast("int"))
+             .withColumn("opens", F.when(F.row_number().over(band.orderBy("pop")) == 1, F.col("parts")).otherwise(0))
+             .withColumn("start", (F.sum("opens").over(upward) - F.col("parts")).cast("int"))
+             .withColumn("from", F.min("start").over(near)).withColumn("to", F.max(F.col("start") + F.col("parts") - 1).over(near)))
     # written, so that the join deals both sides afresh and can split a key that a third of all rows share
-    sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "key-sizes")
-    parts = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    # a tile of a large key meets every tile: as the first of a pair with itself and later ones, else as the second
-    tiles = (keyed.join(sizes, ["t", "key"]).withColumn("parts", parts).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("t", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
-                     (F.col("own") > F.col("other")).alias("right"), "fingerprint"))
+    sizes = written(sizes.select("t", "key", "pop", "start", "parts", "from", "to"), "key-sizes")
+    own = F.col("start") + F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    # a tile of a large key meets others: as the first of a pair with itself and later ones, else as the second
+    return (keyed.join(sizes, ["t", "key", "pop"]).withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence("from", "to")))
+            .select("t", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
+                    (F.col("own") > F.col("other")).alias("right"), "fingerprint"))
+
+
+def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """(a, b) links that connect all distinct fingerprints (column ``fingerprint``) within the radius."""
+    tiles = tile_pairs(prints, radius, tile)
     group = ["t", "key", "first", "second"]
     dealt = tiles.repartition(*(F.col(c) for c in group)).sortWithinPartitions(*group)
 

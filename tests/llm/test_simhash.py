@@ -58,6 +58,23 @@ def test_links_over_many_tiles(spark):
     assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_tiles_far_apart_by_population_count_never_meet(spark):
+    r = np.random.default_rng(8)
+    key = (1 << 26) - 1  # the first two blocks, so that all meet under one key
+    low = [sum(1 << int(b) for b in r.choice(np.arange(26, 60), 3, replace=False)) | key for _ in range(60)]
+    high = [sum(1 << int(b) for b in r.choice(np.arange(26, 60), 24, replace=False)) | key for _ in range(60)]
+    prints = sorted({*low, *high})
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    groups: dict[tuple, set] = {}
+    for t in simhash.tile_pairs(df, tile=8).collect():
+        groups.setdefault((t["t"], t["key"], t["first"], t["second"]), set()).add(t["fingerprint"])
+    shared = [g for (t, _, first, second), g in groups.items() if first != second]
+    assert shared and not any({p.bit_count() for p in g} >= {29, 50} for g in shared)
+    # nothing is lost: whatever lies within the radius meets in some pair of tiles
+    close = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3]
+    assert close and all(any(a in g and b in g for g in groups.values()) for a, b in close)
+
+
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(clashing, rows):
     kept = simhash.one_of_each(clashing)
     assert kept.columns == clashing.columns
