@@ -5,7 +5,8 @@ anywhere else goes. Windows of that length that are equal have the same least
 anchor (the anchor of smallest hash among the window's short grams) at the same
 place, so runs of windows with one anchor are gathered by its hash:
 
-1. Count anchors. A window whose anchor occurs once is not repeated.
+1. Count anchors. A window whose anchor occurs once is not repeated. Equal runs that follow each other in a text, as in a
+   stretch with a short period, are one row.
 2. A run of windows that equals all other runs of its anchor is repeated as a
    whole; equal runs are told by hashes of anchor and content.
 3. Where runs of an anchor differ, one string of each distinct content goes to
@@ -84,8 +85,21 @@ def _content(text: bytes, first: int, n: int, length: int) -> bytes:
     return text[first:first + n + length - 1]
 
 
+def _merged(anchor: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A text's runs with equal ones that follow each other as one, and how many each stands for.
+
+    A stretch with a short period gives a run for each of its periods; merged, it is one row however long it is.
+    """
+    same = (np.diff(anchor) == 0) & (np.diff(n) == 0) & (np.diff(at) == 0) & (np.diff(content) == 0) & (first[1:] == first[:-1] + n[:-1])
+    heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    return (*(x[heads] for x in (anchor, first, n, at, content)), np.diff(np.concatenate([heads, [len(first)]])))
+
+
 def runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, key, anchor, first, n, at, content) of all runs of windows; content is a hash."""
+    """(id, key, anchor, first, n, at, content, turns) of all runs of windows; content is a hash.
+
+    A row with ``turns`` above one stands for that many equal runs of n windows, one right after another.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in names[1:]]
@@ -93,15 +107,16 @@ def runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             for i, text in enumerate(raw_texts(b.column(2))):
                 for anchor, first, n, at in anchored(text, length, gram):
                     content = [xxhash.xxh3_64_intdigest(text[s:s + k + length - 1]) for s, k in zip(first.tolist(), n.tolist())]
-                    for col, v in zip(cols, (np.full(len(first), i), anchor, first, n, at, np.array(content, np.uint64).view(np.int64))):
+                    found = _merged(anchor, first, n, at, np.array(content, np.uint64).view(np.int64))
+                    for col, v in zip(cols, (np.full(len(found[0]), i), *found)):
                         col.append(v)
-                    size += len(first)
+                    size += len(found[0])
                 if size >= 1 << 16 or i + 1 == b.num_rows and size:
                     row, *rest = (np.concatenate(c) for c in cols)
                     rows = pa.array(row)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x, pa.int64()) for x in rest)], names)
                     cols, size = [[] for _ in names[1:]], 0
-    names = ["id", "key", "anchor", "first", "n", "at", "content"]
+    names = ["id", "key", "anchor", "first", "n", "at", "content", "turns"]
     return keyed.mapInArrow(run, with_id(keyed, "id", *((c, LongType()) for c in names[1:])))
 
 
@@ -224,14 +239,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     rows = texts_and_ids(docs, id_col, text_col)
     keyed = rows.select("id", _key().alias("key"), "text").filter(F.octet_length("text") >= length)
     found = runs(keyed, length, gram)
-    anchors = (found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("content") != F.max("content")).alias("mixed"))
+    anchors = (found.groupBy("anchor").agg(F.sum("turns").alias("times"), (F.min("content") != F.max("content")).alias("mixed"))
                .filter("times > 1").select("anchor", "mixed"))
     # written, so that the join deals both sides afresh and can split an anchor that a third of all runs share
     known = written(found.join(written(anchors, "dedup-anchors"), "anchor"), "dedup-runs")
     mixed = known.filter("mixed")
     # one place of each distinct content stands for all
     place = F.struct("id", "key", "first", "n", F.col("at").alias("behind"))
-    contents = (mixed.groupBy("anchor", "content").agg(F.count("*").alias("count"), F.min(place).alias("at"))
+    contents = (mixed.groupBy("anchor", "content").agg(F.sum("turns").alias("count"), F.min(place).alias("at"))
                 .select("anchor", "content", "count", "at.*"))
     contents = contents.withColumnRenamed("behind", "at")
     wanted = contents.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "content", "count", "first", "n", "at")).alias("wanted"))
@@ -243,8 +258,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     strings = written(_strings(held, length), "dedup-strings")
     grouped = strings.select(F.col("anchor").alias("group"), "anchor", "content", "count", F.lit(0).cast("long").alias("offset"), "at", "string")
     again = _repeated(grouped, length, hot_strings)
-    windows = mixed.select("id", "key", "anchor", "content", F.col("first").alias("base")).join(again, ["anchor", "content"])
-    intervals = (known.filter("not mixed").select("id", "key", "first", "n")
+    windows = mixed.filter("turns = 1").select("id", "key", "anchor", "content", F.col("first").alias("base")).join(again, ["anchor", "content"])
+    # runs that stand for several repeat each other as a whole
+    intervals = (known.filter("not mixed or turns > 1").select("id", "key", "first", (F.col("n") * F.col("turns")).alias("n"))
                  .unionByName(windows.select("id", "key", (F.col("base") + F.col("first")).alias("first"), "n")))
     spans = intervals.groupBy("id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     return _cut(held.select("id", "key", "packed").join(spans, _same(held, spans)).select(held["id"], held["key"], "packed", "spans"), length)

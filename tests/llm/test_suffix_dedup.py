@@ -69,6 +69,25 @@ def test_no_group_of_a_common_passage_is_gathered_whole(spark, monkeypatch):
     assert max(sizes, default=0) <= 100
 
 
+def test_periodic_stretches_are_few_rows(spark):
+    r = random.Random(2)
+    letters = lambda k: "".join(r.choices("abcdefghij", k=k))
+    period = letters(37)
+    texts = ["x" * 20_000, "ab" * 4_000 + letters(90) + "ab" * 120, letters(300) + period * 150 + letters(300), period[:11] + period * 7 + "x" * 500, "x" * 200, letters(250)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    keyed = docs.selectExpr("doc_id as id", "doc_id as key", "text")
+    assert suffix_dedup.runs(keyed, 200, 64).filter("id = 0").count() == 1
+    assert suffix_dedup.runs(keyed, 200, 64).count() < 300
+    got = sorted(tuple(x) for x in suffix_dedup.removed(docs).collect())
+    assert got == [(i, *x) for i, x in enumerate(slow(texts, 200))]
+
+
+def test_one_character_two_hundred_thousand_times(spark):
+    docs = spark.createDataFrame([(1, "x" * 200_000, "en", "s", 0), (2, "y" * 200, "en", "s", 0)], SCHEMA)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in suffix_dedup.removed(docs).collect()}
+    assert got == {1: (200_000, 200_000, 1), 2: (200, 0, 0)}
+
+
 def test_long_texts_in_chunks(monkeypatch):
     text = words(3, 400).encode()
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchored(text))]
