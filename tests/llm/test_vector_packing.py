@@ -1,4 +1,5 @@
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -56,6 +57,46 @@ def test_limits_and_whole_cover(items, segments, loss, pool):
     assert {i: sorted(x) for i, x in seen.items()} == {i: list(range(n)) for i, (n, _) in enumerate(items)}
 
 
+def slow_pack(sizes: list[tuple[int, int]], limits: Limits) -> list[list[int]]:
+    """Which pieces (tokens, loss) go together: of those that fit, always the first of the greatest dot product of
+    its size with what is left, both as shares of the limits; exact in fractions. Nothing is cut."""
+    whole = (limits.tokens, limits.segments, limits.loss)
+    open_, out = dict(enumerate((n, 1, loss) for n, loss in sizes)), []
+    while open_:
+        rest, chosen = list(whole), []
+        while True:
+            fits = {i: sum(Fraction(s * r, w * w) for s, r, w in zip(size, rest, whole)) for i, size in open_.items() if all(s <= r for s, r in zip(size, rest))}
+            if not fits:
+                break
+            best = max(fits, key=lambda i: (fits[i], -i))
+            rest = [r - s for r, s in zip(rest, open_.pop(best))]
+            chosen.append(best)
+        out.append(chosen)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 31), st.integers(0, 31)), max_size=30), st.sampled_from([1, 2, 4, 8]), st.sampled_from([1, 4, 16, 32]))
+def test_the_greatest_dot_product_is_chosen(items, segments, loss):
+    """Limits are powers of two, so that floating point is exact; sequences are compared before they are cut to length."""
+    limits = Limits(32, segments, loss)
+    sizes = [(n, min(n, bears, loss)) for n, bears in items]
+    groups = []
+
+    class Watched(Packer):
+        def finished(self, pieces):
+            groups.append([p.id for p in pieces])
+            return []
+
+    class Uncut(Piece):
+        def cut(self, tokens, loss):
+            return (self, None)
+    packer = Watched(limits, 1 << 10)
+    packer.pool = [Uncut(i, np.arange(n), 0, n - bears, n) for i, (n, bears) in enumerate(sizes)]
+    packer.flush()
+    assert groups == slow_pack(sizes, limits)
+
+
 def test_operator(clashing, rows, no_docs):
     whole = WHOLE
     want = sorted((tuple(whole.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows))
