@@ -164,11 +164,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         q = _matrix(t.column("q").combine_chunks())
         ids = np.stack([t.column("query").to_numpy(), t.column("id").to_numpy()]).astype("<i8")
         return pa.table({"query_block": t.column("query_block")[:1].cast(pa.int32()), "ids": [ids.tobytes()], "low": [q.tobytes()]})
-    row = F.monotonically_increasing_id()
+    # by hash: numbers start anew in each partition, so short partitions would fill the first blocks alone
+    row = F.xxhash64(F.monotonically_increasing_id())
     built = (rows.withColumn("block", F.pmod(row, F.lit(blocks)).cast("int")).groupBy("block")
              .applyInArrow(index, "block int, ids binary, low binary, slices binary, bits int"))
     built = built.select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(-1).alias("query_block"), "ids", "low", "slices", "bits")
-    dealt = (asked.withColumn("query_block", F.pmod("query", F.lit(query_blocks)).cast("int")).groupBy("query_block")
+    dealt = (asked.withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).groupBy("query_block")
              .applyInArrow(gathered, "query_block int, ids binary, low binary"))
     dealt = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("query_block", F.lit(shares)).cast("int").alias("share"),
                          "query_block", "ids", "low", F.lit(None).cast("binary").alias("slices"), F.lit(0).alias("bits"))
