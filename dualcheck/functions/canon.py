@@ -38,8 +38,11 @@ MONTHS_ABBR = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep",
 # Trailing time of day stripped from date answers; "30th day of" legalese.
 TIME_TAIL = r"(?iU)[,\s]*\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)?\s*$"
 ORDINAL_DAY = r"(?iU)\b(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+"
-# Punctuation kept inside string values.
-STRING_PUNCT = r"(?U)[^\w\s&/@-]"
+# Runs of whitespace and of punctuation that string values don't keep.
+STRING_BREAKS = r"(?U)[^\w&/@-]+"
+# All characters that \s is under (?U).
+WHITESPACE = ("\t\n\u000b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+              + "\u2028\u2029\u202f\u205f\u3000")
 SPACED_TAIL = r"(?U)\b((?:[a-z] )+[a-z])$"
 # ---------------------------------------------------------------------------
 
@@ -88,7 +91,7 @@ def let(value: Column, body) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: remove surrounding Unicode whitespace."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def casefold(c: Column) -> Column:
@@ -132,8 +135,9 @@ def number_text(num: Column) -> Column:
 
 
 def _date_prepared(v: Column) -> Column:
-    d = strip_ws(F.regexp_replace(strip_ws(v), TIME_TAIL, ""))
-    d = F.regexp_replace(d, ORDINAL_DAY, "$1 ")
+    s = strip_ws(v)
+    d = strip_ws(F.when(F.contains(s, F.lit(":")), F.regexp_replace(s, TIME_TAIL, "")).otherwise(s))
+    d = F.when(F.contains(F.lower(d), F.lit("day")), F.regexp_replace(d, ORDINAL_DAY, "$1 ")).otherwise(d)
     d = F.replace(d, F.lit(","), F.lit(""))
     return F.regexp_replace(d, r"(?U)\s+", " ")
 
@@ -153,8 +157,7 @@ _SUFFIX_LAST = r"(?:^| )(" + "|".join(LEGAL_SUFFIX) + r")$"
 
 def string_prepared(s: Column) -> Column:
     """Punctuation to spaces, whitespace collapsed, stripped, case-folded."""
-    t = F.regexp_replace(s, STRING_PUNCT, " ")
-    return casefold(strip_ws(F.regexp_replace(t, r"(?U)\s+", " ")))
+    return casefold(strip_ws(F.regexp_replace(s, STRING_BREAKS, " ")))
 
 
 def number_words(t: Column) -> Column:
@@ -176,9 +179,14 @@ def legal_suffix(t: Column) -> Column:
         F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(last)), short))
 
 
+def tail_of(t: Column) -> Column:
+    """The spaced single letters at the end of a prepared text, else "": searched
+    for only where a blank stands before its last character."""
+    return F.when(F.substring(t, -2, 1) == " ", F.regexp_extract(t, SPACED_TAIL, 1)).otherwise(F.lit(""))
+
+
 def spaced_tail(t: Column, tail: Column) -> Column:
-    """Trailing spaced single letters joined ("l l c" -> "llc"); ``tail`` is
-    ``regexp_extract(t, SPACED_TAIL, 1)``."""
+    """Trailing spaced single letters joined ("l l c" -> "llc"); ``tail`` is ``tail_of(t)``."""
     return F.when(tail == "", t).otherwise(
         F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)),
                  F.replace(tail, F.lit(" "), F.lit(""))))
@@ -191,7 +199,7 @@ def string_text(v: Column) -> Column:
     ``operators.canonicalise``, which computes each step once, in generated code.
     """
     return let(legal_suffix_let(number_words_let(string_prepared(strip_ws(v)))),
-               lambda t: spaced_tail(t, F.regexp_extract(t, SPACED_TAIL, 1)))
+               lambda t: spaced_tail(t, tail_of(t)))
 
 
 def number_words_let(t: Column) -> Column:

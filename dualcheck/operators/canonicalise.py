@@ -42,7 +42,7 @@ def staged_canon(df: DataFrame, schema: Schema, src: str, out: str) -> DataFrame
                    N.date_parse(F.col(p + "dp")).alias(p + "dt"),
                    N.number_words(F.col(p + "sp")).alias(p + "sw"))
     df = df.withColumn(p + "sx", N.legal_suffix(F.col(p + "sw")))
-    df = df.withColumn(p + "tl", F.regexp_extract(F.col(p + "sx"), N.SPACED_TAIL, 1))
+    df = df.withColumn(p + "tl", N.tail_of(F.col(p + "sx")))
     num, dt = F.col(p + "num"), F.col(p + "dt")
     text = by_field(schema, lambda f: (
         F.when(num.isNotNull(), N.number_text(num)).otherwise(N.casefold(s)) if f.numeric else

@@ -17,7 +17,7 @@ def canonical_text(documents: DataFrame) -> DataFrame:
     x = documents.withColumn("_sp", N.string_prepared(N.strip_ws(F.col("document"))))
     x = x.withColumn("_sw", N.number_words(F.col("_sp")))
     x = x.withColumn("_sx", N.legal_suffix(F.col("_sw")))
-    return x.withColumn("_text", N.spaced_tail(F.col("_sx"), F.regexp_extract(F.col("_sx"), N.SPACED_TAIL, 1))).drop("_sp", "_sw", "_sx")
+    return x.withColumn("_text", N.spaced_tail(F.col("_sx"), N.tail_of(F.col("_sx")))).drop("_sp", "_sw", "_sx")
 
 
 def document_features(documents: DataFrame) -> DataFrame:

@@ -67,3 +67,19 @@ def test_sets(spark):
     a = one(spark, lambda c: N.canon_set(MULTI, c), "Acme Corp; Beta LLC")
     b = one(spark, lambda c: N.canon_set(MULTI, c), "beta llc ; ACME CORP.")
     assert a == b == ["acme corp", "beta llc"]
+
+
+def test_stripping_takes_all_whitespace_without_a_pattern(spark):
+    from pyspark.sql import functions as F
+    c = F.col("c")
+    assert "regexp" not in str(N.strip_ws(c)).lower()
+    chars = spark.range(1, 0x3100).filter("id < 55296").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    text = F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c")
+    assert chars.filter(N.strip_ws(text) != F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert chars.filter(N.strip_ws(text) != text).count() == len(N.WHITESPACE) == 25
+
+
+def test_tails_and_breaks(spark):
+    assert one(spark, N.string_text, "Acme, ; Holdings (L. L. C)") == "acme holdings llc"
+    assert one(spark, N.string_text, "x") == "x" and one(spark, N.string_text, " l l") == "ll" and one(spark, N.string_text, "ab l") == "ab l"
+    assert one(spark, lambda c: N.canon_text(DATE, c), "30th DAY of April, 2009 14:05") == "2009-04-30"
