@@ -2,6 +2,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import one
 from dualcheck.functions import canon as N
@@ -83,3 +84,15 @@ def test_tails_and_breaks(spark):
     assert one(spark, N.string_text, "Acme, ; Holdings (L. L. C)") == "acme holdings llc"
     assert one(spark, N.string_text, "x") == "x" and one(spark, N.string_text, " l l") == "ll" and one(spark, N.string_text, "ab l") == "ab l"
     assert one(spark, lambda c: N.canon_text(DATE, c), "30th DAY of April, 2009 14:05") == "2009-04-30"
+
+
+def test_list_read_as_a_whole_has_the_sets_of_its_parts(spark):
+    odd = ["", None, " ; ;; ", "Acme Corp; Beta LLC", "b a ; A b", "Nine Lives;two;x one", "Acme Limited; Limited Acme", "Acme L. L. C.;x y",
+           "Été Große ; ; R&D/x @-y", "ΟΔΟΣ;ΟΔΟΣ x", "a\nb;\tc ;c", "Supplier#000000012; Supplier#000000003;supplier 000000012", "company;co", "-;.;_ a"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v string")
+    x = df.withColumn("whole", N.list_prepared(F.col("v")))
+    rows = x.select("v", N.canon_set(MULTI, F.col("v")).alias("each"), N.canon_set(MULTI, F.col("v"), F.col("whole")).alias("fast")).collect()
+    assert [(r["v"], r["fast"]) for r in rows] == [(r["v"], r["each"]) for r in rows]
+    # plain parts are read without a function of each part
+    plain = x.filter(~F.col("whole").rlike(N._PART_CHANGES))
+    assert {r["v"] for r in plain.collect()} >= {"", odd[11], odd[8]}
