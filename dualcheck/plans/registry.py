@@ -340,7 +340,8 @@ def q_corpus_catalog(spark, sf_dir):
     path = scratch_path(spark, "corpora")
     docs = read_table(spark, sf_dir, "documents").filter("lang is not null")
     rows = docs.select("lang", "doc_id", F.col("text").alias("document"), F.create_map(F.lit("source"), "source").alias("gold"))
-    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "document", "gold").write.partitionBy("lang").json(path)
+    # by ranges, as a language may be most of the table: its files' names follow the ranges
+    rows.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "document", "gold").write.partitionBy("lang").json(path)
     langs = [r["lang"] for r in docs.select("lang").distinct().collect()]  # a row per corpus
     found = C.corpus_catalog(spark, {x: f"{path}/lang={x}" for x in (*langs, "absent")})
     return found.select("corpus", "present", "records", "doc_idx", F.sha2("document", 256).alias("document_sha"))

@@ -224,3 +224,19 @@ def test_corpora_are_written_and_read_again(spark, tmp_path):
     R.write_corpus(docs, str(tmp_path / "out"))
     got = {r["document"]: r["gold"] for r in C.read_jsonl_corpus(spark, str(tmp_path / "out")).collect()}
     assert got == {r["document"]: r["gold"] for r in docs.collect()}
+
+
+def test_one_language_of_a_catalog_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from dualcheck.plans import registry
+
+    docs = spark.range(400).selectExpr("399 - id AS doc_id", "concat('text ', 399 - id) AS text", "if(id % 100 = 7, 'de', 'en') AS lang", "'web' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(registry, "scratch_path", lambda _, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry.q_corpus_catalog(spark, str(tmp_path)).filter("corpus = 'en'").orderBy("doc_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "corpora" / "lang=en").glob("*.json"))) > 1
+    want = spark.range(400).selectExpr("id", "sha2(concat('text ', id), 256) AS h").filter("id < 6").orderBy("id").collect()
+    assert [(r["doc_idx"], r["document_sha"], r["records"]) for r in found] == [(w["id"], w["h"], 396) for w in want]
