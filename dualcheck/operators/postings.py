@@ -33,7 +33,8 @@ def number_postings(documents: DataFrame) -> DataFrame:
 
 def date_postings(documents: DataFrame) -> DataFrame:
     """(doc_id, date): canonical forms of date-shaped spans, once."""
-    return documents.select("doc_id", F.explode(G.doc_dates(F.col("document"))).alias("date")).distinct()
+    spans = documents.select("doc_id", G.date_spans(F.col("document")).alias("_spans"))
+    return spans.select("doc_id", F.explode(G.dates_of(F.col("_spans"))).alias("date")).distinct()
 
 
 def _elements(rows: DataFrame, schema: Schema, value: str) -> DataFrame:

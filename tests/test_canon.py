@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from conftest import one
 from dualcheck.functions import canon as N
+from dualcheck.functions import ground as G
+from dualcheck.functions import parse as P
 from dualcheck.spec import FieldSpec
 
 NUM = FieldSpec("total", "number")
@@ -96,3 +98,35 @@ def test_list_read_as_a_whole_has_the_sets_of_its_parts(spark):
     # plain parts are read without a function of each part
     plain = x.filter(~F.col("whole").rlike(N._PART_CHANGES))
     assert {r["v"] for r in plain.collect()} >= {"", odd[11], odd[8]}
+
+
+ODD = ["Größe: 5 ﬁ, naïve – x", "plain (ASCII), text\tof 9 May\n2027", "", "  é ", "\x1c a_b\x0b&/@-c;  d ", "Co. Limited", "limited", "unlimited",
+       "ÉTÉ company", None, "a b İ", "one‍two incorporated"]
+
+
+def test_texts_of_ascii_alone_are_read_alike(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ODD)], "i int, v string")
+    for pattern in (N.STRING_BREAKS, N.LIST_BREAKS, N.BLANKS, P._LINE, G.DATE_SPANS):
+        both = df.select("i", F.regexp_replace("v", pattern, "<>").alias("a"),
+                         N.in_script(F.col("v"), pattern, lambda c, p: F.regexp_replace(c, p, "<>")).alias("b"))
+        assert [r for r in both.collect() if r["a"] != r["b"]] == []
+    both = df.select(N.string_prepared(F.col("v")).alias("a"), N.column_prepared(F.col("v")).alias("b"),
+                     N.casefold(N.strip_ws(F.regexp_replace("v", N.STRING_BREAKS, " "))).alias("c"))
+    assert [r for r in both.collect() if not r["a"] == r["b"] == r["c"]] == []
+
+
+def test_legal_designator_of_a_referenced_column(spark):
+    df = spark.createDataFrame([("limited",), ("a limited",), ("unlimited",), ("x company y",), ("é corporation",), ("",)], "t string")
+    assert [r[0] for r in df.select(N.legal_suffix(F.col("t"))).collect()] == ["ltd", "a ltd", "unlimited", "x company y", "é corp", ""]
+
+
+def test_dates_of_spans_equal_each_span_alone(spark):
+    docs = ["On the 30th  day of April, 2009 and 9 May 2027; 31/12/2020, 12/31/2020 12-01-2021 2020-02-30 2020-2-3.", "no date", "", None,
+            "5 Foobar, 2020 and Décembre 5, 2020 or December\n5 2020; 1 mai 2020", "extraordinary 12 2020 3 abcdefghijkl 2020"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(docs)], "i int, v string").withColumn("s", G.date_spans(F.col("v")))
+    plain = (r"(?iU)\d{1,2}(?:st|nd|rd|th)?\s+day\s+of\s+\w+,?\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}"
+             r"|\d{1,2}\s+\w{3,9},?\s+\d{4}|\w{3,9}\s+\d{1,2},?\s+\d{4}")
+    each = F.array_distinct(F.transform("s", lambda c: N.canon_text(FieldSpec("d", "date"), c)))
+    rows = df.select("s", F.regexp_extract_all("v", F.lit(plain), 0).alias("plain"), G.dates_of(F.col("s")).alias("a"), each.alias("b")).collect()
+    assert all(r["s"] == r["plain"] and r["a"] == r["b"] for r in rows)
+    assert rows[0]["a"][:3] == ["2009-04-30", "2027-05-09", "2020-12-31"]
