@@ -128,6 +128,13 @@ def test_equal_values_share_one_form(spark):
         assert [x.replace(f"{c}_", "con_") for x in pick(both, c)] == pick(alone, "con")
 
 
+def test_values_take_their_steps_together(spark):
+    """The forms of more values cost no projections of their own, as each copies the row, but for values equal to the first."""
+    df = spark.createDataFrame([("r", 1, 0, "id", "a", "b", "c")], "run_id string, doc_id long, ord int, field string, con string, unc string, gold string")
+    steps = lambda *c: CN.canonicalise(df, SCHEMA, c)._jdf.queryExecution().optimizedPlan().toString().count("Project [")
+    assert steps("con", "unc", "gold") <= steps("con") + 3
+
+
 def test_runs_share_one_pass_and_documents_are_shuffled_once(spark):
     """A document without a response is in every run; the shuffle carries it once, and nothing made of it."""
     inp = _inputs(spark, con={**GOLD, "remark": "Freedonia"}, unc={**GOLD, "remark": "Freedonia"}, arb={}, gold=GOLD)

@@ -38,6 +38,15 @@ def test_one_answer_is_one_object(spark):
     assert _json(spark, 'Here: {"note": "x"} as asked')["note"] == "x"
 
 
+def test_an_answer_is_read_for_its_keys_once(spark):
+    """One reading of the answer says that it is one object and gives its keys, one its values; what it may hold inside
+    other text is read where it is none."""
+    df = spark.createDataFrame([("r", 1, '{"note": "x"}', "")], "run_id string, doc_id long, constrained_raw string, unconstrained_raw string")
+    plan = X._parsed(df, SCHEMA).select("_t", "_k", "_r")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3
+    assert _json(spark, 'Here: {"note": "x", "note": null, "total": 1} as asked') == {"invoice_id": "", "total": "1", "currency": "", "items": "", "note": "None"}
+
+
 def test_long_numbers_are_written_out(spark):
     assert _json(spark, '{"total": 12345678.5, "items": 123456789, "note": 0.25}') == {
         "invoice_id": "", "total": "12345678.5", "currency": "", "items": "123456789", "note": "0.25"}

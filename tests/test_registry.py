@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from dualcheck.session import ensure_checkpoint_dir
+from dualcheck.plans.registry import _inputs
+from dualcheck.session import METHOD_LIMIT_KEY, ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +23,17 @@ def test_oracle_coverage():
     assert not missing
 
 
+def test_audit_methods_are_small_enough_to_be_compiled(spark):
+    """HotSpot interprets methods of more than 8,000 bytes; other queries of the session keep its own setting."""
+    own = spark.conf.get(METHOD_LIMIT_KEY)
+    spark.conf.unset(METHOD_LIMIT_KEY)
+    _inputs(spark, SF)
+    assert spark.conf.get(METHOD_LIMIT_KEY) == "8000"
+    E.queries()["corpus_shape"](spark, SF)
+    assert spark.conf.get(METHOD_LIMIT_KEY) == "65535"
+    spark.conf.set(METHOD_LIMIT_KEY, own)
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Settings:
         def get(self, key, default=None):
