@@ -63,3 +63,21 @@ def test_line_items_are_shuffled_once(spark):
     plan = _exchanges(got)
     assert plan.count("Exchange hashpartitioning") == 1
     assert {r["l_orderkey"]: r["names"] for r in got.collect()} == {o: [f"S{o % 3}", "S7"] for o in range(20)}
+
+
+def test_the_accuracies_of_a_bootstrap_are_worked_out_once(spark):
+    """Means and replicates both read them; and draws of a document are shared, whichever rows stand beside it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+    rows = [(r, i, (i * k % 7) / 7) for i in range(200) for k, r in ((1, "p"), (3, "q"))]
+    df = spark.createDataFrame(rows, "run_id string, doc_id long, v double").withColumn("final_acc", F.udf(counted, "double")("v"))
+    got = {r["run_id"]: r for r in ST.bootstrap_ci(df, n_boot=300, seed=4).collect()}
+    assert seen.value == len(rows)
+    w = ST.weights(np.arange(200), np.arange(300), 4)
+    for k, r in ((1, "p"), (3, "q")):
+        v = np.array([(i * k % 7) / 7 for i in range(200)])
+        m = np.sort((v @ w) / w.sum(0))
+        assert abs(got[r]["lo95"] - m[7]) < 1e-6 and abs(got[r]["hi95"] - m[292]) < 1e-6
