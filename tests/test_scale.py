@@ -81,3 +81,22 @@ def test_the_accuracies_of_a_bootstrap_are_worked_out_once(spark):
         v = np.array([(i * k % 7) / 7 for i in range(200)])
         m = np.sort((v @ w) / w.sum(0))
         assert abs(got[r]["lo95"] - m[7]) < 1e-6 and abs(got[r]["hi95"] - m[292]) < 1e-6
+
+
+def test_harmonic_numbers(spark):
+    ns = [0, 1, 2, 19, 20, 21, 22, 1000, 10 ** 6]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", ST.harmonic(F.col("n")).alias("h")).collect()
+    for r in got:
+        assert abs(r["h"] - math.fsum(1 / i for i in range(1, r["n"] + 1))) < 1e-12
+
+
+def test_aurc_writes_wrong_places_only(spark, monkeypatch):
+    written = []
+    own = ST.materialize
+    monkeypatch.setattr(ST, "materialize", lambda df, name: written.append((name, own(df, name))) or written[-1][1])
+    rows = [("s", float(i % 3), i % 10 == 0, i, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "signal string, score double, wrong boolean, doc_idx long, ord int")
+    got = ST.aurc(df, partitions=4).first()
+    errors = np.cumsum([r[2] for r in sorted(rows, key=lambda r: (-r[1], r[3]))])
+    assert abs(got["aurc"] - float(np.mean(errors / np.arange(1, 201)))) < 1e-6 and got["n"] == 200
+    assert [n for n, _ in written] == ["wrong-places"] and written[0][1].filter("place > 0").count() == 20
