@@ -1,7 +1,7 @@
 """Source grounding job (G1-G9): document features, support, repair, rate."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon as N
@@ -20,6 +20,12 @@ def canonical_text(documents: DataFrame) -> DataFrame:
     return x.withColumn("_text", N.spaced_tail(F.col("_sx"), N.tail_of(F.col("_sx")))).drop("_sp", "_sw", "_sx")
 
 
+def distinct_tokens(text: Column) -> Column:
+    """G1 of a canonical text referenced by name: its tokens and their trailing-s forms, each once, from two splits of it."""
+    bare = F.split(F.regexp_replace(text, "s+(?= |$)", ""), " ")
+    return F.array_distinct(F.array_remove(F.concat(F.split(text, " "), bare), ""))
+
+
 def document_features(documents: DataFrame) -> DataFrame:
     """G1-G3, computed once per document, map-side (no shuffle).
 
@@ -28,10 +34,8 @@ def document_features(documents: DataFrame) -> DataFrame:
     of it, not from a per-token function.
     """
     d, x = F.col("document"), canonical_text(documents)
-    toks = F.split(F.col("_text"), " ")
-    bare = F.split(F.regexp_replace(F.col("_text"), "s+(?= |$)", ""), " ")
     x = x.withColumn("_spans", G.date_spans(d))
-    x = x.select("*", F.array_distinct(F.array_remove(F.concat(toks, bare), "")).alias("tokens"),
+    x = x.select("*", distinct_tokens(F.col("_text")).alias("tokens"),
                  G.doc_numbers(d).alias("numbers"), G.dates_of(F.col("_spans")).alias("dates"),
                  G.doc_folded(d).alias("folded"))
     return x.drop("_text", "_spans")

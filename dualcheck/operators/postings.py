@@ -8,22 +8,28 @@ tokens of one long document, or one token of all documents, spread over tasks.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon as N
 from ..functions import ground as G
-from ..functions.fields import by_field
-from ..spec import FieldSpec, Schema
-from .ground import canonical_text
+from ..functions.fields import by_field, fenced_filter
+from ..session import materialize
+from ..spec import Schema
+from . import canonicalise as CN
+from .ground import canonical_text, distinct_tokens
 
 KEY = ["run_id", "doc_id", "ord"]
 
 
 def token_postings(documents: DataFrame) -> DataFrame:
     """G1: (doc_id, token): the canonical tokens of every document and their forms without trailing s, each once."""
-    each = canonical_text(documents).select("doc_id", F.explode(F.split("_text", " ")).alias("t"))
-    return each.select("doc_id", F.explode(F.array("t", F.regexp_replace("t", "s+$", ""))).alias("token")).filter("token <> ''").distinct()
+    return _tokens(documents).distinct()
+
+
+def _tokens(documents: DataFrame) -> DataFrame:
+    """``token_postings``, each once for every row of ``documents``: all that a semi join needs, without a shuffle."""
+    return canonical_text(documents).select("doc_id", F.explode(distinct_tokens(F.col("_text"))).alias("token"))
 
 
 def number_postings(documents: DataFrame) -> DataFrame:
@@ -43,13 +49,8 @@ def _elements(rows: DataFrame, schema: Schema, value: str) -> DataFrame:
     kind = by_field(schema, lambda s: F.lit("number" if s.numeric else "date" if s.type == "date" else "text"))
     parts = by_field(schema, lambda s: F.split(v, ";") if s.multi else F.array(v))
     each = rows.select(*KEY, kind.alias("kind"), F.posexplode(parts).alias("j", "part"))
-    form = by_field(schema, lambda s: _form(s, F.col("part")))
-    return each.select(*KEY, "kind", "j", "part", form.alias("c")).select(*KEY, "kind", "j", "part", "c.text", "c.num").filter("text <> ''")
-
-
-def _form(spec: FieldSpec, part: Column) -> Column:
-    c = N.canon_struct(spec, part)
-    return F.struct(c["text"].alias("text"), c["num"].alias("num"))
+    each = CN.staged_canon(each, schema, "part", "c").select(*KEY, "kind", "j", "part", "c.text", "c.num")
+    return fenced_filter(each, F.col("text") != "")
 
 
 def posting_support(rows: DataFrame, documents: DataFrame, schema: Schema, value: str = "final") -> DataFrame:
@@ -59,18 +60,19 @@ def posting_support(rows: DataFrame, documents: DataFrame, schema: Schema, value
     are or without trailing s; a number or a date occurs or not, a date also
     verbatim; of several elements the least. A value that claims nothing has 1.
     """
-    e = _elements(rows, schema, value)
+    e = materialize(_elements(rows, schema, value), "value-elements")  # read six times below
+    # postings are never broadcast: an estimate from the size of the documents' files says little of what they hold
     words = e.filter("kind = 'text'").select(*KEY, "j", F.posexplode(F.split("text", " ")).alias("i", "t")).filter("t <> ''")
     forms = words.select(*KEY, "j", "i", F.explode(F.array_distinct(F.array("t", F.regexp_replace("t", "s+$", "")))).alias("token"))
-    known = forms.join(token_postings(documents), ["doc_id", "token"], "left_semi").select(*KEY, "j", "i").distinct()
+    known = forms.join(_tokens(documents).hint("merge"), ["doc_id", "token"], "left_semi").select(*KEY, "j", "i").distinct()
     share = (words.groupBy(*KEY, "j").agg(F.count("*").alias("of"))
              .join(known.groupBy(*KEY, "j").agg(F.count("*").alias("hits")), [*KEY, "j"], "left")
              .select(*KEY, (F.coalesce("hits", F.lit(0)) / F.col("of")).alias("s")))
     hit = lambda df, of: of.select(*KEY, "j").join(df.select(*KEY, "j", F.lit(1.0).alias("s")).distinct(), [*KEY, "j"], "left").select(*KEY, F.coalesce("s", F.lit(0.0)).alias("s"))
     numbers = e.filter("kind = 'number'")
-    counted = hit(numbers.join(number_postings(documents).withColumnRenamed("number", "num"), ["doc_id", "num"], "left_semi"), numbers)
+    counted = hit(numbers.join(number_postings(documents).withColumnRenamed("number", "num").hint("merge"), ["doc_id", "num"], "left_semi"), numbers)
     dates = e.filter("kind = 'date'")
-    spans = dates.join(date_postings(documents).withColumnRenamed("date", "text"), ["doc_id", "text"], "left_semi")
+    spans = dates.join(date_postings(documents).withColumnRenamed("date", "text").hint("merge"), ["doc_id", "text"], "left_semi")
     # a date that stands there word for word: each document meets the few of its values that no span gives
     rest = dates.join(spans.select(*KEY, "j"), [*KEY, "j"], "left_anti")
     verbatim = rest.join(documents.select("doc_id", "document"), "doc_id").filter(F.instr(G.doc_folded(F.col("document")), N.casefold(N.strip_ws(F.col("part")))) > 0)

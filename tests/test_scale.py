@@ -100,3 +100,13 @@ def test_aurc_writes_wrong_places_only(spark, monkeypatch):
     errors = np.cumsum([r[2] for r in sorted(rows, key=lambda r: (-r[1], r[3]))])
     assert abs(got["aurc"] - float(np.mean(errors / np.arange(1, 201)))) < 1e-6 and got["n"] == 200
     assert [n for n, _ in written] == ["wrong-places"] and written[0][1].filter("place > 0").count() == 20
+
+
+def test_elements_of_postings_are_worked_out_once(spark, monkeypatch):
+    written = []
+    own = PO.materialize
+    monkeypatch.setattr(PO, "materialize", lambda df, name: written.append(name) or own(df, name))
+    docs = spark.createDataFrame([(1, "Alpha sons, two Beta")], "doc_id long, document string")
+    rows = spark.createDataFrame([("r", 1, 0, "a", "alpha son gamma 2"), ("r", 1, 1, "b", "")], "run_id string, doc_id long, ord int, field string, final string")
+    got = {r["ord"]: r["support"] for r in PO.posting_support(rows, docs, SCHEMA).collect()}
+    assert got == {0: 0.75, 1: 1.0} and written == ["value-elements"]
