@@ -102,6 +102,20 @@ def test_aurc_writes_wrong_places_only(spark, monkeypatch):
     assert [n for n, _ in written] == ["wrong-places"] and written[0][1].filter("place > 0").count() == 20
 
 
+def test_a_stored_folder_is_adopted_and_not_copied(spark, tmp_path):
+    cols = {c: F.lit(None).cast("string") for c in RU.TRACE} | {
+        "doc_id": F.col("id"), "doc_idx": F.col("id"), "ord": F.lit(0), "field": F.lit("a"), "final": F.lit("v")} | {
+        c: F.lit(True) for c in ("flagged", "confident", "ungrounded", "repaired", "con_ok", "unc_ok", "final_ok", "corrupted", "changed")}
+    rows = spark.range(30).select(F.when(F.col("id") < 20, "p").otherwise("q").alias("run_id"), *(c.alias(n) for n, c in cols.items()))
+    root, folder = f"{tmp_path}/runs", f"{tmp_path}/a folder/audited-1"
+    RU.write_run(rows.filter("run_id = 'p' and doc_id < 3"), SCHEMA, root)
+    rows.write.parquet(folder)
+    version = RU.adopt_run(spark.read.parquet(folder), SCHEMA, root)
+    assert version == "audited-1" and len(list((tmp_path / "runs" / "fields").iterdir())) == 1
+    assert {r["run_id"]: r["count"] for r in RU.read_fields(spark, root).groupBy("run_id").count().collect()} == {"p": 20, "q": 10}
+    assert {r["run_id"]: r["docs"] for r in RU.read_reports(spark, root).collect()} == {"p": 20, "q": 10}
+
+
 def test_elements_of_postings_are_worked_out_once(spark, monkeypatch):
     written = []
     own = PO.materialize
